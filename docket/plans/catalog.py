@@ -1,3 +1,4 @@
 """Imports every query module so their ``@query`` decorators run."""
 
 from docket.plans import q_cases  # noqa: F401
+from docket.plans import q_strings  # noqa: F401

@@ -35,13 +35,13 @@ SELECT caseIssuesId,
        CAST(count(*) AS INTEGER) AS total_justices_voting,
        string_agg(coalesce(justiceName, 'None') || ':' || coalesce(CAST(vote AS VARCHAR), 'nan'), '; '
                   ORDER BY {VOTE_ORD_SQL}) AS justice_votes
-FROM votes WHERE caseIssuesId IS NOT NULL GROUP BY caseIssuesId"""
+FROM {{votes}} WHERE caseIssuesId IS NOT NULL GROUP BY caseIssuesId"""
 
 SHARES_SQL = """
 SELECT t.*,
   CASE WHEN caseDisposition IN (1,3,4,5,6,7,8) AND majVotes IS NOT NULL AND minVotes IS NOT NULL THEN 'W'
        WHEN caseDisposition IN (2,9) AND majVotes IS NOT NULL AND minVotes IS NOT NULL THEN 'L' END AS _o
-FROM tally_raw t"""
+FROM {tally_raw} t"""
 
 CASES_SQL = """
 SELECT caseIssuesId, usCite, chief, caseName, petitioner, petitionerState, respondentState, caseOrigin,
@@ -53,7 +53,7 @@ SELECT caseIssuesId, usCite, chief, caseName, petitioner, petitionerState, respo
   CASE _o WHEN 'W' THEN CAST(minVotes AS DOUBLE) / 9 WHEN 'L' THEN CAST(majVotes AS DOUBLE) / 9 ELSE -1.0 END AS pct_against,
   CASE WHEN _o IS NOT NULL THEN CAST(9 - majVotes - minVotes AS DOUBLE) / 9 ELSE -1.0 END AS pct_absent,
   justice_votes
-FROM tally_o"""
+FROM {tally_o}"""
 
 from docket.plans import bindings as _b  # noqa: E402
 
