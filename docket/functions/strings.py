@@ -132,8 +132,8 @@ def word_count(text: Column) -> Column:
 
 def parse_votes(votes: Column) -> Column:
     """``code:vote; code:vote`` → distinct member codes in first-seen order."""
-    parts = F.transform(F.split(votes, ";"), lambda p: strip(F.split(strip(p), ":").getItem(0)))
-    return F.array_distinct(F.filter(parts, lambda p: p != ""))
+    kept = F.filter(F.split(votes, ";"), lambda p: strip(p) != "")
+    return F.array_distinct(F.transform(kept, lambda p: F.split(strip(p), ":").getItem(0)))
 
 
 def normalize_path(p: Column) -> Column:

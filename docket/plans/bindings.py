@@ -23,7 +23,7 @@ VOTE_ORD_SQL = ("l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity
 
 _SHARED: dict[str, str] = {}      # bindings runnable on both engines
 _ORACLE: dict[str, str] = {}      # DuckDB-only CTEs (oracle text of operators)
-_REF = re.compile(r"\{(\w+)\}")
+_REF = re.compile(r"\{([A-Za-z_]\w*)\}")
 
 
 def shared(name: str, body: str) -> None:
@@ -128,10 +128,12 @@ SELECT cb.case_id AS caseIssuesId, cb.usCite, cb.chief, cb.caseName, cb.petition
 FROM {{lineitem}} l JOIN {{cases_base}} cb ON l.l_orderkey = cb.case_ord
 LEFT JOIN {{supplier}} s ON l.l_suppkey = s.s_suppkey""")
 
-# Member code → canonical name; every 10th supplier is left out of the book.
+# Member code → bio file stem (slug of the member's name); every 10th code is
+# left out of the book so unknown codes pass through unchanged.
 shared("member_book", """
-SELECT s.s_name AS code, 'Justice ' || substr(s.s_name, 10, 9) || ' of ' || n.n_name AS name
-FROM {supplier} s LEFT JOIN {nation} n ON s.s_nationkey = n.n_nationkey
+SELECT s.s_name AS code,
+  CASE WHEN s.s_suppkey % 9 = 0 THEN 'Member_J_' ELSE 'Member_' END || substr(s.s_name, 10, 9) AS name
+FROM {supplier} s
 WHERE s.s_suppkey % 10 <> 0""")
 
 # ---------------------------------------------------------------- justices / bios
@@ -213,3 +215,14 @@ SELECT d.doc_id AS file_ord,
       || 'Case Name: ' || cb.caseName || chr(10) || repeat('=', 80) || chr(10) || chr(10) || d.text || chr(10)
   END AS text
 FROM {documents} d JOIN {cases_base} cb ON d.doc_id = cb.case_ord""")
+
+# Processed-bio store: one file per member whose slug is the key; every 6th
+# member's bio is missing.
+shared("bio_files", """
+SELECT member_ord,
+  CASE WHEN member_ord % 9 = 0 THEN 'Member_J_' ELSE 'Member_' END || substr(code, 10, 9) AS key
+FROM {justices} WHERE member_ord % 6 <> 5""")
+
+# Description store keys (files present in the description folder).
+shared("desc_keys", """
+SELECT DISTINCT file_key FROM {desc_files}""")
