@@ -23,7 +23,7 @@ VOTE_ORD_SQL = ("l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity
 
 _SHARED: dict[str, str] = {}      # bindings runnable on both engines
 _ORACLE: dict[str, str] = {}      # DuckDB-only CTEs (oracle text of operators)
-_REF = re.compile(r"\{([A-Za-z_]\w*)\}")
+_REF = re.compile(r"(?<![\\][pP])\{([A-Za-z_]\w*)\}")  # not \p{L}-style classes
 
 
 def shared(name: str, body: str) -> None:
@@ -53,6 +53,8 @@ def with_(*names: str) -> str:
 
     def deps_of(n: str) -> list[str]:
         body = _SHARED.get(n) or _ORACLE.get(n)
+        if body is None:
+            raise KeyError(f"unknown relation {n!r} in oracle SQL")
         refs = _refs(body)
         # oracle CTEs may also mention earlier CTEs without braces
         for other in list(_SHARED) + list(_ORACLE):
