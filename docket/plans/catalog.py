@@ -4,3 +4,4 @@ from docket.plans import q_cases  # noqa: F401
 from docket.plans import q_strings  # noqa: F401
 from docket.plans import q_records  # noqa: F401
 from docket.plans import q_joins  # noqa: F401
+from docket.plans import q_aggs  # noqa: F401
