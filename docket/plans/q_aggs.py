@@ -43,13 +43,12 @@ SELECT expected, found, expected - found AS missing,
 FROM (SELECT (SELECT count(DISTINCT usCite) FROM cases) AS expected,
              (SELECT count(*) FROM desc_files) AS found) t""")
 def q_completeness_gate(spark, d):
-    exp = case_table(spark, d).agg(F.countDistinct("usCite").alias("expected"))
-    found = binding(spark, d, "desc_files").agg(F.count(F.lit(1)).alias("found"))
-    # both sides are single-row aggregates; join them on a constant key
-    j = exp.withColumn("k", F.lit(1)).join(found.withColumn("k", F.lit(1)), "k")
-    return j.select("expected", "found", (F.col("expected") - F.col("found")).alias("missing"),
-                    reports.r6(F.when(F.col("expected") > 0, F.col("found") * 100.0 / F.col("expected"))).alias("pct"),
-                    reports.completeness_gate(F.col("expected"), F.col("found")).alias("complete"))
+    expected = case_table(spark, d).agg(F.countDistinct("usCite")).scalar()
+    found = binding(spark, d, "desc_files").agg(F.count(F.lit(1))).scalar()
+    one = spark.range(1)
+    return one.select(expected.alias("expected"), found.alias("found"), (expected - found).alias("missing"),
+                      reports.r6(F.when(expected > 0, found * 100.0 / expected)).alias("pct"),
+                      reports.completeness_gate(expected, found).alias("complete"))
 
 
 @query("coverage_report", sql=with_("records", "case_meta_keys") + """
