@@ -6,3 +6,4 @@ from docket.plans import q_records  # noqa: F401
 from docket.plans import q_joins  # noqa: F401
 from docket.plans import q_aggs  # noqa: F401
 from docket.plans import q_splits  # noqa: F401
+from docket.plans import q_metrics  # noqa: F401
