@@ -147,7 +147,7 @@ def basename(p: Column) -> Column:
 
 def canonical_base(name: Column) -> Column:
     """Drop ``.txt`` then a trailing ``_vN`` / ``-vN``."""
-    return F.regexp_replace(F.regexp_replace(name, r"\.txt$", ""), r"[_\-]v\d+$", "")
+    return F.regexp_replace(F.regexp_replace(name, r"(?i)\.txt$", ""), r"[_\-]v\d+$", "")
 
 
 def name_from_file(fname: Column) -> Column:

@@ -234,7 +234,7 @@ def q_normalize_path(spark, d):
 
 
 @query("canonical_base", sql=with_("versioned_names") + """
-SELECT doc_id, regexp_replace(regexp_replace(fname, '\\.txt$', ''), '[_\\-]v\\d+$', '') AS base
+SELECT doc_id, regexp_replace(regexp_replace(fname, '(?i)\\.txt$', ''), '[_\\-]v\\d+$', '') AS base
 FROM versioned_names""")
 def q_canonical_base(spark, d):
     v = binding(spark, d, "versioned_names")
