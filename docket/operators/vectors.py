@@ -143,3 +143,43 @@ def contrastive_loss(pairs: DataFrame, batch_col: str, id_col: str, student_col:
     cl = cosine_pair_loss(pairs, batch_col, student_col, teacher_col)
     return nt.join(cl, batch_col).select(
         batch_col, F.round(alpha * F.col("nt_xent") + (1 - alpha) * F.col("cos_loss"), 6).alias("loss"))
+
+
+def nearest_blocked(vecs: DataFrame, id_col: str, vec_col: str, k: int = 1, block_size: int = 2048) -> DataFrame:
+    """Top-k other vectors by dot product for every vector, as a blocked
+    matrix product: rows are ranked into blocks of ≤ ``block_size``; query
+    and candidate blocks meet in a ``cogroup`` keyed by (query block,
+    candidate block) and each pair is one numpy matmul of at most
+    block_size² entries.  Per query the k best of each block are merged
+    with a window over ≤ k·blocks rows.  Ties go to the smaller id."""
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql.window import Window
+
+    ranked = global_rank(vecs.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")), [F.col("id").asc()],
+                         "__r").withColumn("b", F.floor((F.col("__r") - 1) / block_size).cast("int"))
+    nb = ranked.agg(F.max("b") + 1).scalar()
+    blocks = F.explode(F.sequence(F.lit(0), nb - 1))
+    q = ranked.select(F.col("b").alias("qb"), blocks.alias("cb"), "id", "v")
+    c = ranked.select(blocks.alias("qb"), F.col("b").alias("cb"), F.col("id").alias("cid"), F.col("v").alias("cv"))
+
+    def best(qp: pd.DataFrame, cp: pd.DataFrame) -> pd.DataFrame:
+        if qp.empty or cp.empty:
+            return pd.DataFrame({"qid": [], "cid": [], "sim": []})
+        qm = np.stack(qp["v"].to_numpy()).astype(np.float64)
+        cm = np.stack(cp["cv"].to_numpy()).astype(np.float64)
+        sims = qm @ cm.T
+        qids = qp["id"].to_numpy()
+        cids = cp["cid"].to_numpy()
+        sims[qids[:, None] == cids[None, :]] = -np.inf
+        kk = min(k, len(cids))
+        order = np.lexsort((np.broadcast_to(cids, sims.shape), -sims), axis=1)[:, :kk]
+        rows = np.repeat(np.arange(len(qids)), kk)
+        cols = order.reshape(-1)
+        out = pd.DataFrame({"qid": qids[rows], "cid": cids[cols], "sim": sims[rows, cols]})
+        return out[np.isfinite(out["sim"])]
+
+    pairs = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(
+        best, "qid long, cid long, sim double")
+    w = Window.partitionBy("qid").orderBy(F.col("sim").desc(), F.col("cid").asc())
+    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

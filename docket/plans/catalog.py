@@ -8,3 +8,4 @@ from docket.plans import q_aggs  # noqa: F401
 from docket.plans import q_splits  # noqa: F401
 from docket.plans import q_metrics  # noqa: F401
 from docket.plans import q_tokens  # noqa: F401
+from docket.plans import q_augment  # noqa: F401
