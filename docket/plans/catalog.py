@@ -10,3 +10,4 @@ from docket.plans import q_metrics  # noqa: F401
 from docket.plans import q_tokens  # noqa: F401
 from docket.plans import q_augment  # noqa: F401
 from docket.plans import q_io  # noqa: F401
+from docket.plans import q_ml_stream  # noqa: F401
