@@ -247,3 +247,18 @@ WHERE key NOT IN (SELECT key FROM store_new)""")
 def q_upsert_new_wins(spark, d):
     m = setops.upsert_new_wins(binding(spark, d, "store_old"), binding(spark, d, "store_new"), ["key"])
     return m.select("key", "src", F.length("text").alias("n_chars"), F.md5("text").alias("h"))
+
+
+@query("year_span", sql=with_("ck") + """
+SELECT role, coalesce(CAST(min(CASE WHEN year > 0 THEN year END) AS VARCHAR) || '-'
+                      || CAST(max(CASE WHEN year > 0 THEN year END) AS VARCHAR), 'N/A') AS span, count(*) AS n
+FROM (SELECT year, CASE WHEN rn <= floor(n * 0.7) THEN 'train' WHEN rn <= floor(n * 0.7) + floor(n * 0.15) THEN 'val'
+                        ELSE 'test' END AS role
+      FROM (SELECT year, row_number() OVER (ORDER BY year, case_ord) AS rn, count(*) OVER () AS n
+            FROM ck WHERE year BETWEEN 1996 AND 2000) t) s
+GROUP BY role""")
+def q_year_span(spark, d):
+    from docket.operators.filters import filter_year_range
+    from docket.operators.reports import year_span
+    ck = filter_year_range(case_keys(spark, d), "year", 1996, 2000)
+    return year_span(splits.split_time_ratios(ck, "year", "case_ord"), ["role"], "year")
