@@ -145,7 +145,8 @@ def contrastive_loss(pairs: DataFrame, batch_col: str, id_col: str, student_col:
         batch_col, F.round(alpha * F.col("nt_xent") + (1 - alpha) * F.col("cos_loss"), 6).alias("loss"))
 
 
-def nearest_blocked(vecs: DataFrame, id_col: str, vec_col: str, k: int = 1, block_size: int = 2048) -> DataFrame:
+def nearest_blocked(vecs: DataFrame, id_col: str, vec_col: str, k: int = 1, block_size: int = 2048,
+                    digits: int = 9) -> DataFrame:
     """Top-k other vectors by dot product for every vector, as a blocked
     matrix product: rows are ranked into blocks of ≤ ``block_size``; query
     and candidate blocks meet in a ``cogroup`` keyed by (query block,
@@ -168,7 +169,7 @@ def nearest_blocked(vecs: DataFrame, id_col: str, vec_col: str, k: int = 1, bloc
             return pd.DataFrame({"qid": [], "cid": [], "sim": []})
         qm = np.stack(qp["v"].to_numpy()).astype(np.float64)
         cm = np.stack(cp["cv"].to_numpy()).astype(np.float64)
-        sims = qm @ cm.T
+        sims = np.round(qm @ cm.T, digits)
         qids = qp["id"].to_numpy()
         cids = cp["cid"].to_numpy()
         sims[qids[:, None] == cids[None, :]] = -np.inf
@@ -183,3 +184,44 @@ def nearest_blocked(vecs: DataFrame, id_col: str, vec_col: str, k: int = 1, bloc
         best, "qid long, cid long, sim double")
     w = Window.partitionBy("qid").orderBy(F.col("sim").desc(), F.col("cid").asc())
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _block_pairs(vecs: DataFrame, block_size: int, extra_q: tuple = ()) -> tuple[DataFrame, DataFrame]:
+    """(query side, candidate side), both keyed by (query block, candidate
+    block); every query row meets every candidate block exactly once."""
+    ranked = global_rank(vecs, [F.col("id").asc()], "__r") \
+        .withColumn("b", F.floor((F.col("__r") - 1) / block_size).cast("int"))
+    nb = ranked.agg(F.max("b") + 1).scalar()
+    blocks = F.explode(F.sequence(F.lit(0), nb - 1))
+    q = ranked.select(F.col("b").alias("qb"), blocks.alias("cb"), "id", "s", *extra_q)
+    c = ranked.select(blocks.alias("qb"), F.col("b").alias("cb"), F.col("id").alias("cid"), F.col("t").alias("ct"))
+    return q, c
+
+
+def mrr_blocked(pairs: DataFrame, id_col: str, student_col: str, teacher_col: str, block_size: int = 1024,
+                digits: int = 9) -> DataFrame:
+    """MRR as a blocked matrix product: for each (query block, teacher
+    block) one numpy matmul counts the teachers scoring strictly above the
+    query's own pair (9-digit rounding); counts are summed per query."""
+    import numpy as np
+    import pandas as pd
+
+    base = pairs.select(F.col(id_col).alias("id"), F.col(student_col).alias("s"), F.col(teacher_col).alias("t"))
+    base = base.withColumn("own", F.round(A.dot(F.col("s"), F.col("t")), digits))
+    q, c = _block_pairs(base, block_size, extra_q=("own",))
+
+    def better(qp: pd.DataFrame, cp: pd.DataFrame) -> pd.DataFrame:
+        if qp.empty:
+            return pd.DataFrame({"qid": [], "n": []})
+        if cp.empty:
+            return pd.DataFrame({"qid": qp["id"].to_numpy(), "n": np.zeros(len(qp), dtype=np.int64)})
+        qm = np.stack(qp["s"].to_numpy()).astype(np.float64)
+        cm = np.stack(cp["ct"].to_numpy()).astype(np.float64)
+        sims = np.round(qm @ cm.T, digits)
+        hit = sims > qp["own"].to_numpy()[:, None]
+        hit &= qp["id"].to_numpy()[:, None] != cp["cid"].to_numpy()[None, :]
+        return pd.DataFrame({"qid": qp["id"].to_numpy(), "n": hit.sum(axis=1).astype(np.int64)})
+
+    counts = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(better, "qid long, n long")
+    per = counts.groupBy("qid").agg((F.sum("n") + 1).alias("rank"))
+    return per.agg(F.round(F.avg(1.0 / F.col("rank")), 6).alias("mrr"), F.count(F.lit(1)).alias("n"))

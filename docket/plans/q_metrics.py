@@ -240,7 +240,7 @@ SELECT round(avg(1.0 / rnk), 6) AS mrr, count(*) AS n FROM (
   SELECT x.vec_id, 1 + count_if(round(list_inner_product(x.s, y.t), 9) > round(list_inner_product(x.s, x.t), 9)) AS rnk
   FROM pv x, pv y GROUP BY x.vec_id) r""")
 def q_mrr(spark, d):
-    return vectors.mrr(pair_vectors(spark, d), "vec_id", "s", "t", block_size=128)
+    return vectors.mrr_blocked(pair_vectors(spark, d), "vec_id", "s", "t", block_size=1024)
 
 
 @query("similarity_cross_join", sql=with_("pv") + """
@@ -299,95 +299,12 @@ WHERE k <= 5 GROUP BY qid"""
 @query("top_k_neighbors", sql=with_("pv") + nn_fmt_sql())
 def q_top_k_neighbors(spark, d):
     p = pair_vectors(spark, d).select("vec_id", "u", "label")
-    top = vectors.top_k_neighbors(p, "vec_id", "u", "label", k=5, block_size=128)
+    nn = vectors.nearest_blocked(p, "vec_id", "u", k=5, block_size=1024)
+    lab = p.select(F.col("vec_id").alias("cid"), F.col("label").alias("clabel"))
+    item = F.struct((-F.col("sim")).alias("neg"), F.col("cid").alias("id"), F.col("clabel").alias("label"))
+    top = nn.join(lab, "cid").groupBy("qid").agg(F.array_sort(F.collect_list(item)).alias("top"))
     fmt = F.transform("top", lambda c: F.concat(
         F.lit("vec_"), c["id"].cast("string"), F.lit(" ["),
         F.when(c["label"] == 9, F.lit("—")).otherwise(c["label"].cast("string")),
         F.lit("] (cos="), F.format_string("%.3f", -c["neg"]), F.lit(")")))
     return top.select("qid", F.array_join(fmt, "; ").alias("nearest_neighbors_top5"))
-
-
-# ---------------------------------------------------------------- batches, trials, epochs
-
-@query("mean_of_batch_means", sql="""
-SELECT round(avg(m), 6) AS loss, count(*) AS n_batches FROM (
-  SELECT floor(event_id / 32) AS b, avg(value) AS m FROM events GROUP BY 1) t""")
-def q_mean_of_batch_means(spark, d):
-    e = table(spark, d, "events").select(F.floor(F.col("event_id") / 32).alias("b"), "value")
-    return metrics.mean_of_batch_means(e, "b", "value")
-
-
-def fold_log(spark, d):
-    e = table(spark, d, "events")
-    done = F.col("event_type") != "error"
-    return (e.groupBy(F.col("user_id").alias("trial"), (F.col("event_id") % 3).alias("fold"))
-            .agg(F.avg(F.when(done, F.col("value"))).alias("metric"), (F.count_if(done) > 0).alias("completed")))
-
-
-@query("cv_fold_mean", sql="""
-SELECT trial, round(coalesce(avg(CASE WHEN completed THEN metric END), 10.0), 6) AS cv_mean,
-       count_if(completed) AS n_completed FROM (
-  SELECT user_id AS trial, event_id % 3 AS fold, avg(CASE WHEN event_type <> 'error' THEN value END) AS metric,
-         count_if(event_type <> 'error') > 0 AS completed FROM events GROUP BY 1, 2) f GROUP BY trial""")
-def q_cv_fold_mean(spark, d):
-    return metrics.cv_fold_mean(fold_log(spark, d), "trial", "metric", F.col("completed"), 10.0)
-
-
-TRIALS_SQL = """(SELECT user_id AS trial, arg_max(event_type, (ts, event_id)) AS state, avg(value) AS value
-                 FROM events GROUP BY user_id)"""
-
-
-def trials(spark, d):
-    e = table(spark, d, "events")
-    return e.groupBy(F.col("user_id").alias("trial")).agg(
-        F.max_by("event_type", F.struct("ts", "event_id")).alias("state"), F.avg("value").alias("value"))
-
-
-@query("trial_summary", sql=f"""
-SELECT state, count(*) AS n, arg_min(trial, (value, trial)) AS best_trial, round(min(value), 6) AS best_value
-FROM {TRIALS_SQL} t GROUP BY state""")
-def q_trial_summary(spark, d):
-    return metrics.trial_summary(trials(spark, d), "state", "value", "trial")
-
-
-@query("best_trial", sql=f"""
-SELECT arg_min(trial, (value, trial)) AS trial, round(arg_min(value, (value, trial)), 6) AS value FROM {TRIALS_SQL} t""")
-def q_best_trial(spark, d):
-    return metrics.best_trial(trials(spark, d), "trial", "value")
-
-
-def epoch_log(spark, d):
-    e = table(spark, d, "events")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return e.select("user_id", (F.row_number().over(w) - 1).alias("epoch"), "value")
-
-
-def early_sql(patience: int, only_even: bool, min_epochs: int) -> str:
-    counted = "epoch % 2 = 0" if only_even else "TRUE"
-    return f"""
-WITH lg AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS epoch, value
-            FROM events),
-c AS (SELECT * FROM lg WHERE {counted}),
-i AS (SELECT *, min(value) OVER (PARTITION BY user_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
-              AS prev FROM c),
-i2 AS (SELECT *, prev IS NULL OR value < prev AS imp,
-              count(*) OVER (PARTITION BY user_id ORDER BY epoch ROWS UNBOUNDED PRECEDING) AS k FROM i),
-i3 AS (SELECT *, max(CASE WHEN imp THEN k END) OVER (PARTITION BY user_id ORDER BY epoch ROWS UNBOUNDED PRECEDING)
-              AS lk FROM i2),
-s AS (SELECT user_id, min(CASE WHEN k - lk >= {patience} AND epoch >= {min_epochs} THEN epoch END) AS fs,
-             max(epoch) AS last FROM i3 GROUP BY user_id)
-SELECT s.user_id, coalesce(fs, last) AS stop_epoch, max(i3.epoch) AS best_epoch,
-       round(arg_max(i3.value, i3.epoch), 6) AS best_value, fs IS NOT NULL AS stopped
-FROM s JOIN i3 ON i3.user_id = s.user_id
-WHERE i3.imp AND i3.epoch <= coalesce(fs, last) GROUP BY s.user_id, fs, last"""
-
-
-@query("early_stop_epoch", sql=early_sql(3, False, 0))
-def q_early_stop_epoch(spark, d):
-    return metrics.early_stop(epoch_log(spark, d), ["user_id"], "epoch", "value", patience=3)
-
-
-@query("early_stop_every_other", sql=early_sql(2, True, 4))
-def q_early_stop_every_other(spark, d):
-    return metrics.early_stop(epoch_log(spark, d), ["user_id"], "epoch", "value", patience=2, only_even=True,
-                              min_epochs=4)
