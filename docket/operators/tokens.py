@@ -46,14 +46,19 @@ def tokenize_encode(docs: DataFrame, key_col: str, text_col: str, vocab: DataFra
     (``n_tokens``); positions past the truncation are dropped right after
     the split, before the (broadcast, size-capped) vocabulary join."""
     keep = max_length - 2
-    toks = docs.select(F.col(key_col).alias("key"), word_tokens(F.col(text_col)).alias("__t"))
+    # hash-partition the documents once by key: the exploded token rows stay
+    # on their document's partition through the broadcast join, so gathering
+    # them back by key needs no second exchange
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.select(F.col(key_col).alias("key"), F.col(text_col)).repartition(parts, "key")
+    toks = docs.select("key", word_tokens(F.col(text_col)).alias("__t"))
     counted = toks.select("key", F.size("__t").alias("n_tokens"), F.slice("__t", 1, keep).alias("__t"))
     exploded = counted.select("key", F.posexplode("__t").alias("pos", "token"))
     v = F.broadcast(vocab.select("token", "id"))
     ided = exploded.join(v, "token", "left").select("key", "pos", F.coalesce("id", F.lit(UNK)).alias("id"))
     per = ided.groupBy("key").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda s: s["id"]).alias("__ids"))
-    out = counted.select("key", "n_tokens").join(per, "key", "left")
+    out = counted.select("key", "n_tokens").join(per, "key", "left")  # co-partitioned on key
     ids = F.concat(F.array(F.lit(CLS)), F.coalesce(F.col("__ids"), F.array().cast("array<int>")), F.array(F.lit(SEP)))
     return out.select("key", "n_tokens", ids.alias("input_ids"),
                       F.array_repeat(F.lit(1), F.size(ids)).alias("attention_mask"))

@@ -14,7 +14,7 @@ def case_table(spark, d):
     """The tally over the whole vote fact, grouped on (order key, case id)
     so the join's hash partitioning on the order key is reused."""
     v = fx.votes(spark, d, keep_order_key=True)
-    return tally.vote_tally(v, fx.VOTE_ORD, key_cols=("l_orderkey", "caseIssuesId")).drop("l_orderkey")
+    return tally.vote_tally(v, ["vote_pos"], key_cols=("l_orderkey", "caseIssuesId")).drop("l_orderkey")
 
 
 TALLY_SQL = f"""

@@ -66,6 +66,7 @@ def votes(spark: SparkSession, d: str, keep_order_key: bool = False) -> DataFram
     cb = cases_base(spark, d)
     j = li.join(cb, li.l_orderkey == cb.case_ord, "inner").join(s, li.l_suppkey == s.s_suppkey, "left")
     w = Window.partitionBy("l_orderkey")
+    w_ord = Window.partitionBy("l_orderkey").orderBy(*VOTE_ORD)
     out = j.select(
         "l_orderkey",
         F.col("case_id").alias("caseIssuesId"), "usCite", "chief", "caseName", "petitioner",
@@ -77,8 +78,11 @@ def votes(spark: SparkSession, d: str, keep_order_key: bool = False) -> DataFram
         F.count_if(F.col("l_returnflag") == "R").over(w).cast("int").alias("majVotes"),
         F.count_if(F.col("l_returnflag") == "A").over(w).cast("int").alias("minVotes"),
         *VOTE_ORD,
+        # compact vote ordinal: position by the full ordinal inside the case
+        # (same partitioning as the join, so no extra exchange)
+        F.row_number().over(w_ord).alias("vote_pos"),
     )
-    return out if keep_order_key else out.drop("l_orderkey")
+    return out if keep_order_key else out.drop("l_orderkey", "vote_pos")
 
 
 def member_book(spark: SparkSession, d: str) -> DataFrame:
