@@ -127,8 +127,8 @@ SELECT cb.case_id AS caseIssuesId, cb.usCite, cb.chief, cb.caseName, cb.petition
        CAST(sum(CASE WHEN l.l_returnflag = 'R' THEN 1 ELSE 0 END) OVER (PARTITION BY l.l_orderkey) AS INT) AS majVotes,
        CAST(sum(CASE WHEN l.l_returnflag = 'A' THEN 1 ELSE 0 END) OVER (PARTITION BY l.l_orderkey) AS INT) AS minVotes,
        {', '.join('l.' + c for c in VOTE_ORD_SQL.split(', '))}
-FROM {{lineitem}} l JOIN {{cases_base}} cb ON l.l_orderkey = cb.case_ord
-LEFT JOIN {{supplier}} s ON l.l_suppkey = s.s_suppkey""")
+FROM {{lineitem}} l LEFT JOIN {{supplier}} s ON l.l_suppkey = s.s_suppkey
+JOIN {{cases_base}} cb ON l.l_orderkey = cb.case_ord""")
 
 # Member code → bio file stem (slug of the member's name); every 10th code is
 # left out of the book so unknown codes pass through unchanged.
