@@ -34,28 +34,37 @@ def join_by_citation(cases: DataFrame, desc_keys: DataFrame, cite_col: str = "us
                                     F.concat(F.lit(DESC_DIR), F.col("__dk"), F.lit(".txt")))).drop("__ck", "__dk")
 
 
+def member_lookup(member_book: DataFrame, bio_keys: DataFrame) -> DataFrame:
+    """code → (name, has_bio) for every code that can resolve to a bio: book
+    codes (name from the book) plus, for pass-through codes, bio keys that
+    are not book codes (name = code).  Sized by the member tables only."""
+    bios = bio_keys.select(F.col("key").alias("__bk")).distinct()
+    book = member_book.select(F.col("code").alias("lk_code"), F.col("name").alias("lk_name"))
+    in_book = (book.join(bios, F.col("lk_name") == F.col("__bk"), "left")
+               .select("lk_code", "lk_name", F.col("__bk").isNotNull().alias("lk_bio")))
+    passthrough = (bios.join(book.select(F.col("lk_code").alias("__c")), F.col("__bk") == F.col("__c"), "left_anti")
+                   .select(F.col("__bk").alias("lk_code"), F.col("__bk").alias("lk_name"), F.lit(True).alias("lk_bio")))
+    return in_book.unionByName(passthrough)
+
+
 def vote_members(cases: DataFrame, member_book: DataFrame, bio_keys: DataFrame,
                  key_col: str = "caseIssuesId", votes_col: str = "justice_votes") -> DataFrame:
-    """Parse ``code:vote; …`` → names (book, pass-through) → first occurrence
-    → keep names that have a bio → (case, bios array in vote order).
+    """Parse ``code:vote; …`` → names (book, pass-through) → keep names that
+    have a bio → (case, bios array in first-vote order, each name once).
 
-    The code→bio-path table is built once on the member side (small, grows
-    with members) and joined to the exploded votes; one shuffle groups the
-    result back by case.
+    One join of the exploded votes against the member-sized lookup and one
+    ``groupBy`` per case; the per-case list is bounded by the case's votes.
     """
     parts = cases.select(F.col(key_col).alias("case_id"),
                          F.posexplode(F.split(F.col(votes_col), ";")).alias("pos", "part"))
-    codes = (parts.withColumn("code", F.split(S.strip(F.col("part")), ":").getItem(0))
-             .filter(S.strip(F.col("part")) != ""))
-    book = member_book.select(F.col("code").alias("__c"), F.col("name").alias("__n"))
-    named = (codes.join(book, F.col("code") == F.col("__c"), "left")
-             .select("case_id", "pos", F.coalesce(F.col("__n"), F.col("code")).alias("name")))
-    first = named.groupBy("case_id", "name").agg(F.min("pos").alias("pos"))
-    have = bio_keys.select(F.col("key").alias("name")).distinct()
-    kept = first.join(have, "name", "left_semi")
-    return (kept.groupBy("case_id")
-            .agg(F.array_sort(F.collect_list(F.struct("pos", "name"))).alias("__m"))
-            .select("case_id", F.transform("__m", lambda e: F.concat(F.lit(BIO_DIR), e["name"], F.lit(".txt")))
+    codes = (parts.filter(S.strip(F.col("part")) != "")
+             .withColumn("code", F.split(S.strip(F.col("part")), ":").getItem(0)))
+    lk = member_lookup(member_book, bio_keys)
+    named = codes.join(lk, F.col("code") == F.col("lk_code"), "left").filter(F.coalesce("lk_bio", F.lit(False)))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col("lk_name").alias("name")))),
+                          lambda e: e["name"])
+    return (named.groupBy("case_id").agg(F.array_distinct(ordered).alias("__names"))
+            .select("case_id", F.transform("__names", lambda n: F.concat(F.lit(BIO_DIR), n, F.lit(".txt")))
                     .alias("bios")))
 
 
