@@ -73,19 +73,32 @@ def assemble_training_records(cases: DataFrame, member_book: DataFrame, bio_keys
     """Case table + description store + bios + targets → D6 records.
 
     ``cases`` must hold one row per case id (apply ``dedup_first`` first when
-    it may not).  Targets parse the share columns with the −1 sentinel.
+    it may not).  Single pass over the case table: the votes are exploded
+    with the case's own columns attached, joined once to the member lookup
+    and gathered back per case (cases without any bio keep an empty list),
+    then the description key is attached.  Targets parse the share columns
+    with the −1 sentinel.
     """
-    base = join_by_citation(cases, desc_keys)
-    members = vote_members(cases, member_book, bio_keys)
+    lk = member_lookup(member_book, bio_keys)
+    shares = ["pct_in_favor", "pct_against", "pct_absent"]
+    parts = cases.select(F.col("caseIssuesId").alias("case_id"), "usCite", *shares,
+                         F.posexplode_outer(F.split(F.col("justice_votes"), ";")).alias("pos", "part"))
+    code = F.when(S.strip(F.col("part")) != "", F.split(S.strip(F.col("part")), ":").getItem(0))
+    j = parts.withColumn("code", code).join(lk, F.col("code") == F.col("lk_code"), "left")
+    named = F.when(F.coalesce(F.col("lk_bio"), F.lit(False)), F.struct("pos", F.col("lk_name").alias("name")))
+    per_case = j.groupBy("case_id").agg(
+        *[F.any_value(c).alias(c) for c in ["usCite", *shares]],
+        F.array_distinct(F.transform(F.array_sort(F.collect_list(named)), lambda e: e["name"])).alias("__names"))
+    base = join_by_citation(per_case, desc_keys)
 
     def share(c):
         return parse_share_sentinel(F.col(c).cast("string"))
 
-    return (base.join(members, base.caseIssuesId == members.case_id, "left")
-            .select(F.col("caseIssuesId").alias("case_id"),
-                    F.coalesce(F.col("bios"), F.array().cast("array<string>")).alias("bios"),
-                    F.col("description"),
-                    F.array(share("pct_in_favor"), share("pct_against"), share("pct_absent")).alias("target")))
+    return base.select(
+        "case_id",
+        F.transform("__names", lambda n: F.concat(F.lit(BIO_DIR), n, F.lit(".txt"))).alias("bios"),
+        "description",
+        F.array(share("pct_in_favor"), share("pct_against"), share("pct_absent")).alias("target"))
 
 
 def add_locations(records: DataFrame, bio_store: str | None, desc_store: str | None) -> DataFrame:
