@@ -72,8 +72,37 @@ def best_trial(trials: DataFrame, trial_col: str, value_col: str, minimize: bool
         .select(F.col(f"b.{trial_col}").alias(trial_col), F.round(F.col(f"b.{value_col}"), 6).alias(value_col))
 
 
+def _chunked(log: DataFrame, run_cols: Sequence[str], epoch_col: str, chunk_rows: int) -> DataFrame:
+    """Rows ranked by (run, epoch) and cut into chunks of ≤ ``chunk_rows``;
+    a run with a third of all rows spans many chunks."""
+    from docket.operators.splits import global_rank
+    order = [F.col(c).asc() for c in run_cols] + [F.col(epoch_col).asc()]
+    return global_rank(log, order, "__g").withColumn("__chunk", F.floor((F.col("__g") - 1) / chunk_rows))
+
+
+def _prefix(df: DataFrame, run_cols: Sequence[str], epoch_col: str, value: Column, agg: str,
+            name: str) -> DataFrame:
+    """Exclusive running ``agg`` (min / max / sum) of ``value`` per run in
+    epoch order, as a two-level scan: inside each (run, chunk) and over the
+    run's chunk totals, then combined.  No window spans a whole run."""
+    fn = {"min": F.min, "max": F.max, "sum": F.sum}[agg]
+    inner = Window.partitionBy(*run_cols, "__chunk").orderBy(epoch_col).rowsBetween(Window.unboundedPreceding, -1)
+    local = df.withColumn("__v", value).withColumn("__loc", fn("__v").over(inner))
+    chunks = local.groupBy(*run_cols, "__chunk").agg(fn("__v").alias("__tot"))
+    outer = Window.partitionBy(*run_cols).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offs = chunks.select(*run_cols, "__chunk", fn("__tot").over(outer).alias("__off"))
+    j = local.join(offs, [*run_cols, "__chunk"])
+    if agg == "min":
+        comb = F.least("__off", "__loc")
+    elif agg == "max":
+        comb = F.greatest("__off", "__loc")
+    else:
+        comb = F.coalesce(F.col("__off"), F.lit(0)) + F.coalesce(F.col("__loc"), F.lit(0))
+    return j.withColumn(name, comb).drop("__v", "__loc", "__off")
+
+
 def early_stop(log: DataFrame, run_cols: Sequence[str], epoch_col: str, value_col: str, patience: int,
-               only_even: bool = False, min_epochs: int = 0) -> DataFrame:
+               only_even: bool = False, min_epochs: int = 0, chunk_rows: int = 1 << 20) -> DataFrame:
     """Per run: best value, the epoch it was reached and the stop epoch.
 
     An epoch improves when its value is strictly below every earlier counted
@@ -81,22 +110,24 @@ def early_stop(log: DataFrame, run_cols: Sequence[str], epoch_col: str, value_co
     epochs since the last improvement reaches ``patience`` (and, when
     ``only_even``, whose epoch ≥ ``min_epochs``); otherwise at its last epoch.
     ``only_even`` counts even 0-based epochs only (the tuner variant).
+
+    Running values are two-level prefix scans over bounded chunks of each
+    run (see ``_prefix``), so one huge run is spread over many tasks.
     """
     counted = F.col(epoch_col) % 2 == 0 if only_even else F.lit(True)
-    lg = log.filter(counted)
-    w_prev = Window.partitionBy(*run_cols).orderBy(epoch_col).rowsBetween(Window.unboundedPreceding, -1)
-    w_upto = Window.partitionBy(*run_cols).orderBy(epoch_col).rowsBetween(Window.unboundedPreceding, 0)
-    prev_best = F.min(value_col).over(w_prev)
-    lg = lg.withColumn("__imp", prev_best.isNull() | (F.col(value_col) < prev_best))
-    lg = lg.withColumn("__k", F.count(F.lit(1)).over(w_upto))  # counted-epoch index (1-based)
-    lg = lg.withColumn("__last_imp_k", F.max(F.when(F.col("__imp"), F.col("__k"))).over(w_upto))
-    streak = F.col("__k") - F.col("__last_imp_k")
-    stop_here = (streak >= patience) & (F.col(epoch_col) >= min_epochs)
+    lg = _chunked(log.filter(counted).select(*run_cols, epoch_col, value_col), run_cols, epoch_col, chunk_rows)
+    lg = _prefix(lg, run_cols, epoch_col, F.col(value_col), "min", "__prev")
+    lg = lg.withColumn("__imp", F.col("__prev").isNull() | (F.col(value_col) < F.col("__prev")))
+    lg = _prefix(lg, run_cols, epoch_col, F.lit(1), "sum", "__before")
+    lg = lg.withColumn("__k", F.col("__before") + 1)  # counted-epoch index (1-based)
+    lg = _prefix(lg, run_cols, epoch_col, F.when(F.col("__imp"), F.col("__k")), "max", "__lk_prev")
+    last_imp = F.greatest(F.col("__lk_prev"), F.when(F.col("__imp"), F.col("__k")))
+    stop_here = ((F.col("__k") - last_imp) >= patience) & (F.col(epoch_col) >= min_epochs)
     lg = lg.withColumn("__stop", stop_here)
     first_stop = F.min(F.when(F.col("__stop"), F.col(epoch_col)))
     summary = (lg.groupBy(*run_cols).agg(first_stop.alias("__fs"), F.max(epoch_col).alias("__last"))
                .withColumn("stop_epoch", F.coalesce(F.col("__fs"), F.col("__last"))))
-    # best = last improvement at or before the stop (same run partitioning)
+    # best = last improvement at or before the stop (partial aggregates)
     best = (lg.join(summary.select(*run_cols, "stop_epoch"), list(run_cols))
             .filter(F.col("__imp") & (F.col(epoch_col) <= F.col("stop_epoch")))
             .groupBy(*run_cols)

@@ -360,9 +360,13 @@ def q_best_trial(spark, d):
 
 
 def epoch_log(spark, d):
-    e = table(spark, d, "events")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return e.select("user_id", (F.row_number().over(w) - 1).alias("epoch"), "value")
+    """Epoch = position of the event in its user's (ts, event_id) order,
+    from one global rank minus the user's first rank (no per-user window)."""
+    from docket.operators.splits import global_rank
+    e = table(spark, d, "events").select("user_id", "ts", "event_id", "value")
+    r = global_rank(e, [F.col("user_id").asc(), F.col("ts").asc(), F.col("event_id").asc()])
+    first = r.groupBy("user_id").agg(F.min("rn").alias("__first"))
+    return r.join(first, "user_id").select("user_id", (F.col("rn") - F.col("__first")).alias("epoch"), "value")
 
 
 def early_sql(patience: int, only_even: bool, min_epochs: int) -> str:

@@ -118,3 +118,14 @@ def test_pad_and_mask(spark):
     r = {tuple(x.input_ids): (x.padded_ids, x.padded_mask) for x in pad_and_mask(df, "b").collect()}
     assert r[(2, 3)] == ([2, 3, 0, 0], [1, 1, 0, 0])
     assert r[()] == ([], [])
+
+
+def test_early_stop_chunked_scan_matches(spark):
+    import random
+    rnd = random.Random(7)
+    rows = [(run, e, float(rnd.randint(0, 20))) for run in range(4) for e in range(rnd.randint(5, 40))]
+    df = spark.createDataFrame(rows, "run int, epoch int, value double")
+    for kw in ({"patience": 3}, {"patience": 2, "only_even": True, "min_epochs": 4}):
+        big = sorted(metrics.early_stop(df, ["run"], "epoch", "value", chunk_rows=1 << 20, **kw).collect())
+        small = sorted(metrics.early_stop(df, ["run"], "epoch", "value", chunk_rows=3, **kw).collect())
+        assert big == small
