@@ -8,7 +8,9 @@ comes from the caller and ``checkpoint_dir`` reads the shared folder it names.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -39,16 +41,17 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int | None = None,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and scratch tables.
+    """Shared folder for checkpoints and scratch tables: ``spark.checkpoint.dir``.
 
-    Uses ``spark.checkpoint.dir`` when the cluster sets it; only when it is
-    unset (local tests) a fresh scratch folder is created and registered.
+    Where that is unset, a local session (tests, bench) gets a fresh folder once; on a cluster
+    a machine-local folder would be wrong, so it is an error there.
     """
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    global _local_dir
+    path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="docket-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = _local_dir = _local_dir or tempfile.mkdtemp(prefix="docket-ckpt-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -56,15 +59,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A unique sub-folder of the shared checkpoint folder."""
-    base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{os.getpid()}-{next(_counter)}"
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def _count():
-    i = 0
-    while True:
-        i += 1
-        yield i
-
-
-_counter = _count()
+_local_dir: str | None = None
