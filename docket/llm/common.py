@@ -39,5 +39,12 @@ def one_space(text: Column) -> Column:
     return F.regexp_replace(text, rf"[\x09-\x0D][{BLANKS}]*|\x20[{BLANKS}]+", " ")
 
 
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer file; the files are read where they are, never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docket.llm.common import scratch, tokenizer
 from docket.llm.exact_dedup import exact_dedup
+from docket.llm.token_counts import token_counts
+from docket.llm.token_file import read_tokens, write_tokens
 from docket.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +34,15 @@ SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM keyed WINDOW same AS (PARTITION BY norm)""")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+@_query("op6_token_counts")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+@_query("op10_token_file")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "tokens")
+    write_tokens(table(spark, sf_dir, "documents"), path, tokenizer("word_bpe_49k.json"))
+    return read_tokens(spark, path)
