@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docket.llm.common import scratch, tokenizer
 from docket.llm.exact_dedup import exact_dedup
+from docket.llm.packing import pack
 from docket.llm.token_counts import token_counts
 from docket.llm.token_file import read_tokens, write_tokens
 from docket.sources.tables import table
@@ -26,6 +27,11 @@ def _query(name: str, sql: str | None = None):
     return register
 
 
+@_query("op3_best_fit_packing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 @_query("op5_exact_dedup", r"""
 WITH keyed AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
