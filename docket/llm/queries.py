@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docket.llm.common import scratch, tokenizer
 from docket.llm.exact_dedup import exact_dedup
+from docket.llm.license_scan import license_scan
 from docket.llm.packing import pack
 from docket.llm.token_counts import token_counts
 from docket.llm.token_file import read_tokens, write_tokens
@@ -47,6 +48,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+@_query("op9_license_scan")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 @_query("op10_token_file")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "tokens")
