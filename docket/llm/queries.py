@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docket.llm.common import scratch, tokenizer
 from docket.llm.exact_dedup import exact_dedup
+from docket.llm.fingerprints import edited_likeness
 from docket.llm.license_scan import license_scan
 from docket.llm.packing import pack
 from docket.llm.token_counts import token_counts
@@ -28,6 +29,11 @@ def _query(name: str, sql: str | None = None):
     return register
 
 
+@_query("op1_fingerprints")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_likeness(table(spark, sf_dir, "documents"))
+
+
 @_query("op3_best_fit_packing")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
