@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from docket.llm.common import scratch, tokenizer
 from docket.llm.exact_dedup import exact_dedup
 from docket.llm.fingerprints import edited_likeness
+from docket.llm.language_id import identify
 from docket.llm.license_scan import license_scan
 from docket.llm.packing import pack
 from docket.llm.token_counts import token_counts
@@ -54,6 +55,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+@_query("op7_language_id")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 @_query("op9_license_scan")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
