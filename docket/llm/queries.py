@@ -14,6 +14,7 @@ from docket.llm.license_scan import license_scan
 from docket.llm.packing import pack
 from docket.llm.token_counts import token_counts
 from docket.llm.token_file import read_tokens, write_tokens
+from docket.llm.toxicity import toxicity
 from docket.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +61,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+@_query("op8_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @_query("op9_license_scan")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
