@@ -11,6 +11,7 @@ from docket.llm.exact_dedup import exact_dedup
 from docket.llm.fingerprints import edited_likeness
 from docket.llm.language_id import identify
 from docket.llm.license_scan import license_scan
+from docket.llm.ngram_join import near_duplicates
 from docket.llm.packing import pack
 from docket.llm.token_counts import token_counts
 from docket.llm.token_file import read_tokens, write_tokens
@@ -41,6 +42,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+@_query("op4_ngram_jaccard")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 @_query("op5_exact_dedup", r"""
 WITH keyed AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
