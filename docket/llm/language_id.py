@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from docket.llm.chars import held_out, letters, ngrams, share
 
@@ -159,17 +160,18 @@ def train(docs: DataFrame, fitted_on: int = FITTED_ON) -> Model | None:
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-             fitted_on: int = FITTED_ON) -> DataFrame:
-    """One row per input row: doc_id, held_out, lang_pred, score (calibrated probability).
+             fitted_on: int = FITTED_ON, whole: bool = False) -> DataFrame:
+    """One row per input row: doc_id, held_out, lang_pred, score (calibrated probability); with
+    ``whole`` also ``row``, the input row as a struct.
 
     ``und`` with score 0: null texts, texts without a letter, and all texts where there is no
     labelled row. Null ids are learnt from. Repeated rows give rows of their own. An empty table
     gives no rows. The label of a row is never an input of its prediction.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-                       F.col(lang_col).alias("lang"))
-    model = train(rows, fitted_on)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+                       F.col(lang_col).alias("lang"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    shared = docs.sparkSession.sparkContext.broadcast(train(rows.drop("row"), fitted_on))
+    kept = ["doc_id", "held_out", *(["row"] if whole else [])]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -184,8 +186,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                 p = softmax((v @ m.weights[i] + m.bias) / m.temperature)
                 langs.append(m.languages[int(p.argmax())])
                 scores.append(float(p.max()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()),
-                                              pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
+                                             [*kept, "lang_pred", "score"])
 
-    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(
-        predict, "doc_id long, held_out boolean, lang_pred string, score double")
+    asked = rows.withColumn("held_out", held_out(F.col("doc_id"))).select(*kept, "text")
+    schema = StructType(asked.drop("text").schema.fields + StructType.fromDDL("lang_pred string, score double").fields)
+    return asked.mapInArrow(predict, schema)

@@ -130,8 +130,8 @@ def _profiles(words: int, seed: int):
                 n.append(len(g))
                 one.append(a)
                 two.append(b)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())],
-                                             ["doc_id", "n", "class", "check"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(one, pa.int64()),
+                                              pa.array(two, pa.int64())], ["doc_id", "text_key", "n", "class", "check"])
 
     return run
 
@@ -437,10 +437,11 @@ def _residual(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: in
 
 
 def near_classes(rows: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, n, class) of every row, (node, root) of the classes that have a link)."""
+    """((doc_id, text_key, n, class) of every row, (node, root) of the classes that have a link)."""
     spark = rows.sparkSession
+    keyed = rows.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     for seed in range(8):
-        profiles = stored(rows.mapInArrow(_profiles(words, seed), "doc_id long, n long, class long, check long"), "profiles")
+        profiles = stored(keyed.mapInArrow(_profiles(words, seed), "doc_id long, text_key long, n long, class long, check long"), "profiles")
         clash = profiles.groupBy("class").agg(F.min("check").alias("low"), F.max("check").alias("high")).filter("low <> high")
         if clash.isEmpty():
             break
@@ -467,7 +468,7 @@ def near_classes(rows: DataFrame, words: int, percent: int) -> tuple[DataFrame,
         roots = stored(components(links), "roots")
         links = _links(roots).unionByName(verified(_apart(candidates, roots).select("a", "b"), sets, percent))
         roots = stored(components(links), "roots")
-    return profiles.select("doc_id", "n", "class"), roots
+    return profiles.drop("check"), roots
 
 
 def _links(roots: DataFrame) -> DataFrame:
@@ -475,20 +476,23 @@ def _links(roots: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, class, component_id (the smallest id reachable by links).
+    """One row per input row: doc_id, n_shingles, class, component_id (the smallest id reachable by
+    links), text_key (xxhash64 of the text) and kept: true for one (id, text) of each component.
 
     Words are runs of other characters than ASCII white space, A-Z lower-cased; texts of fewer than
     ``words`` words are one n-gram. Two rows link when 100 * overlap >= percent * union of their
-    sets. Null, empty and blank texts have an empty set and link with nothing. Null ids count as
-    larger than all; a component of null ids only has a null component_id. Repeated rows link with
-    each other. An empty table gives no rows.
+    sets. Null, empty and blank texts have an empty set, link with nothing and are kept. Null ids
+    count as larger than all; a component of null ids only has a null component_id. Repeated rows
+    link with each other and agree in ``kept``. An empty table gives no rows.
     """
     profiles, roots = near_classes(texts(docs, id_col, text_col), words, percent)
-    ids = profiles.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
-    own = ids.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    lowest = own.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_class = own.join(lowest, "root").select("class", "component_id")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "class", "text_key")
+    firsts = profiles.filter("n > 0").groupBy("class").agg(F.min(row).alias("first"))
+    own = firsts.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    lowest = own.groupBy("root").agg(F.min("first").alias("first"))
+    by_class = own.select("class", "root").join(lowest, "root").select("class", "first")
     # a class of thousands of copies is a hot key of this join: the join is split where it is
     return profiles.join(by_class, "class", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), "class",
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        F.when(F.col("n") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), "text_key",
+        ((F.col("n") == 0) | F.col("first").eqNullSafe(row)).alias("kept"))

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from docket.llm.chars import SPACE, held_out, letters, ngrams, share
 
@@ -208,17 +209,20 @@ def train(rows: DataFrame, labels: DataFrame, label_id: str = "doc_id", label_co
     return index._replace(steps=isotonic(np.array(own), index.toxic))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", examples: int = EXAMPLES) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", examples: int = EXAMPLES,
+             whole: bool = False) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted, evidence (document, cosine and label
-    of the nearest examples).
+    of the nearest examples); with ``whole`` also ``row``, the input row as a struct.
 
     Texts without a chosen term (null, empty and most clean ones) have no neighbours and the rate of
     such examples as score. Without labels of both kinds nothing is chosen and every score is the
     base rate. Null ids have no label; repeated rows give rows of their own; an empty table gives none.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(train(rows, labels, examples=examples))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+                       F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    shared = docs.sparkSession.sparkContext.broadcast(train(rows.drop("row"), labels, examples=examples))
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
+    kept = ["doc_id", "held_out", *(["row"] if whole else [])]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
@@ -229,9 +233,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                 scores.append(calibrated(index, vote(index, found)))
                 evidence.append([{"doc_id": int(index.ids[i]), "cosine": s, "toxic": int(index.toxic[i])} for s, i in found[:5]])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()),
+                [*(batch.column(c) for c in kept), pa.array(scores, pa.float64()),
                  pa.array([int(s >= THRESHOLD) for s in scores], pa.int32()), pa.array(evidence, kind)],
-                ["doc_id", "held_out", "score", "predicted", "evidence"])
+                [*kept, "score", "predicted", "evidence"])
 
-    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(
-        predict, "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id:long,cosine:double,toxic:int>>")
+    asked = rows.withColumn("held_out", held_out(F.col("doc_id"))).select(*kept, "text")
+    schema = StructType(asked.drop("text").schema.fields + StructType.fromDDL("score double, predicted int, evidence array<struct<doc_id:long,cosine:double,toxic:int>>").fields)
+    return asked.mapInArrow(predict, schema)
