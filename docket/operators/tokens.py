@@ -1,10 +1,11 @@
 """Tokenisation, padding and the token-store joins.
 
 The original loads a pretrained subword vocabulary; here the vocabulary is
-built from the corpus (re-aimed) with a size cap, which is what makes the
-token→id join a broadcast with a proven bound.  Text is split JVM-side;
-per-document token lists are rebuilt with an ordered ``collect_list`` whose
-size is bounded by ``max_length``.
+built from the corpus (re-aimed) and holds every token.  It grows with the
+data, so ids come from a distributed rank and the token→id join carries no
+broadcast mark: AQE broadcasts a small vocabulary and splits hot tokens of a
+large one.  Text is split JVM-side; per-document token lists are rebuilt with
+an ordered ``collect_list`` whose size is bounded by ``max_length``.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql.window import Window
 
 from docket.functions import arrays as A
 from docket.functions import strings as S
+from docket.operators.splits import global_rank
 
 # Special token ids.
 PAD, UNK, CLS, SEP = 0, 1, 2, 3
@@ -27,16 +29,14 @@ def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN_RE), 0)
 
 
-def build_vocab(docs: DataFrame, text_col: str = "text", max_size: int = 30000) -> DataFrame:
-    """Token counts over the corpus, the ``max_size`` most frequent kept (ties
-    by token), ids from ``N_SPECIAL`` upwards in that order.  Counting is a
-    partial aggregate; the top-k is a bounded ``TakeOrderedAndProject``; the
-    id window runs over at most ``max_size`` rows."""
+def build_vocab(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """All tokens of the corpus with their counts, ids from ``N_SPECIAL``
+    upwards by falling count (ties by token).  Counting is a partial
+    aggregate, the id a distributed rank."""
     counts = (docs.select(F.explode(word_tokens(F.col(text_col))).alias("token"))
               .groupBy("token").agg(F.count(F.lit(1)).alias("freq")))
-    top = counts.orderBy(F.col("freq").desc(), F.col("token").asc()).limit(max_size)
-    w = Window.orderBy(F.col("freq").desc(), F.col("token").asc())
-    return top.select("token", "freq", (F.row_number().over(w) - 1 + N_SPECIAL).cast("int").alias("id"))
+    ranked = global_rank(counts, [F.col("freq").desc(), F.col("token").asc()])
+    return ranked.select("token", "freq", (F.col("rn") - 1 + N_SPECIAL).cast("int").alias("id"))
 
 
 def tokenize_encode(docs: DataFrame, key_col: str, text_col: str, vocab: DataFrame,
@@ -44,23 +44,18 @@ def tokenize_encode(docs: DataFrame, key_col: str, text_col: str, vocab: DataFra
     """text → [CLS] ids… [SEP] truncated to ``max_length`` with a mask of 1s;
     unknown tokens → UNK.  The whole text is split and counted
     (``n_tokens``); positions past the truncation are dropped right after
-    the split, before the (broadcast, size-capped) vocabulary join."""
+    the split, so texts never move, only (key, position, token) rows."""
     keep = max_length - 2
-    # hash-partition the documents once by key: the exploded token rows stay
-    # on their document's partition through the broadcast join, so gathering
-    # them back by key needs no second exchange
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select(F.col(key_col).alias("key"), F.col(text_col)).repartition(parts, "key")
-    toks = docs.select("key", word_tokens(F.col(text_col)).alias("__t"))
+    toks = docs.select(F.col(key_col).alias("key"), word_tokens(F.col(text_col)).alias("__t"))
     counted = toks.select("key", F.size("__t").alias("n_tokens"), F.slice("__t", 1, keep).alias("__t"))
-    exploded = counted.select("key", F.posexplode("__t").alias("pos", "token"))
-    v = F.broadcast(vocab.select("token", "id"))
-    ided = exploded.join(v, "token", "left").select("key", "pos", F.coalesce("id", F.lit(UNK)).alias("id"))
+    exploded = counted.select("key", "n_tokens", F.posexplode_outer("__t").alias("pos", "token"))
+    ided = exploded.join(vocab.select("token", "id"), "token", "left")
+    known = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(UNK)).alias("id")))
     per = ided.groupBy("key").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda s: s["id"]).alias("__ids"))
-    out = counted.select("key", "n_tokens").join(per, "key", "left")  # co-partitioned on key
-    ids = F.concat(F.array(F.lit(CLS)), F.coalesce(F.col("__ids"), F.array().cast("array<int>")), F.array(F.lit(SEP)))
-    return out.select("key", "n_tokens", ids.alias("input_ids"),
+        F.max("n_tokens").alias("n_tokens"),
+        F.transform(F.array_sort(F.collect_list(known)), lambda s: s["id"]).alias("__ids"))
+    ids = F.concat(F.array(F.lit(CLS)), F.col("__ids"), F.array(F.lit(SEP)))
+    return per.select("key", "n_tokens", ids.alias("input_ids"),
                       F.array_repeat(F.lit(1), F.size(ids)).alias("attention_mask"))
 
 

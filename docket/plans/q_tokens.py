@@ -19,11 +19,11 @@ def tok_sql(x: str) -> str:
 define("vocab", None, """
 SELECT token, freq, CAST(row_number() OVER (ORDER BY freq DESC, token) - 1 + 4 AS INT) AS id FROM (
   SELECT token, count(*) AS freq FROM (SELECT unnest(""" + tok_sql("text") + """) AS token FROM documents) t
-  GROUP BY token ORDER BY freq DESC, token LIMIT 30000) v""")
+  GROUP BY token) v""")
 
 
 def vocab(spark, d):
-    return T.build_vocab(table(spark, d, "documents"), "text", 30000)
+    return T.build_vocab(table(spark, d, "documents"), "text")
 
 
 @query("build_vocab", sql=with_("vocab") + "SELECT token, freq, id FROM vocab")
