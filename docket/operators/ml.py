@@ -32,6 +32,12 @@ def text_vectors(docs: DataFrame, text_col: str = "text", dim: int = DIM) -> tup
     return model, model.transform(toks).drop("__tokens", "__tf", "__idf")
 
 
+def with_vectors(model: PipelineModel, docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``features`` of further texts under a fitted pipeline."""
+    toks = docs.withColumn("__tokens", word_tokens(F.col(text_col)))
+    return model.transform(toks).drop("__tokens", "__tf", "__idf")
+
+
 def soft_rows(df: DataFrame, target_col: str = "target", valid_only: bool = False) -> DataFrame:
     """One row per (record, class) weighted by the normalised target; the
     unclear sentinel normalises to a uniform target unless ``valid_only``."""

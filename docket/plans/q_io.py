@@ -42,10 +42,11 @@ JUSTICE_FIELDS = ["member_ord", "code", "birth_death", "state", "position", "app
 def q_scan_json_map(spark, d):
     path = scratch_path(spark, "justices_json")
     j = binding(spark, d, "justices").select("name", *JUSTICE_FIELDS)
-    files.write_json_map(j, path, "name")
     schema = T.StructType([T.StructField(c, T.LongType() if c == "member_ord" else T.StringType())
                            for c in JUSTICE_FIELDS])
-    return files.scan_json_map(spark, path, schema, "key")
+    # indented whole-file objects, as the original stores its maps
+    files.write_json_objects(j.select("name", F.to_json(F.struct(*JUSTICE_FIELDS)).alias("v")), path, "name", "v", 5000)
+    return files.scan_json_map(spark, path, schema, "key", whole_file=True)
 
 
 @query("scan_text_dir", sql=with_("bios_raw") + """
@@ -54,8 +55,8 @@ SELECT CAST(member_ord AS VARCHAR) AS key,
 FROM bios_raw WHERE regexp_replace(text, '^[\\t\\n\\x0B\\f\\r ]+|[\\t\\n\\x0B\\f\\r ]+$', '', 'g') <> ''""")
 def q_scan_text_dir(spark, d):
     path = scratch_path(spark, "bios_txt")
-    files.write_text_dir(binding(spark, d, "bios_raw").select(F.col("member_ord").alias("key"), "text"), path, "key")
-    return files.scan_text_dir(spark, path, "key")
+    files.write_keyed_text(binding(spark, d, "bios_raw").select(F.col("member_ord").alias("key"), "text"), path, "key")
+    return files.scan_keyed_text(spark, path, "key")
 
 
 shared("listed_keys", """
@@ -87,14 +88,14 @@ def q_sink_keyed_text(spark, d):
     return t.select("key", F.length("text").alias("n_chars"), F.md5("text").alias("h"))
 
 
-@query("token_store_roundtrip", sql=with_("vocab", "doc_tokens") + f"SELECT {TOK_OUT_SQL} FROM doc_tokens")
+@query("token_store_roundtrip", sql=with_("vocab", "doc_tokens") + f"""
+SELECT {TOK_OUT_SQL}, (SELECT count(*) FROM doc_tokens) AS num_tokenized FROM doc_tokens""")
 def q_token_store_roundtrip(spark, d):
     path = scratch_path(spark, "tokens")
-    files.save_token_store(doc_tokens(spark, d),
-                           {"model_name": "corpus-vocab", "max_sequence_length": 512,
-                            "tokenization_method": "word", "num_tokenized": -1}, path)
-    tok, _meta = files.load_token_store(spark, path)
-    return tok_out(tok)
+    files.save_token_store(doc_tokens(spark, d), {"model_name": "corpus-vocab", "max_sequence_length": 512,
+                                                  "tokenization_method": "word"}, path)
+    tok, meta = files.load_token_store(spark, path)
+    return tok_out(tok).withColumn("num_tokenized", meta.select("num_tokenized").scalar())
 
 
 @query("holdout_store", sql=with_("holdout") + """
@@ -232,7 +233,12 @@ SELECT case_ord, CAST(json_array_length(rec) AS INT) AS n_elems, json_array_leng
        ELSE 'unexpected record layout with ' || CAST(json_array_length(rec) AS VARCHAR) || ' elements' END AS message
 FROM record_json""")
 def q_record_layout_tolerant(spark, d):
-    r = records_layout.parse_record_layout(binding(spark, d, "record_json"), "rec")
+    # written and read as the original stores the case dataset: indented objects keyed by case id, list values
+    path = scratch_path(spark, "case_dataset")
+    rows = binding(spark, d, "record_json").select(F.col("case_ord"), "rec")
+    files.write_json_objects(rows, path, "case_ord", "rec", 5000)
+    scanned = files.scan_json_map(spark, path, None, "case_ord", whole_file=True)
+    r = records_layout.parse_record_layout(scanned.select(F.col("case_ord").cast("long").alias("case_ord"), "value"), "value")
     return r.select("case_ord", "n_elems", "valid", F.size("bios").alias("n_bios"), "description",
                     F.aggregate("target", F.lit(0.0), lambda a, x: a + x).alias("t_sum"),
                     F.col("locations.bio").alias("loc_bio"), "message")

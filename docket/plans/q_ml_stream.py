@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docket.functions import arrays as A
 from docket.operators import ml
 from docket.plans.bindings import with_
 from docket.plans.q_metrics import rec_targets
@@ -33,23 +34,23 @@ def labelled_texts(spark, d):
 
 
 def fitted(spark, d):
+    """Model and scored frames; term statistics are fitted on the training texts alone."""
     data = labelled_texts(spark, d)
-    fmodel, feats = ml.text_vectors(data)
     h = holdout(spark, d).select(F.col("case_id").alias("__h"))
-    train = feats.join(h, feats.case_id == h.__h, "left_anti")
-    test = feats.join(h, feats.case_id == h.__h, "left_semi")
+    train = data.join(h, data.case_id == h.__h, "left_anti")
+    test = data.join(h, data.case_id == h.__h, "left_semi")
+    features, train = ml.text_vectors(train)
     model = ml.soft_label_classifier(ml.soft_rows(train))
-    return model, train, test
+    return model, train, ml.with_vectors(features, test)
 
 
 @query("soft_label_classifier")
 def q_soft_label_classifier(spark, d):
+    """Training records by target class: how many, and the model's mean probability of each class."""
     model, train, _ = fitted(spark, d)
-    hist = model.summary.objectiveHistory
-    return spark.range(1).select(F.lit(len(hist)).alias("iterations"),
-                                 F.lit(round(float(hist[-1]), 6)).alias("objective"),
-                                 F.lit(model.numClasses).alias("n_classes"),
-                                 F.lit(model.numFeatures).alias("n_features"))
+    s = ml.batch_score(model, train).withColumn("truth", A.argmax(F.col("target")))
+    return s.groupBy("truth").agg(F.count(F.lit(1)).alias("n"),
+                                  *[F.round(F.avg(F.col("probs")[i]), 6).alias(f"mean_p{i}") for i in range(3)])
 
 
 @query("batch_score")
@@ -72,7 +73,7 @@ def _split_files(spark, d, src):
     """Documents split into parquet files by doc_id % 5 (the increments)."""
     docs = table(spark, d, "documents").select("doc_id", "text")
     for k in range(5):
-        docs.filter(F.col("doc_id") % 5 == k).coalesce(1).write.mode("append").parquet(src)
+        docs.filter(F.col("doc_id") % 5 == k).write.mode("append").parquet(src)
         yield k
 
 
@@ -96,12 +97,14 @@ def q_incremental_upsert(spark, d):
     src, store, ckpt = f"{base}/in", f"{base}/store", f"{base}/ckpt"
     schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("text", T.StringType())])
     docs = table(spark, d, "documents")
-    old = docs.filter(F.col("doc_id") % 3 != 0).select(F.col("doc_id").alias("key"), "text")
+    old = docs.filter(F.col("doc_id") % 4 != 0).select(F.col("doc_id").alias("key"), "text", F.lit(1).cast("long").alias("ord"))
     new = docs.filter(F.col("doc_id") % 2 == 0).select(F.col("doc_id").alias("key"),
-                                                      F.concat("text", F.lit(" [rev]")).alias("text"))
+                                                      F.concat("text", F.lit(" [rev]")).alias("text"), F.lit(2).cast("long").alias("ord"))
+    # an earlier state of the same keys in the same increment: the ordinal decides, not the text
+    early = new.select("key", F.concat("text", F.lit(" zz")).alias("text"), F.lit(1).cast("long").alias("ord"))
     old.write.mode("append").parquet(src)
-    incremental.incremental_upsert(spark, src, schema, store, ckpt, ["key"])
-    new.write.mode("append").parquet(src)
-    incremental.incremental_upsert(spark, src, schema, store, ckpt, ["key"])
+    incremental.incremental_upsert(spark, src, schema, store, ckpt, ["key"], ["ord"])
+    new.unionByName(early).write.mode("append").parquet(src)
+    incremental.incremental_upsert(spark, src, schema, store, ckpt, ["key"], ["ord"])
     final = incremental.latest_store(spark, store, schema)
     return final.select("key", F.length("text").alias("n_chars"), F.md5("text").alias("h"))

@@ -235,7 +235,7 @@ def q_coverage_intersection(spark, d):
 
 # Store increments: existing rows for doc_id % 3 <> 0, new rows (changed
 # text) for even doc_ids; new wins.
-shared("store_old", "SELECT doc_id AS key, text FROM {documents} WHERE doc_id % 3 <> 0")
+shared("store_old", "SELECT doc_id AS key, text FROM {documents} WHERE doc_id % 4 <> 0")
 shared("store_new", "SELECT doc_id AS key, text || ' [rev]' AS text FROM {documents} WHERE doc_id % 2 = 0")
 
 

@@ -50,15 +50,43 @@ def require_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(*cols)
 
 
-def scan_json_map(spark: SparkSession, path: str, value_schema: T.StructType, key_name: str = "key") -> DataFrame:
-    """JSON object(s) keyed by id → one row per entry.  Each text record may
-    hold one object with many keys (a whole-file object, read with
-    ``wholetext``) or, at scale, one object per line (JSON Lines)."""
-    m = T.MapType(T.StringType(), value_schema)
-    lines = spark.read.text(path)
-    parsed = lines.select(F.from_json("value", m).alias("m")).filter(F.col("m").isNotNull())
-    e = parsed.select(F.explode("m").alias(key_name, "v"))
-    return e.select(key_name, "v.*")
+def _folder(spark: SparkSession, path: str):
+    """(file system, Hadoop path) of a folder, through Spark's own file systems."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in ``path``; none where it does not exist.  Other errors surface."""
+    fs, p = _folder(spark, path)
+    if not fs.exists(p):
+        return []
+    return [st.getPath().getName() for st in fs.listStatus(p) if st.isDirectory()]
+
+
+def committed(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` has finished (Spark's commit marker is there)."""
+    fs, p = _folder(spark, path)
+    return bool(fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def scan_json_map(spark: SparkSession, path: str, value_schema: T.DataType | None = None, key_name: str = "key",
+                  whole_file: bool = False) -> DataFrame:
+    """JSON object(s) keyed by id → one row per entry.
+
+    ``whole_file``: each file is one object, on one line or indented (read by
+    one task per file, as the format asks for).  Otherwise, at scale, one
+    object per line (JSON Lines).  ``value_schema`` is a struct (its fields
+    become columns); without one the values stay JSON text in ``value``, for
+    lists of mixed types.  A record that is no such object fails the job.
+    """
+    value = T.StringType() if value_schema is None else value_schema
+    lines = spark.read.text(path, wholetext=whole_file).filter(F.trim("value") != "")
+    parsed = lines.select(F.from_json("value", T.MapType(T.StringType(), value), {"mode": "FAILFAST"}).alias("m"))
+    # a null map (an empty or non-object record) is an error too, not zero rows
+    whole = F.when(F.col("m").isNull(), F.raise_error(F.lit(f"not a JSON object keyed by id: {path}"))).otherwise(F.col("m"))
+    e = parsed.select(F.explode(whole).alias(key_name, "value"))
+    return e if value_schema is None else e.select(key_name, "value.*")
 
 
 def write_json_map(df: DataFrame, path: str, key_col: str) -> None:
@@ -68,21 +96,42 @@ def write_json_map(df: DataFrame, path: str, key_col: str) -> None:
         .write.mode("overwrite").text(path)
 
 
+def write_json_objects(entries: DataFrame, path: str, key_col: str, json_col: str, per_file: int) -> None:
+    """Indented whole-file objects of at most ``per_file`` entries each, keys in order;
+    ``json_col`` holds each value as JSON text."""
+    from docket.operators.splits import global_rank
+
+    ranked = global_rank(entries.select(key_col, json_col), [F.col(key_col).asc()])
+    entry = F.concat(F.lit("  "), F.to_json(F.col(key_col).cast("string").cast("variant")), F.lit(": "), F.col(json_col))
+    objects = ranked.select(F.floor((F.col("rn") - 1) / per_file).alias("f"), "rn", entry.alias("e")).groupBy("f").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "e"))), lambda x: x["e"]), ",\n").alias("body"))
+    objects.select(F.concat(F.lit("{\n"), "body", F.lit("\n}")).alias("value"), "f").repartition("f") \
+        .write.mode("overwrite").partitionBy("f").option("lineSep", "\n").text(path)
+
+
 def scan_text_dir(spark: SparkSession, path: str, key_col: str = "key") -> DataFrame:
-    """One row per ``.txt`` file: key = partition value when the folder is
-    partitioned by ``key_col``, else the file stem; text stripped; empty
-    files dropped."""
-    df = (spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True)
+    """One row per ``.txt`` file: key = the file stem; text stripped; empty files dropped."""
+    df = (spark.read.option("pathGlobFilter", "*.txt").option("recursiveFileLookup", True).text(path, wholetext=True)
           .select("*", F.col("_metadata.file_name").alias("__f")))
-    key = F.col(key_col) if key_col in df.columns else F.regexp_replace("__f", r"\.txt$", "")
-    out = df.select(key.cast("string").alias(key_col), S.strip(F.col("value")).alias("text"))
+    out = df.select(F.regexp_replace("__f", r"\.txt$", "").alias(key_col), S.strip(F.col("value")).alias("text"))
     return out.filter(F.col("text") != "")
 
 
-def write_text_dir(df: DataFrame, path: str, key_col: str, text_col: str = "text") -> None:
-    """Text files grouped in folders by key (partitioned write)."""
-    df.select(F.col(key_col).cast("string").alias(key_col), F.col(text_col).alias("value")) \
-        .repartition(key_col).write.mode("overwrite").partitionBy(key_col).text(path)
+#: Folders that a keyed text store is cut into.
+TEXT_BUCKETS = 64
+
+
+def write_keyed_text(df: DataFrame, path: str, key_col: str, text_col: str = "text") -> None:
+    """Keyed texts as JSON Lines in a fixed number of key buckets, the key beside its text: no file per row."""
+    df.select(F.col(key_col).cast("string").alias("key"), F.col(text_col).alias("text"),
+              F.pmod(F.xxhash64(F.col(key_col).cast("string")), F.lit(TEXT_BUCKETS)).cast("int").alias("bucket")) \
+        .repartition("bucket").write.mode("overwrite").partitionBy("bucket").json(path)
+
+
+def scan_keyed_text(spark: SparkSession, path: str, key_col: str = "key") -> DataFrame:
+    """Rows of ``write_keyed_text``: text stripped; empty texts dropped."""
+    df = spark.read.schema("key string, text string, bucket int").json(path)
+    return df.select(F.col("key").alias(key_col), S.strip(F.col("text")).alias("text")).filter(F.col("text") != "")
 
 
 def scan_listed_files(files: DataFrame, listed: DataFrame, key_col: str = "key") -> tuple[DataFrame, DataFrame]:
@@ -107,25 +156,37 @@ def read_case_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
-def save_token_store(tokens: DataFrame, meta: dict, path: str) -> None:
-    """Token arrays table + one-row metadata table next to it."""
+def save_token_store(tokens: DataFrame, meta: dict, path: str, failed: DataFrame | None = None) -> None:
+    """Token arrays table, a one-row metadata table with the number of stored
+    entries as written, and the keys that could not be encoded."""
     spark = tokens.sparkSession
     tokens.write.mode("overwrite").parquet(f"{path}/tokens")
-    spark.createDataFrame([meta]).write.mode("overwrite").parquet(f"{path}/metadata")
+    stored = spark.read.parquet(f"{path}/tokens")
+    row = stored.agg(F.count(F.lit(1)).alias("num_tokenized"))
+    row.select("num_tokenized", *[F.lit(v).alias(k) for k, v in meta.items()]).write.mode("overwrite").parquet(f"{path}/metadata")
+    lost = failed if failed is not None else stored.limit(0).select(F.col("key").cast("string").alias("key"))
+    lost.select(F.col("key").cast("string").alias("key")).write.mode("overwrite").parquet(f"{path}/failed")
 
 
 def load_token_store(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/tokens"), spark.read.parquet(f"{path}/metadata")
 
 
+def merge_token_stores(spark: SparkSession, old: str, new: str, out: str) -> None:
+    """Union of two token stores by key, the new one's entries winning; the metadata holds the merged
+    count and both sources."""
+    from docket.operators.setops import upsert_new_wins
+
+    (a, meta_a), (b, meta_b) = load_token_store(spark, old), load_token_store(spark, new)
+    keep = meta_b.drop("num_tokenized").first().asDict()  # one row
+    save_token_store(upsert_new_wins(a, b, ["key"]).drop("src"), keep | {"sources": f"{old},{new}"}, out)
+
+
 def holdout_store(spark: SparkSession, path: str, compute, source: str, force: bool = False) -> DataFrame:
     """Holdout ids with header fields.  Reloads the stored table unless it is
     missing or ``force``; otherwise computes, writes, then reads back."""
-    if not force:
-        try:
-            return spark.read.parquet(path)
-        except Exception:  # noqa: BLE001  - absent store: compute it
-            pass
+    if not force and committed(spark, path):
+        return spark.read.parquet(path)
     ids = compute()
     created = dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%S")
     total = ids.agg(F.count(F.lit(1))).scalar()

@@ -5,34 +5,59 @@ token entries into a keyed store.  Here new input files are picked up by a
 file stream with a checkpoint (each file is processed exactly once, a
 restart resumes where it stopped), ``trigger(availableNow=True)`` drains
 what is there and stops, and ``foreachBatch`` merges every micro-batch into
-the keyed parquet store with "new wins".  The merge is idempotent per batch
-id: a batch replayed after a failure rewrites the same store version.
+the keyed parquet store with "new wins".
+
+The store is cut into a fixed number of key buckets.  A batch writes a folder
+``v=<batch id>`` with the buckets it touches, and only those; the folder
+counts once Spark's commit marker is in it.  The current state of a bucket is
+its version in the newest folder that has it.  A batch reads only folders
+before its own, so a replayed batch rewrites the same folder from the same
+input.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docket.operators.setops import upsert_new_wins
+from docket.sources.files import committed, subfolders
+
+BUCKETS = 64
 
 
 def store_version_path(store: str, batch_id: int) -> str:
     return f"{store.rstrip('/')}/v={batch_id:08d}"
 
 
+def bucket_of(keys: Sequence[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+
+
+def _versions(spark: SparkSession, store: str, below: int | None) -> list[int]:
+    """Committed versions; only an absent store counts as empty, other errors surface."""
+    found = [int(name[2:]) for name in subfolders(spark, store) if name.startswith("v=")]
+    return sorted(v for v in found if (below is None or v < below) and committed(spark, store_version_path(store, v)))
+
+
+def _state(spark: SparkSession, store: str, schema: T.StructType, below: int | None = None) -> DataFrame:
+    """The newest rows of every bucket, with ``bucket``."""
+    fields = T.StructType([*schema.fields, T.StructField("v", T.IntegerType()), T.StructField("bucket", T.IntegerType())])
+    versions = _versions(spark, store, below)
+    if not versions:
+        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())]))
+    rows = (spark.read.schema(fields).option("basePath", store)
+            .parquet(*[store_version_path(store, v) for v in versions]))
+    newest = rows.groupBy("bucket").agg(F.max("v").alias("v"))  # at most BUCKETS rows, from the folder names
+    return rows.join(F.broadcast(newest), ["bucket", "v"]).drop("v")
+
+
 def latest_store(spark: SparkSession, store: str, schema: T.StructType) -> DataFrame:
-    """The most recent complete store version (empty when none)."""
-    try:
-        with_v = T.StructType(list(schema.fields) + [T.StructField("v", T.StringType())])
-        versions = spark.read.schema(with_v).parquet(store)
-        top = versions.agg(F.max("v")).scalar()
-        return versions.filter(F.col("v") == top).drop("v")
-    except Exception:  # noqa: BLE001  - no version yet
-        return spark.createDataFrame([], schema)
+    """The current rows of the store (empty when there is none)."""
+    return _state(spark, store, schema).drop("bucket")
 
 
 def incremental_ingest(spark: SparkSession, source_dir: str, schema: T.StructType, out_dir: str,
@@ -46,22 +71,30 @@ def incremental_ingest(spark: SparkSession, source_dir: str, schema: T.StructTyp
     q.awaitTermination()
 
 
+def upsert_batch(batch: DataFrame, batch_id: int, store: str, schema: T.StructType, keys: Sequence[str],
+                 ordinal: Sequence[str]) -> None:
+    """Merge one increment: of repeated keys the row with the greatest
+    ``ordinal`` wins, and new rows win over stored ones."""
+    spark = batch.sparkSession
+    rows = [f.name for f in schema.fields]
+    last = batch.groupBy(*keys).agg(F.max_by(F.struct(*rows), F.struct(*ordinal)).alias("__r")).select("__r.*")
+    inc = last.withColumn("bucket", bucket_of(keys))
+    touched = F.broadcast(inc.select("bucket").distinct())  # at most BUCKETS rows
+    current = _state(spark, store, schema, below=batch_id).join(touched, "bucket", "left_semi").select(*rows, "bucket")
+    merged = upsert_new_wins(current, inc.select(*rows, "bucket"), keys).drop("src")
+    merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(store_version_path(store, batch_id))
+
+
 def incremental_upsert(spark: SparkSession, source_dir: str, schema: T.StructType, store: str, checkpoint: str,
-                       keys: Sequence[str]) -> None:
-    """Merge each increment into the keyed store (new wins).  Each batch
-    writes a new store version ``v=<batch id>``; the reader takes the
-    highest complete version, so a replayed batch is harmless."""
-    data_fields = T.StructType([f for f in schema.fields])
+                       keys: Sequence[str], ordinal: Sequence[str]) -> None:
+    """Merge each increment into the keyed store.  ``schema`` is the store's;
+    the increments also hold the ``ordinal`` columns."""
+    known = {f.name for f in schema.fields}
+    read = T.StructType([*schema.fields, *[T.StructField(c, T.LongType()) for c in ordinal if c not in known]])
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        sess = batch.sparkSession
-        current = latest_store(sess, store, T.StructType(list(data_fields.fields)))
-        # one row per key inside the increment, chosen deterministically
-        others = [c for c in batch.columns if c not in keys]
-        inc = batch.groupBy(*keys).agg(F.max(F.struct(*others)).alias("__r")).select(*keys, "__r.*")
-        merged = upsert_new_wins(current, inc, keys).drop("src")
-        merged.write.mode("overwrite").parquet(store_version_path(store, batch_id))
-
-    q = (spark.readStream.schema(schema).parquet(source_dir).writeStream.foreachBatch(merge)
+        upsert_batch(batch, batch_id, store, schema, keys, ordinal)
+
+    q = (spark.readStream.schema(read).parquet(source_dir).writeStream.foreachBatch(merge)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
