@@ -7,6 +7,8 @@ existence checks of the original become semi/left joins against key tables.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,20 +71,23 @@ def vote_members(cases: DataFrame, member_book: DataFrame, bio_keys: DataFrame,
 
 
 def assemble_training_records(cases: DataFrame, member_book: DataFrame, bio_keys: DataFrame,
-                              desc_keys: DataFrame) -> DataFrame:
+                              desc_keys: DataFrame, order: Sequence[str] = ()) -> DataFrame:
     """Case table + description store + bios + targets → D6 records.
 
-    ``cases`` must hold one row per case id (apply ``dedup_first`` first when
-    it may not).  Single pass over the case table: the votes are exploded
-    with the case's own columns attached, joined once to the member lookup
-    and gathered back per case (cases without any bio keep an empty list),
-    then the description key is attached.  Targets parse the share columns
-    with the −1 sentinel.
+    Of several rows with one case id the first in ``order`` makes the record
+    (without ``order``: the least by its own columns), whole and alone.
+    Single pass over the case table: the votes are exploded with the case's
+    own columns attached, joined once to the member lookup and gathered back
+    per case (cases without any bio keep an empty list), then the description
+    key is attached.  Targets parse the share columns with the −1 sentinel.
     """
     lk = member_lookup(member_book, bio_keys)
     shares = ["pct_in_favor", "pct_against", "pct_absent"]
-    parts = cases.select(F.col("caseIssuesId").alias("case_id"), "usCite", *shares,
-                         F.posexplode_outer(F.split(F.col("justice_votes"), ";")).alias("pos", "part"))
+    own = ["usCite", *shares, "justice_votes"]
+    first = cases.groupBy(F.col("caseIssuesId").alias("case_id")).agg(
+        F.min_by(F.struct(*own), F.struct(*order, *own)).alias("__r"))
+    parts = first.select("case_id", "__r.*").select(
+        "case_id", "usCite", *shares, F.posexplode_outer(F.split(F.col("justice_votes"), ";")).alias("pos", "part"))
     code = F.when(S.strip(F.col("part")) != "", F.split(S.strip(F.col("part")), ":").getItem(0))
     j = parts.withColumn("code", code).join(lk, F.col("code") == F.col("lk_code"), "left")
     named = F.when(F.coalesce(F.col("lk_bio"), F.lit(False)), F.struct("pos", F.col("lk_name").alias("name")))

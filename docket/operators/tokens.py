@@ -124,10 +124,11 @@ def resolve_versioned_pair(trunc: DataFrame, full: DataFrame, key_col: str = "ke
             .filter(F.col("full_key").isNotNull()))
 
 
-def enrich_with_metadata(files: DataFrame, justices: DataFrame, key_col: str = "full_key") -> DataFrame:
-    """File → (appointment year, nominating president) of the member named
-    by the file (``.txt`` dropped, ``_`` → space); (NULL, NULL) if none."""
+def enrich_with_metadata(files: DataFrame, justices: DataFrame, key_col: str = "trunc_key") -> DataFrame:
+    """File → (appointment year, nominating president) of the member named by
+    the truncated file, its version suffix and ``.txt`` dropped, ``_`` →
+    space; (NULL, NULL) if none."""
     j = justices.select(F.col("name").alias("__n"), S.year_from_text(F.col("appointment_date")).alias("year"),
                         F.col("nominated_by").alias("president"))
-    return files.withColumn("__name", S.name_from_file(F.col(key_col))) \
+    return files.withColumn("__name", F.replace(S.canonical_base(F.col(key_col)), F.lit("_"), F.lit(" "))) \
         .join(j, F.col("__name") == F.col("__n"), "left").drop("__name", "__n")

@@ -1,78 +1,21 @@
 """Vector metrics and cluster studies.
 
-Quadratic measures (MRR, nearest neighbours, the similarity matrix) are
-computed blockwise: candidates are grouped into blocks of at most
-``block_size`` vectors (an array per block), each query row is expanded over
-the block ids and equi-joined to the blocks, and a higher-order function
-scans the block's array.  No pair rows are emitted and no group is larger
-than one block.  NT-Xent uses the contrastive batch as its block.
+Searches take a stated query set against all rows, in blocks: a query block
+and a candidate block meet in one group, as one numpy matrix product, and
+only each query's best (or the pairs above a threshold) leave it.  MRR ranks
+within a validation set, NT-Xent within a contrastive batch; both are bounded
+by their definition.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docket.functions import arrays as A
 from docket.operators.splits import global_rank
 
 
-def candidate_blocks(cands: DataFrame, id_col: str, vec_col: str, block_size: int,
-                     extra: tuple[str, ...] = ()) -> tuple[DataFrame, Column]:
-    """Group candidates into blocks of ≤ ``block_size`` (by rank of id).
-    Returns (blocks(block, members array<struct>), number-of-blocks scalar)."""
-    ranked = global_rank(cands.select(id_col, vec_col, *extra), [F.col(id_col).asc()], "__r")
-    ranked = ranked.withColumn("block", F.floor((F.col("__r") - 1) / block_size).cast("int"))
-    members = F.struct(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), *[F.col(e) for e in extra])
-    blocks = ranked.groupBy("block").agg(F.collect_list(members).alias("members"))
-    n_blocks = ranked.agg(F.max("block") + 1).scalar()
-    return blocks, n_blocks
-
-
-def expand_over_blocks(queries: DataFrame, n_blocks: Column) -> DataFrame:
-    return queries.withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-
-
-def mrr(pairs: DataFrame, id_col: str, student_col: str, teacher_col: str, block_size: int = 256,
-        digits: int = 9) -> DataFrame:
-    """Mean reciprocal rank of each row's own teacher among all teachers by
-    dot product: rank = 1 + #(sim > own), similarities rounded to ``digits``."""
-    blocks, nb = candidate_blocks(pairs, id_col, teacher_col, block_size)
-    q = pairs.select(F.col(id_col).alias("qid"), F.col(student_col).alias("q"),
-                     F.round(A.dot(F.col(student_col), F.col(teacher_col)), digits).alias("own"))
-    j = expand_over_blocks(q, nb).join(blocks, "block")
-    better = F.size(F.filter("members", lambda m: F.round(A.dot(F.col("q"), m["v"]), digits) > F.col("own")))
-    per = j.groupBy("qid").agg((F.sum(better) + 1).alias("rank"))
-    return per.agg(F.round(F.avg(1.0 / F.col("rank")), 6).alias("mrr"), F.count(F.lit(1)).alias("n"))
-
-
-def similarity_blocks(queries: DataFrame, cands: DataFrame, id_col: str, vec_col: str,
-                      block_size: int = 256, digits: int = 6) -> DataFrame:
-    """The all-pairs dot-product matrix in blocked form: one row per (query,
-    candidate block) with the block's ids and similarities."""
-    blocks, nb = candidate_blocks(cands, id_col, vec_col, block_size)
-    q = queries.select(F.col(id_col).alias("qid"), F.col(vec_col).alias("q"))
-    j = expand_over_blocks(q, nb).join(blocks, "block")
-    return j.select("qid", "block", F.transform("members", lambda m: m["id"]).alias("cand_ids"),
-                    F.transform("members", lambda m: F.round(A.dot(F.col("q"), m["v"]), digits)).alias("sims"))
-
-
-def top_k_neighbors(vecs: DataFrame, id_col: str, vec_col: str, label_col: str, k: int = 5,
-                    block_size: int = 256, digits: int = 9) -> DataFrame:
-    """Top-k other vectors by cosine (unit vectors: dot), best first, ties by
-    id; per query row the k winners of each block, then of all blocks."""
-    blocks, nb = candidate_blocks(vecs, id_col, vec_col, block_size, extra=(label_col,))
-    q = vecs.select(F.col(id_col).alias("qid"), F.col(vec_col).alias("q"))
-    j = expand_over_blocks(q, nb).join(blocks, "block")
-    scored = F.transform(F.filter("members", lambda m: m["id"] != F.col("qid")),
-                         lambda m: F.struct((-F.round(A.dot(F.col("q"), m["v"]), digits)).alias("neg"),
-                                            m["id"].alias("id"), m[label_col].alias("label")))
-    local = j.select("qid", F.explode(F.slice(F.array_sort(scored), 1, k)).alias("c"))
-    # each query keeps ≤ k·blocks candidates; take the k best of them
-    best = local.groupBy("qid").agg(F.slice(F.array_sort(F.collect_list("c")), 1, k).alias("top"))
-    return best
-
-
 def centroids(vecs: DataFrame, cluster_col: str, vec_col: str, dim: int) -> DataFrame:
     """Mean vector per cluster (element-wise average)."""
     e = vecs.select(cluster_col, F.posexplode(vec_col).alias("i", "x"))
@@ -83,26 +26,29 @@ def centroids(vecs: DataFrame, cluster_col: str, vec_col: str, dim: int) -> Data
 
 def cluster_cohesion(vecs: DataFrame, cluster_col: str, vec_col: str, dim: int) -> DataFrame:
     """Per cluster: size and mean / median / max cosine distance of members
-    to the cluster centroid (median interpolates on even sizes)."""
+    to the cluster centroid (median interpolates on even sizes).  The median
+    is the middle of a distributed rank, so a hot cluster is in no one task's
+    memory."""
     c = centroids(vecs, cluster_col, vec_col, dim)
-    j = vecs.join(c, cluster_col)
     dist = 1.0 - A.cosine(F.col(vec_col), F.col("centroid"))
-    return j.withColumn("d", dist).groupBy(cluster_col).agg(
-        F.count(F.lit(1)).alias("size"),
-        F.round(F.avg("d"), 6).alias("mean_cos_dist"),
-        F.round(F.median("d"), 6).alias("median_cos_dist"),
-        F.round(F.max("d"), 6).alias("max_cos_dist"))
-
-
-def centroid_similarity(vecs: DataFrame, cluster_col: str, vec_col: str, dim: int) -> DataFrame:
-    """Cluster × cluster cosine of centroids.  The centroid list is one row
-    per cluster, passed as a scalar subquery (no self join)."""
-    c = centroids(vecs, cluster_col, vec_col, dim)
-    allc = c.agg(F.collect_list(F.struct(F.col(cluster_col).alias("k"), F.col("centroid").alias("v")))).scalar()
-    pairs = c.select(F.col(cluster_col).alias("cluster_a"), "centroid",
-                     F.explode(allc).alias("o"))
-    return pairs.select("cluster_a", F.col("o.k").alias("cluster_b"),
-                        F.round(A.cosine(F.col("centroid"), F.col("o.v")), 6).alias("cos"))
+    d = vecs.join(c, cluster_col).select(F.col(cluster_col), dist.alias("d"))
+    ranked = global_rank(d, [F.col(cluster_col).asc(), F.col("d").asc()])
+    stats = ranked.groupBy(cluster_col).agg(F.count(F.lit(1)).alias("size"), F.min("rn").alias("__first"),
+                                            F.avg("d").alias("__mean"), F.max("d").alias("__max"))
+    place = F.col("rn") - F.col("__first")
+    middle = ranked.join(stats, cluster_col).filter(
+        (place == F.floor((F.col("size") - 1) / 2)) | (place == F.floor(F.col("size") / 2)))
+    return middle.groupBy(cluster_col, "size").agg(
+        F.round(F.first("__mean"), 6).alias("mean_cos_dist"), F.round(F.avg("d"), 6).alias("median_cos_dist"),
+        F.round(F.first("__max"), 6).alias("max_cos_dist"))
+
+
+def centroid_similarity(vecs: DataFrame, cluster_col: str, vec_col: str, dim: int, k: int = 5) -> DataFrame:
+    """For every cluster the ``k`` clusters (itself included) with the most
+    similar centroids, by cosine: a blocked search over the centroids."""
+    c = centroids(vecs, cluster_col, vec_col, dim).select(F.col(cluster_col).alias("id"), A.l2_normalize(F.col("centroid")).alias("v"))
+    best = nearest_blocked(c, c, "id", "v", k=k, with_itself=True)
+    return best.select(F.col("qid").alias("cluster_a"), F.col("cid").alias("cluster_b"), F.round("sim", 6).alias("cos"))
 
 
 def batch_arrays(pairs: DataFrame, batch_col: str, id_col: str, teacher_col: str) -> DataFrame:
@@ -145,83 +91,78 @@ def contrastive_loss(pairs: DataFrame, batch_col: str, id_col: str, student_col:
         batch_col, F.round(alpha * F.col("nt_xent") + (1 - alpha) * F.col("cos_loss"), 6).alias("loss"))
 
 
-def nearest_blocked(vecs: DataFrame, id_col: str, vec_col: str, k: int = 1, block_size: int = 2048,
-                    digits: int = 9) -> DataFrame:
-    """Top-k other vectors by dot product for every vector, as a blocked
-    matrix product: rows are ranked into blocks of ≤ ``block_size``; query
-    and candidate blocks meet in a ``cogroup`` keyed by (query block,
-    candidate block) and each pair is one numpy matmul of at most
-    block_size² entries.  Per query the k best of each block are merged
-    with a window over ≤ k·blocks rows.  Ties go to the smaller id."""
+def _blocked(df: DataFrame, id_col: str, vec_col: str, block_size: int) -> DataFrame:
+    """(id, v, b): blocks of at most ``block_size`` rows by rank of the id."""
+    return global_rank(df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")), [F.col("id").asc()],
+                       "__r").withColumn("b", F.floor((F.col("__r") - 1) / block_size).cast("int")).drop("__r")
+
+
+def _meet(queries: DataFrame, cands: DataFrame, id_col: str, vec_col: str, block_size: int, keep) -> DataFrame:
+    """Every query block with every candidate block: one matrix product, of
+    which ``keep(sims, qids, cids)`` gives the (row, column) pairs that stay."""
     import numpy as np
     import pandas as pd
-    from pyspark.sql.window import Window
 
-    ranked = global_rank(vecs.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")), [F.col("id").asc()],
-                         "__r").withColumn("b", F.floor((F.col("__r") - 1) / block_size).cast("int"))
-    nb = ranked.agg(F.max("b") + 1).scalar()
-    blocks = F.explode(F.sequence(F.lit(0), nb - 1))
-    q = ranked.select(F.col("b").alias("qb"), blocks.alias("cb"), "id", "v")
-    c = ranked.select(blocks.alias("qb"), F.col("b").alias("cb"), F.col("id").alias("cid"), F.col("v").alias("cv"))
+    q, c = _blocked(queries, id_col, vec_col, block_size), _blocked(cands, id_col, vec_col, block_size)
+    nq, nc = q.agg(F.max("b")).scalar(), c.agg(F.max("b")).scalar()
+    q = q.select(F.col("b").alias("qb"), F.explode(F.sequence(F.lit(0), nc)).alias("cb"), "id", "v")
+    c = c.select(F.explode(F.sequence(F.lit(0), nq)).alias("qb"), F.col("b").alias("cb"), F.col("id").alias("cid"), F.col("v").alias("cv"))
 
     def best(qp: pd.DataFrame, cp: pd.DataFrame) -> pd.DataFrame:
         if qp.empty or cp.empty:
             return pd.DataFrame({"qid": [], "cid": [], "sim": []})
-        qm = np.stack(qp["v"].to_numpy()).astype(np.float64)
-        cm = np.stack(cp["cv"].to_numpy()).astype(np.float64)
-        sims = np.round(qm @ cm.T, digits)
-        qids = qp["id"].to_numpy()
-        cids = cp["cid"].to_numpy()
-        sims[qids[:, None] == cids[None, :]] = -np.inf
-        kk = min(k, len(cids))
-        order = np.lexsort((np.broadcast_to(cids, sims.shape), -sims), axis=1)[:, :kk]
-        rows = np.repeat(np.arange(len(qids)), kk)
-        cols = order.reshape(-1)
-        out = pd.DataFrame({"qid": qids[rows], "cid": cids[cols], "sim": sims[rows, cols]})
-        return out[np.isfinite(out["sim"])]
-
-    pairs = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(
-        best, "qid long, cid long, sim double")
+        qids, cids = qp["id"].to_numpy(), cp["cid"].to_numpy()
+        sims = np.round(np.stack(qp["v"].to_numpy()).astype(np.float64) @ np.stack(cp["cv"].to_numpy()).astype(np.float64).T, 9)
+        rows, cols = keep(sims, qids, cids)
+        return pd.DataFrame({"qid": qids[rows], "cid": cids[cols], "sim": sims[rows, cols]})
+
+    return q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(best, "qid long, cid long, sim double")
+
+
+def nearest_blocked(queries: DataFrame, vecs: DataFrame, id_col: str, vec_col: str, k: int = 1, block_size: int = 2048,
+                    with_itself: bool = False) -> DataFrame:
+    """Top-k vectors by dot product for every query (other than itself): the
+    k best of each block are merged with a window over ≤ k·blocks rows per
+    query.  Similarities are rounded to 9 digits, ties go to the smaller id."""
+    import numpy as np
+    from pyspark.sql.window import Window
+
+    def keep(sims, qids, cids):
+        if not with_itself:
+            sims[qids[:, None] == cids[None, :]] = -np.inf
+        order = np.lexsort((np.broadcast_to(cids, sims.shape), -sims), axis=1)[:, : min(k, len(cids))]
+        rows, cols = np.repeat(np.arange(len(qids)), order.shape[1]), order.reshape(-1)
+        real = np.isfinite(sims[rows, cols])
+        return rows[real], cols[real]
+
     w = Window.partitionBy("qid").orderBy(F.col("sim").desc(), F.col("cid").asc())
+    pairs = _meet(queries, vecs, id_col, vec_col, block_size, keep)
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _block_pairs(vecs: DataFrame, block_size: int, extra_q: tuple = ()) -> tuple[DataFrame, DataFrame]:
-    """(query side, candidate side), both keyed by (query block, candidate
-    block); every query row meets every candidate block exactly once."""
-    ranked = global_rank(vecs, [F.col("id").asc()], "__r") \
-        .withColumn("b", F.floor((F.col("__r") - 1) / block_size).cast("int"))
-    nb = ranked.agg(F.max("b") + 1).scalar()
-    blocks = F.explode(F.sequence(F.lit(0), nb - 1))
-    q = ranked.select(F.col("b").alias("qb"), blocks.alias("cb"), "id", "s", *extra_q)
-    c = ranked.select(blocks.alias("qb"), F.col("b").alias("cb"), F.col("id").alias("cid"), F.col("t").alias("ct"))
-    return q, c
+def similar_pairs(queries: DataFrame, vecs: DataFrame, id_col: str, vec_col: str, threshold: float,
+                  block_size: int = 2048) -> DataFrame:
+    """(qid, cid, sim) of all other vectors whose dot product with a query is at least ``threshold``."""
+    import numpy as np
+
+    def keep(sims, qids, cids):
+        return np.nonzero((sims >= threshold) & (qids[:, None] != cids[None, :]))
+
+    return _meet(queries, vecs, id_col, vec_col, block_size, keep)
 
 
-def mrr_blocked(pairs: DataFrame, id_col: str, student_col: str, teacher_col: str, block_size: int = 1024,
-                digits: int = 9) -> DataFrame:
-    """MRR as a blocked matrix product: for each (query block, teacher
-    block) one numpy matmul counts the teachers scoring strictly above the
-    query's own pair (9-digit rounding); counts are summed per query."""
+def mrr(pairs: DataFrame, set_col: str, id_col: str, student_col: str, teacher_col: str, digits: int = 9) -> DataFrame:
+    """Per validation set (bounded by its definition): mean reciprocal rank
+    of each row's own teacher among the set's teachers by dot product, rank =
+    1 + #(sim > own), similarities rounded to ``digits``; and the set's size."""
     import numpy as np
     import pandas as pd
 
-    base = pairs.select(F.col(id_col).alias("id"), F.col(student_col).alias("s"), F.col(teacher_col).alias("t"))
-    base = base.withColumn("own", F.round(A.dot(F.col("s"), F.col("t")), digits))
-    q, c = _block_pairs(base, block_size, extra_q=("own",))
-
-    def better(qp: pd.DataFrame, cp: pd.DataFrame) -> pd.DataFrame:
-        if qp.empty:
-            return pd.DataFrame({"qid": [], "n": []})
-        if cp.empty:
-            return pd.DataFrame({"qid": qp["id"].to_numpy(), "n": np.zeros(len(qp), dtype=np.int64)})
-        qm = np.stack(qp["s"].to_numpy()).astype(np.float64)
-        cm = np.stack(cp["ct"].to_numpy()).astype(np.float64)
-        sims = np.round(qm @ cm.T, digits)
-        hit = sims > qp["own"].to_numpy()[:, None]
-        hit &= qp["id"].to_numpy()[:, None] != cp["cid"].to_numpy()[None, :]
-        return pd.DataFrame({"qid": qp["id"].to_numpy(), "n": hit.sum(axis=1).astype(np.int64)})
-
-    counts = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(better, "qid long, n long")
-    per = counts.groupBy("qid").agg((F.sum("n") + 1).alias("rank"))
-    return per.agg(F.round(F.avg(1.0 / F.col("rank")), 6).alias("mrr"), F.count(F.lit(1)).alias("n"))
+    rows = pairs.select(F.col(set_col).alias("set"), F.col(id_col).alias("id"), F.col(student_col).alias("s"), F.col(teacher_col).alias("t"))
+
+    def ranks(p: pd.DataFrame) -> pd.DataFrame:
+        sims = np.round(np.stack(p["s"].to_numpy()).astype(np.float64) @ np.stack(p["t"].to_numpy()).astype(np.float64).T, digits)
+        rank = 1 + (sims > np.diag(sims)[:, None]).sum(1)
+        return pd.DataFrame({"set": [p["set"].iloc[0]], "mrr": [round(float((1.0 / rank).mean()), 6)], "n": [len(p)]})
+
+    return rows.groupBy("set").applyInPandas(ranks, "set long, mrr double, n long")

@@ -136,8 +136,10 @@ FROM {labels} l JOIN {documents} d ON d.doc_id = l.doc_id""")
 
 
 @query("confusion_matrix", sql=with_("class_pairs") + """
-SELECT y_true AS true_class, count_if(y_pred = 0) AS pred_0, count_if(y_pred = 1) AS pred_1,
-       count_if(y_pred = 2) AS pred_2 FROM class_pairs GROUP BY y_true""")
+SELECT g.true_class, coalesce(count_if(y_pred = 0), 0) AS pred_0, coalesce(count_if(y_pred = 1), 0) AS pred_1,
+       coalesce(count_if(y_pred = 2), 0) AS pred_2, count_if(p.y_true IS NOT NULL AND coalesce(y_pred NOT IN (0, 1, 2), true)) AS pred_other
+FROM (SELECT CAST(unnest(range(3)) AS INT) AS true_class UNION SELECT y_true FROM class_pairs) g
+LEFT JOIN class_pairs p ON p.y_true = g.true_class GROUP BY g.true_class""")
 def q_confusion_matrix(spark, d):
     return metrics.confusion_matrix(binding(spark, d, "class_pairs"), "y_true", "y_pred", 3)
 
@@ -161,17 +163,28 @@ def q_f1_macro(spark, d):
     return metrics.f1_macro(binding(spark, d, "class_pairs"), "y_true", "y_pred", 3)
 
 
-@query("combined_metric", sql=with_("records", "cases_base", "rec_targets", "kl_rows", "class_pairs") + f"""
-SELECT round((kl + 1 - f1) / 2, 6) AS combined, round(kl, 6) AS kl, round(f1, 6) AS f1 FROM (
-  SELECT (SELECT avg(m) FROM (SELECT avg(kl) AS m FROM kl_rows WHERE kl IS NOT NULL GROUP BY batch) b) AS kl,
-         (SELECT ({' + '.join(F1_PARTS)}) / 3 FROM class_pairs) AS f1) t""")
+def f1_over(t: str, p: str) -> str:
+    return F1_MACRO.replace("y_true", t).replace("y_pred", p)
+
+
+F1_MACRO = f"({' + '.join(F1_PARTS)}) / 3"
+
+define("scored", None, "SELECT batch, " + kl_sql("p", "t") + """ AS kl,
+  CAST(list_position(t, list_aggregate(t, 'max')) - 1 AS INT) AS y_true,
+  CAST(list_position(p, list_aggregate(p, 'max')) - 1 AS INT) AS y_pred FROM {rec_targets}""")
+
+
+@query("combined_metric", sql=with_("records", "cases_base", "rec_targets", "scored") + f"""
+SELECT round((kl + 1 - f1) / 2, 6) AS combined, round(kl, 6) AS kl, round(f1, 6) AS f1, n, n_undefined FROM (
+  SELECT (SELECT avg(m) FROM (SELECT avg(kl) AS m FROM scored GROUP BY batch) b) AS kl,
+         (SELECT {F1_MACRO} FROM scored) AS f1, (SELECT count(*) FROM scored) AS n,
+         (SELECT count(*) FROM scored WHERE kl IS NULL) AS n_undefined) t""")
 def q_combined_metric(spark, d):
-    r = rec_targets(spark, d).withColumn("kl", A.kl_row(F.col("p"), F.col("t"))).filter(F.col("kl").isNotNull())
-    kl = r.groupBy("batch").agg(F.avg("kl").alias("m")).agg(F.avg("m")).scalar()
-    cp = binding(spark, d, "class_pairs")
-    f1 = metrics.f1_macro(cp, "y_true", "y_pred", 3).select("f1_macro").scalar()
-    return spark.range(1).select(F.round((kl + 1 - f1) / 2, 6).alias("combined"), F.round(kl, 6).alias("kl"),
-                                 F.round(f1, 6).alias("f1"))
+    """KL and F1 over the same scored records; records whose KL is not
+    defined (a negative share) are counted, not passed over in silence."""
+    r = rec_targets(spark, d).select("batch", A.kl_row(F.col("p"), F.col("t")).alias("kl"),
+                                     A.argmax(F.col("t")).alias("y_true"), A.argmax(F.col("p")).alias("y_pred"))
+    return metrics.combined_metric(r, "batch", "kl", "y_true", "y_pred", 3)
 
 
 # ---------------------------------------------------------------- vectors
@@ -236,23 +249,27 @@ def q_contrastive_loss(spark, d):
 
 
 @query("mrr", sql=with_("pv") + """
-SELECT round(avg(1.0 / rnk), 6) AS mrr, count(*) AS n FROM (
-  SELECT x.vec_id, 1 + count_if(round(list_inner_product(x.s, y.t), 9) > round(list_inner_product(x.s, x.t), 9)) AS rnk
-  FROM pv x, pv y GROUP BY x.vec_id) r""")
+SELECT set, round(avg(1.0 / rnk), 6) AS mrr, count(*) AS n FROM (
+  SELECT x.set, x.vec_id, 1 + count_if(round(list_inner_product(x.s, y.t), 9) > round(list_inner_product(x.s, x.t), 9)) AS rnk
+  FROM (SELECT *, CAST(floor(vec_id / 512) AS BIGINT) AS set FROM pv) x JOIN pv y ON CAST(floor(y.vec_id / 512) AS BIGINT) = x.set
+  GROUP BY x.set, x.vec_id) r GROUP BY set""")
 def q_mrr(spark, d):
-    return vectors.mrr_blocked(pair_vectors(spark, d), "vec_id", "s", "t", block_size=1024)
+    sets = pair_vectors(spark, d).withColumn("set", F.floor(F.col("vec_id") / 512).cast("long"))
+    return vectors.mrr(sets, "set", "vec_id", "s", "t")
+
+
+def query_set(p):
+    """The stated query set of the searches: every row whose id is divisible by 100."""
+    return p.filter(F.col("vec_id") % 100 == 0)
 
 
 @query("similarity_cross_join", sql=with_("pv") + """
-SELECT x.vec_id AS qid, CAST(floor((y.r - 1) / 128) AS INT) AS block, count(*) AS n,
-       round(max(round(list_inner_product(x.u, y.u), 6)), 6) AS max_sim,
-       count_if(round(list_inner_product(x.u, y.u), 6) > 0) AS n_pos
-FROM pv x, (SELECT *, row_number() OVER (ORDER BY vec_id) AS r FROM pv) y GROUP BY 1, 2""")
+SELECT x.vec_id AS qid, y.vec_id AS cid, round(list_inner_product(x.u, y.u), 6) AS sim
+FROM pv x JOIN pv y ON x.vec_id % 100 = 0 AND x.vec_id <> y.vec_id AND round(list_inner_product(x.u, y.u), 9) >= 0.3""")
 def q_similarity_cross_join(spark, d):
     p = pair_vectors(spark, d).select("vec_id", "u")
-    s = vectors.similarity_blocks(p, p, "vec_id", "u", block_size=128)
-    return s.select("qid", "block", F.size("sims").alias("n"), F.round(F.array_max("sims"), 6).alias("max_sim"),
-                    F.size(F.filter("sims", lambda x: x > 0)).alias("n_pos"))
+    s = vectors.similar_pairs(query_set(p), p, "vec_id", "u", threshold=0.3, block_size=1024)
+    return s.select("qid", "cid", F.round("sim", 6).alias("sim"))
 
 
 define("cl", None, "SELECT vec_id, label, u FROM {pv} WHERE label <> 9")
@@ -280,8 +297,10 @@ def q_cluster_cohesion(spark, d):
 
 
 @query("centroid_similarity", sql=with_("pv", "cl", "cent") + f"""
-SELECT a.label AS cluster_a, b.label AS cluster_b, round({COS_SQL.format(a='a.c', b='b.c')}, 6) AS cos
-FROM cent a, cent b""")
+SELECT cluster_a, cluster_b, round(cos, 6) AS cos FROM (
+  SELECT *, row_number() OVER (PARTITION BY cluster_a ORDER BY cos DESC, cluster_b) AS k FROM (
+    SELECT a.label AS cluster_a, b.label AS cluster_b, round({COS_SQL.format(a='a.c', b='b.c')}, 9) AS cos FROM cent a, cent b) p) t
+WHERE k <= 5""")
 def q_centroid_similarity(spark, d):
     return vectors.centroid_similarity(clustered(spark, d), "label", "u", 64)
 
@@ -292,14 +311,14 @@ SELECT qid, string_agg('vec_' || CAST(id AS VARCHAR) || ' [' || CASE WHEN lbl =
                        || '] (cos=' || printf('%.3f', -neg) || ')', '; ' ORDER BY neg, id) AS nearest_neighbors_top5
 FROM (SELECT x.vec_id AS qid, y.vec_id AS id, y.label AS lbl, -round(list_inner_product(x.u, y.u), 9) AS neg,
              row_number() OVER (PARTITION BY x.vec_id ORDER BY -round(list_inner_product(x.u, y.u), 9), y.vec_id) AS k
-      FROM pv x, pv y WHERE x.vec_id <> y.vec_id) t
+      FROM pv x, pv y WHERE x.vec_id % 100 = 0 AND x.vec_id <> y.vec_id) t
 WHERE k <= 5 GROUP BY qid"""
 
 
 @query("top_k_neighbors", sql=with_("pv") + nn_fmt_sql())
 def q_top_k_neighbors(spark, d):
     p = pair_vectors(spark, d).select("vec_id", "u", "label")
-    nn = vectors.nearest_blocked(p, "vec_id", "u", k=5, block_size=1024)
+    nn = vectors.nearest_blocked(query_set(p), p, "vec_id", "u", k=5, block_size=1024)
     lab = p.select(F.col("vec_id").alias("cid"), F.col("label").alias("clabel"))
     item = F.struct((-F.col("sim")).alias("neg"), F.col("cid").alias("id"), F.col("clabel").alias("label"))
     top = nn.join(lab, "cid").groupBy("qid").agg(F.array_sort(F.collect_list(item)).alias("top"))
@@ -381,8 +400,8 @@ i2 AS (SELECT *, prev IS NULL OR value < prev AS imp,
               count(*) OVER (PARTITION BY user_id ORDER BY epoch ROWS UNBOUNDED PRECEDING) AS k FROM i),
 i3 AS (SELECT *, max(CASE WHEN imp THEN k END) OVER (PARTITION BY user_id ORDER BY epoch ROWS UNBOUNDED PRECEDING)
               AS lk FROM i2),
-s AS (SELECT user_id, min(CASE WHEN k - lk >= {patience} AND epoch >= {min_epochs} THEN epoch END) AS fs,
-             max(epoch) AS last FROM i3 GROUP BY user_id)
+s AS (SELECT i3.user_id, min(CASE WHEN k - lk >= {patience} AND epoch >= {min_epochs} THEN epoch END) AS fs,
+             (SELECT max(epoch) FROM lg WHERE lg.user_id = i3.user_id) AS last FROM i3 GROUP BY i3.user_id)
 SELECT s.user_id, coalesce(fs, last) AS stop_epoch, max(i3.epoch) AS best_epoch,
        round(arg_max(i3.value, i3.epoch), 6) AS best_value, fs IS NOT NULL AS stopped
 FROM s JOIN i3 ON i3.user_id = s.user_id

@@ -154,7 +154,10 @@ shared("trunc_bios", """
 SELECT b.member_ord, b.key || CASE b.member_ord % 4 WHEN 0 THEN '' WHEN 1 THEN '_v1' WHEN 2 THEN '-v2' ELSE '_x' END
          || '.txt' AS key
 FROM {bio_files} b""")
-shared("full_bios", "SELECT member_ord, key || '.txt' AS key FROM {bio_files}")
+# some full biographies are versioned themselves: those are matched exactly
+shared("full_bios", """
+SELECT member_ord, key || '.txt' AS key FROM {bio_files}
+UNION ALL SELECT member_ord, key || '_v1.txt' AS key FROM {bio_files} WHERE member_ord % 8 = 1""")
 
 define("pairs_resolved", None, """
 SELECT t.key AS trunc_key, coalesce(f1.key, f2.key) AS full_key
@@ -175,7 +178,8 @@ def q_resolve_versioned_pair(spark, d):
 define("pairs_enriched", None, """
 SELECT p.trunc_key, p.full_key,
   TRY_CAST(nullif(regexp_extract(j.appointment_date, '(\\d{4})', 1), '') AS INTEGER) AS year, j.nominated_by AS president
-FROM {pairs_resolved} p LEFT JOIN {justices} j ON j.name = replace(replace(p.full_key, '.txt', ''), '_', ' ')""")
+FROM {pairs_resolved} p LEFT JOIN {justices} j
+  ON j.name = replace(regexp_replace(regexp_replace(p.trunc_key, '(?i)\\.txt$', ''), '[_\\-]v\\d+$', ''), '_', ' ')""")
 
 
 @query("enrich_with_metadata", sql=with_("pairs_enriched") + "SELECT trunc_key, full_key, year, president FROM pairs_enriched")
@@ -187,7 +191,7 @@ def q_enrich_with_metadata(spark, d):
 # Texts: the truncated bio is the raw bio without its intro; the full bio is
 # the raw text.  Keyed by the store names above.
 shared("bio_texts", """
-SELECT b.key || '.txt' AS key, r.text FROM {bio_files} b JOIN {bios_raw} r ON r.member_ord = b.member_ord""")
+SELECT b.key, r.text FROM {full_bios} b JOIN {bios_raw} r ON r.member_ord = b.member_ord""")
 
 
 @query("pretraining_pairs", sql=with_("pairs_enriched", "bio_texts", "vocab") + f"""

@@ -17,10 +17,12 @@ def test_f1_macro_edges(spark):
 
 def test_mrr_edges(spark):
     e = [[1.0, 0.0], [0.0, 1.0]]
-    df = spark.createDataFrame([(i, e[i], e[i]) for i in range(2)], "id long, s array<double>, t array<double>")
-    assert vectors.mrr(df, "id", "s", "t", block_size=1).collect()[0].mrr == 1.0
-    same = spark.createDataFrame([(i, [1.0, 0.0], [1.0, 0.0]) for i in range(3)], "id long, s array<double>, t array<double>")
-    assert vectors.mrr(same, "id", "s", "t").collect()[0].mrr == 1.0  # equal similarities → rank 1
+    df = spark.createDataFrame([(0, i, e[i], e[i]) for i in range(2)] + [(1, i, e[i], e[1 - i]) for i in range(2)],
+                               "set long, id long, s array<double>, t array<double>")
+    got = {r.set: r.mrr for r in vectors.mrr(df, "set", "id", "s", "t").collect()}
+    assert got == {0: 1.0, 1: 0.5}
+    same = spark.createDataFrame([(0, i, [1.0, 0.0], [1.0, 0.0]) for i in range(3)], df.schema)
+    assert vectors.mrr(same, "set", "id", "s", "t").collect()[0].mrr == 1.0  # equal similarities → rank 1
 
 
 def test_cluster_cohesion_golden(spark):
