@@ -86,27 +86,37 @@ def court_features(case_vec: DataFrame, member_vecs: DataFrame, case_key: str, o
                     A.mask_of(F.col("__m"), F.lit(max_members)).alias("justice_mask"))
 
 
+def _by_basename(store: DataFrame, key_col: str) -> DataFrame:
+    """One entry per file basename (the least key of equal ones): basename and token struct."""
+    base = S.basename(S.normalize_path(F.col(key_col)))
+    entry = F.struct(F.col("input_ids"), F.col("attention_mask"))
+    return store.groupBy(base.alias("__b")).agg(F.min_by(entry, F.col(key_col)).alias("tokens"))
+
+
 def join_tokens_by_basename(records: DataFrame, bio_tokens: DataFrame, desc_tokens: DataFrame,
-                            key_col: str = "key") -> tuple[DataFrame, DataFrame]:
+                            key_col: str = "key", with_bios: bool = True) -> tuple[DataFrame, DataFrame]:
     """Records ⋈ token stores on file basename (either separator).
 
-    Returns (kept, skipped): kept rows have the case's description tokens and
-    ≥ 1 bio with tokens (``justice_count`` = bios found); skipped rows carry
-    the reason."""
-    bt = bio_tokens.select(S.basename(S.normalize_path(F.col(key_col))).alias("__b")).distinct()
-    dt = desc_tokens.select(S.basename(S.normalize_path(F.col(key_col))).alias("__d")).distinct() \
-        .withColumn("__has_d", F.lit(True))
+    Returns (kept, skipped): kept rows have the case's description tokens
+    (``case_tokens``) and ≥ 1 bio with tokens: ``members``, one token struct
+    per bio in the record's order, ``justice_count`` of them.  Skipped rows
+    carry the reason.  ``with_bios`` = False is the description-only variant.
+    A record's bios are the members of one case."""
+    dt = _by_basename(desc_tokens, key_col).select(F.col("__b").alias("__d"), F.col("tokens").alias("case_tokens"))
     r = records.withColumn("__db", S.basename(S.normalize_path(F.col("description"))))
-    r = r.join(dt, F.col("__db") == F.col("__d"), "left")
-    bios = (records.select("case_id", F.explode("bios").alias("__p"))
-            .select("case_id", S.basename(S.normalize_path(F.col("__p"))).alias("__b"))
-            .join(bt, "__b", "left_semi")
-            .groupBy("case_id").agg(F.count(F.lit(1)).alias("justice_count")))
-    j = r.join(bios, "case_id", "left").withColumn("justice_count", F.coalesce("justice_count", F.lit(0)))
+    r = r.join(dt, F.col("__db") == F.col("__d"), "left").drop("__db", "__d")
     reason = (F.when(F.col("description").isNull(), F.lit("no description"))
-              .when(F.col("__has_d").isNull(), F.lit("description not tokenized"))
-              .when(F.col("justice_count") == 0, F.lit("no valid justice biographies found")))
-    j = j.withColumn("reason", reason).drop("__db", "__d", "__has_d")
+              .when(F.col("case_tokens").isNull(), F.lit("description not tokenized")))
+    if with_bios:
+        found = (records.select("case_id", F.posexplode("bios").alias("pos", "__p"))
+                 .withColumn("__b", S.basename(S.normalize_path(F.col("__p"))))
+                 .join(_by_basename(bio_tokens, key_col), "__b"))
+        members = found.groupBy("case_id").agg(F.transform(
+            F.array_sort(F.collect_list(F.struct("pos", "tokens"))), lambda m: m["tokens"]).alias("members"))
+        r = r.join(members, "case_id", "left").withColumn("justice_count", F.coalesce(F.size("members"), F.lit(0)).cast("long"))
+        r = r.withColumn("justice_count", F.greatest("justice_count", F.lit(0).cast("long")))
+        reason = reason.when(F.col("justice_count") == 0, F.lit("no valid justice biographies found"))
+    j = r.withColumn("reason", reason)
     return j.filter(F.col("reason").isNull()).drop("reason"), j.filter(F.col("reason").isNotNull())
 
 
@@ -132,3 +142,13 @@ def enrich_with_metadata(files: DataFrame, justices: DataFrame, key_col: str = "
                         F.col("nominated_by").alias("president"))
     return files.withColumn("__name", F.replace(S.canonical_base(F.col(key_col)), F.lit("_"), F.lit(" "))) \
         .join(j, F.col("__name") == F.col("__n"), "left").drop("__name", "__n")
+
+
+def pretraining_pairs(pairs: DataFrame, trunc: DataFrame, full: DataFrame) -> DataFrame:
+    """Resolved (trunc_key, full_key) pairs with the token structs ``trunc`` and ``full`` of both texts
+    (n_tokens, input_ids, attention_mask), NULL where a store lacks the key."""
+    def entry(df: DataFrame, name: str) -> DataFrame:
+        return df.select(F.col("key").alias(f"__{name}"), F.struct("n_tokens", "input_ids", "attention_mask").alias(name))
+
+    j = pairs.join(entry(trunc, "trunc"), F.col("trunc_key") == F.col("__trunc"), "left")
+    return j.join(entry(full, "full"), F.col("full_key") == F.col("__full"), "left").drop("__trunc", "__full")

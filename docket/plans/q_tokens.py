@@ -115,6 +115,16 @@ SELECT CASE WHEN member_ord % 2 = 0 THEN 'data' || chr(92) || 'tokens' || chr(92
 FROM {bio_files} WHERE member_ord % 7 <> 3""")
 shared("desc_token_keys", """
 SELECT 'data/tokens/' || file_key || '.txt' AS key FROM {desc_files} WHERE file_ord % 5 <> 2""")
+# the same stores with the texts that their tokens are made of
+shared("bio_store_texts", """
+SELECT CASE WHEN b.member_ord % 2 = 0 THEN 'data' || chr(92) || 'tokens' || chr(92) || b.key || '.txt'
+            ELSE 'data/tokens/' || b.key || '.txt' END AS key, r.text AS text
+FROM {bio_files} b JOIN {bios_raw} r ON r.member_ord = b.member_ord WHERE b.member_ord % 7 <> 3""")
+shared("desc_store_texts", """
+SELECT 'data/tokens/' || file_key || '.txt' AS key, min(text) AS text
+FROM {desc_files} WHERE file_ord % 5 <> 2 GROUP BY file_key""")
+define("bio_store", None, encode_sql("{bio_store_texts}", "key", "text"))
+define("desc_store", None, encode_sql("{desc_store_texts}", "key", "text"))
 
 BASE_SQL = "list_last(regexp_split_to_array(replace({x}, chr(92), '/'), '/'))"
 
@@ -126,21 +136,32 @@ SELECT r.case_id, r.description,
   {BASE_SQL.format(x='r.description')} IN (SELECT {BASE_SQL.format(x='key')} FROM {{desc_token_keys}}) AS has_d
 FROM {{records}} r""")
 define("tok_reason", None, """
-SELECT case_id, justice_count,
+SELECT case_id, description, justice_count,
   CASE WHEN description IS NULL THEN 'no description' WHEN NOT coalesce(has_d, false) THEN 'description not tokenized'
        WHEN justice_count = 0 THEN 'no valid justice biographies found' END AS reason FROM {tok_join}""")
+define("tok_members", None, f"""
+SELECT u.case_id, md5(string_agg(array_to_string(s.input_ids, ','), ';' ORDER BY u.pos)) AS members_md5
+FROM (SELECT case_id, unnest(bios) AS b, generate_subscripts(bios, 1) AS pos FROM {{records}}) u
+JOIN {{bio_store}} s ON {BASE_SQL.format(x='s.key')} = {BASE_SQL.format(x='u.b')} GROUP BY u.case_id""")
 
 
 def token_join(spark, d):
-    return T.join_tokens_by_basename(records_frame(spark, d), binding(spark, d, "bio_token_keys"),
-                                     binding(spark, d, "desc_token_keys"))
+    v = vocab(spark, d)
+    encoded = lambda name: T.tokenize_encode(binding(spark, d, name), "key", "text", v, 512)
+    return T.join_tokens_by_basename(records_frame(spark, d), encoded("bio_store_texts"), encoded("desc_store_texts"))
 
 
-@query("join_tokens_by_basename", sql=with_("records", "tok_reason") + """
-SELECT case_id, justice_count FROM tok_reason WHERE reason IS NULL""")
+@query("join_tokens_by_basename", sql=with_("records", "tok_reason", "tok_members", "vocab", "bio_store", "desc_store") + f"""
+SELECT t.case_id, t.justice_count, CAST(len(s.input_ids) AS INT) AS n_case_ids,
+       md5(array_to_string(s.input_ids, ',')) AS case_ids_md5, m.members_md5
+FROM tok_reason t JOIN tok_members m ON m.case_id = t.case_id
+JOIN desc_store s ON {BASE_SQL.format(x='s.key')} = {BASE_SQL.format(x='t.description')}
+WHERE t.reason IS NULL""")
 def q_join_tokens_by_basename(spark, d):
     kept, _ = token_join(spark, d)
-    return kept.select("case_id", "justice_count")
+    ids = F.array_join(F.transform("members", lambda m: F.array_join(m["input_ids"], ",")), ";")
+    return kept.select("case_id", "justice_count", F.size("case_tokens.input_ids").alias("n_case_ids"),
+                       F.md5(F.array_join("case_tokens.input_ids", ",")).alias("case_ids_md5"), F.md5(ids).alias("members_md5"))
 
 
 @query("skip_reasons", sql=with_("records", "tok_reason") + """
@@ -194,24 +215,30 @@ shared("bio_texts", """
 SELECT b.key, r.text FROM {full_bios} b JOIN {bios_raw} r ON r.member_ord = b.member_ord""")
 
 
-@query("pretraining_pairs", sql=with_("pairs_enriched", "bio_texts", "vocab") + f"""
-SELECT p.trunc_key, p.full_key, p.year, p.president,
-  CAST(len({tok_sql('tt.text')}) AS INT) AS n_trunc_tokens,
-  CAST(len({tok_sql('ft.text')}) AS INT) AS n_full_tokens
-FROM pairs_enriched p
-LEFT JOIN (SELECT t.key AS tkey, b.text AS text FROM trunc_bios t JOIN bio_files f ON f.member_ord = t.member_ord
-           JOIN (SELECT member_ord, CASE WHEN regexp_matches(text, '(?m)^=== [^\\n]* ===$')
-                   THEN regexp_replace(substr(text, strpos(text, regexp_extract(text, '(?m)^=== [^\\n]* ===$', 0))),
-                                       '^[\\t\\n\\x0B\\f\\r ]+|[\\t\\n\\x0B\\f\\r ]+$', '', 'g')
-                   ELSE text END AS text FROM bios_raw) b ON b.member_ord = t.member_ord) tt ON tt.tkey = p.trunc_key
-LEFT JOIN bio_texts ft ON ft.key = p.full_key""")
+define("trunc_texts", None, """
+SELECT t.key AS key, b.text AS text FROM {trunc_bios} t
+JOIN (SELECT member_ord, CASE WHEN regexp_matches(text, '(?m)^=== [^\\n]* ===$')
+        THEN regexp_replace(substr(text, strpos(text, regexp_extract(text, '(?m)^=== [^\\n]* ===$', 0))),
+                            '^[\\t\\n\\x0B\\f\\r ]+|[\\t\\n\\x0B\\f\\r ]+$', '', 'g')
+        ELSE text END AS text FROM {bios_raw}) b ON b.member_ord = t.member_ord""")
+define("trunc_tokens", None, encode_sql("{trunc_texts}", "key", "text"))
+define("full_tokens", None, encode_sql("{bio_texts}", "key", "text"))
+
+
+@query("pretraining_pairs", sql=with_("pairs_enriched", "bio_texts", "vocab", "trunc_tokens", "full_tokens") + """
+SELECT p.trunc_key, p.full_key, p.year, p.president, t.n_tokens AS n_trunc_tokens, f.n_tokens AS n_full_tokens,
+  CAST(len(t.input_ids) AS INT) AS n_trunc_ids, md5(array_to_string(t.input_ids, ',')) AS trunc_ids_md5,
+  CAST(len(f.input_ids) AS INT) AS n_full_ids, md5(array_to_string(f.input_ids, ',')) AS full_ids_md5
+FROM pairs_enriched p LEFT JOIN trunc_tokens t ON t.key = p.trunc_key LEFT JOIN full_tokens f ON f.key = p.full_key""")
 def q_pretraining_pairs(spark, d):
+    """Ids and masks of both texts, truncated to the configured length."""
     e = T.enrich_with_metadata(resolved(spark, d), binding(spark, d, "justices"))
     raw = binding(spark, d, "bios_raw").select("member_ord", "text")
-    tb = binding(spark, d, "trunc_bios").join(raw, "member_ord").select(
-        F.col("key").alias("tkey"), S.drop_intro(F.col("text")).alias("ttext"))
-    fb = binding(spark, d, "bio_texts").select(F.col("key").alias("fkey"), F.col("text").alias("ftext"))
-    j = e.join(tb, e.trunc_key == tb.tkey, "left").join(fb, e.full_key == fb.fkey, "left")
-    return j.select("trunc_key", "full_key", "year", "president",
-                    F.size(T.word_tokens(F.col("ttext"))).alias("n_trunc_tokens"),
-                    F.size(T.word_tokens(F.col("ftext"))).alias("n_full_tokens"))
+    v = vocab(spark, d)
+    tb = binding(spark, d, "trunc_bios").join(raw, "member_ord").select("key", S.drop_intro(F.col("text")).alias("text"))
+    t, f = T.tokenize_encode(tb, "key", "text", v, 512), T.tokenize_encode(binding(spark, d, "bio_texts"), "key", "text", v, 512)
+    j = T.pretraining_pairs(e, t, f)
+    return j.select("trunc_key", "full_key", "year", "president", F.col("trunc.n_tokens").alias("n_trunc_tokens"),
+                    F.col("full.n_tokens").alias("n_full_tokens"),
+                    F.size("trunc.input_ids").alias("n_trunc_ids"), F.md5(F.array_join("trunc.input_ids", ",")).alias("trunc_ids_md5"),
+                    F.size("full.input_ids").alias("n_full_ids"), F.md5(F.array_join("full.input_ids", ",")).alias("full_ids_md5"))
