@@ -62,23 +62,34 @@ def ordered_join(items: Column, sep: str) -> Column:
     return F.array_join(F.transform(F.array_sort(items), lambda e: e["v"]), sep)
 
 
-def vote_tally(votes: DataFrame, ord_cols: Sequence[str], key_cols: Sequence[str] = ("caseIssuesId",)) -> DataFrame:
+def vote_tally(votes: DataFrame, ord_cols: Sequence[str], key_cols: Sequence[str] = ("caseIssuesId",),
+               chunk: Column | None = None) -> DataFrame:
     """Vote fact (one row per case × member) → case table (22 columns).
 
     ``key_cols`` may carry extra columns that the case id is a function of
     (e.g. the physical order key) so an upstream hash partitioning on them is
     reused and the aggregate needs no second shuffle.
+
+    ``chunk`` is a column that does not fall along the ordinal (a coarse
+    position).  Votes are then gathered and ordered per (case, chunk), and
+    only the chunks' strings meet per case: a case with a third of all votes
+    is sorted by many tasks.
     """
     ordinal = F.struct(*[F.col(c) for c in ord_cols])
     attrs = F.struct(*[F.col(c) for c in CASE_ATTRS])
     member = F.concat(F.coalesce(F.col("justiceName"), F.lit("None")), F.lit(":"),
                       F.coalesce(F.col("vote").cast("string"), F.lit("nan")))
-    agg = (votes.filter(F.col("caseIssuesId").isNotNull())
-           .groupBy(*key_cols)
-           .agg(F.min_by(attrs, ordinal).alias("a"),
-                F.count(F.lit(1)).cast("int").alias("total_justices_voting"),
-                ordered_join(F.collect_list(F.struct(ordinal.alias("o"), member.alias("v"))), "; ")
-                .alias("justice_votes")))
+    part = F.lit(0) if chunk is None else chunk
+    parts = (votes.filter(F.col("caseIssuesId").isNotNull())
+             .groupBy(*key_cols, part.alias("__chunk"))
+             .agg(F.min_by(attrs, ordinal).alias("a"), F.count(F.lit(1)).alias("n"),
+                  ordered_join(F.collect_list(F.struct(ordinal.alias("o"), member.alias("v"))), "; ").alias("v")))
+    if chunk is None:
+        agg = parts.select(*key_cols, "a", F.col("n").cast("int").alias("total_justices_voting"), F.col("v").alias("justice_votes"))
+    else:
+        agg = parts.groupBy(*key_cols).agg(
+            F.min_by("a", "__chunk").alias("a"), F.sum("n").cast("int").alias("total_justices_voting"),
+            ordered_join(F.collect_list(F.struct(F.col("__chunk").alias("o"), F.col("v").alias("v"))), "; ").alias("justice_votes"))
     counts = vote_counts(F.col("a.caseDisposition"), F.col("a.majVotes"), F.col("a.minVotes"))
     return agg.select(
         "caseIssuesId",

@@ -8,8 +8,9 @@ from pyspark.sql.window import Window
 
 from docket.functions import arrays as A
 from docket.operators import metrics, vectors
+from docket.operators.decode import parse_share_sentinel
 from docket.plans.bindings import binding, define, shared, with_
-from docket.plans.q_joins import records_frame
+from docket.plans.q_cases import case_table
 from docket.plans.registry import query
 from docket.sources.tables import table
 
@@ -61,10 +62,11 @@ FROM {records} r JOIN {cases_base} cb ON cb.case_id = r.case_id""")
 
 
 def rec_targets(spark, d):
-    r = records_frame(spark, d)
+    """Case id, ordinal, batch, target shares and logits: of the case table alone, no biographies or descriptions."""
+    shares = [parse_share_sentinel(F.col(c).cast("string")) for c in ("pct_in_favor", "pct_against", "pct_absent")]
+    r = case_table(spark, d).select(F.col("caseIssuesId").alias("case_id"), F.array(*shares).alias("t"))
     cb = binding(spark, d, "cases_base")
-    j = r.join(cb, r.case_id == cb.case_id).select(r.case_id, cb.case_ord, cb.o_custkey, cb.o_totalprice,
-                                                   F.col("target").alias("t"))
+    j = r.join(cb, r.case_id == cb.case_id).select(r.case_id, cb.case_ord, cb.o_custkey, cb.o_totalprice, "t")
     return j.select("case_id", "case_ord", F.floor(F.col("case_ord") / 32).cast("long").alias("batch"), "t",
                     logits_col().alias("p"))
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from docket.sources.tables import table
 
@@ -57,19 +56,21 @@ def cases_base(spark: SparkSession, d: str) -> DataFrame:
 def votes(spark: SparkSession, d: str, keep_order_key: bool = False) -> DataFrame:
     """Vote fact table (D1): one row per (case, member) = lineitem ⋈ orders.
 
-    majVotes / minVotes are per-case counts of R / A lines, computed with a
-    window partitioned by the order key, so the join's shuffle is reused and
-    the later tally (grouped by order key + case id) adds no exchange.
+    majVotes / minVotes are per-case counts of R / A lines: a partial
+    aggregate joined to the cases before they meet the lines, so no window
+    holds a case and a hot case can be split by the join.
     """
     li = table(spark, d, "lineitem").select("l_orderkey", *VOTE_ORD)
     s = table(spark, d, "supplier").select("s_suppkey", "s_name")
+    counts = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("__k")).agg(
+        F.count_if(F.col("l_returnflag") == "R").cast("int").alias("majVotes"),
+        F.count_if(F.col("l_returnflag") == "A").cast("int").alias("minVotes"))
     cb = cases_base(spark, d)
+    cb = cb.join(counts, cb.case_ord == counts["__k"])
     # supplier first, orders second: the last join's hash partitioning on the
-    # order key is the one the window and the tally reuse (two exchanges of
-    # lineitem when the supplier table is too big to broadcast, not three)
+    # order key is the one the tally reuses (two exchanges of lineitem when
+    # the supplier table is too big to broadcast, not three)
     j = li.join(s, li.l_suppkey == s.s_suppkey, "left").join(cb, li.l_orderkey == cb.case_ord, "inner")
-    w = Window.partitionBy("l_orderkey")
-    w_ord = Window.partitionBy("l_orderkey").orderBy(*VOTE_ORD)
     out = j.select(
         "l_orderkey",
         F.col("case_id").alias("caseIssuesId"), "usCite", "chief", "caseName", "petitioner",
@@ -77,15 +78,9 @@ def votes(spark: SparkSession, d: str, keep_order_key: bool = False) -> DataFram
         "lawType", F.col("s_name").alias("justiceName"),
         F.when(F.col("l_returnflag") == "R", 1).when(F.col("l_returnflag") == "A", 2)
          .when(F.col("l_returnflag") == "N", 8).cast("int").alias("vote"),
-        "caseDisposition",
-        F.count_if(F.col("l_returnflag") == "R").over(w).cast("int").alias("majVotes"),
-        F.count_if(F.col("l_returnflag") == "A").over(w).cast("int").alias("minVotes"),
-        *VOTE_ORD,
-        # compact vote ordinal: position by the full ordinal inside the case
-        # (same partitioning as the join, so no extra exchange)
-        F.row_number().over(w_ord).alias("vote_pos"),
+        "caseDisposition", "majVotes", "minVotes", *VOTE_ORD,
     )
-    return out if keep_order_key else out.drop("l_orderkey", "vote_pos")
+    return out if keep_order_key else out.drop("l_orderkey")
 
 
 def member_book(spark: SparkSession, d: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docket.operators import augment, html, metrics, records, tokens
+from docket.operators import augment, html, metrics, records, tally, tokens
 from docket.session import scratch_path
 from docket.sources import files
 from docket.streaming import incremental
@@ -26,6 +26,20 @@ def test_first_record_per_case_wins_whole(spark):
     assert got["c2"].bios == [] and got["c2"].target == [-1.0, -1.0, -1.0]
 
 
+def test_hot_case_is_tallied_by_chunks(spark):
+    votes = spark.range(0, 3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("c"), (F.col("id") % 700).cast("string"))).alias("caseIssuesId"),
+        F.col("id").alias("pos"), F.concat(F.lit("J"), F.col("id").cast("string")).alias("justiceName"), F.lit(1).alias("vote"),
+        *[F.col("id").cast("string").alias(c) for c in ("usCite", "chief", "caseName")],
+        *[F.col("id").cast("int").alias(c) for c in tally.CASE_ATTRS if c not in ("usCite", "chief", "caseName")])
+    cols = ["caseIssuesId", "usCite", "total_justices_voting", "justice_votes"]
+    whole = tally.vote_tally(votes, ["pos"]).select(cols)
+    parts = tally.vote_tally(votes, ["pos"], chunk=F.floor(F.col("pos") / 64)).select(cols)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect()))
+    hot = {r.caseIssuesId: r for r in parts.collect()}["hot"]
+    assert hot.total_justices_voting == 1000 and hot.justice_votes == "; ".join(f"J{i}:1" for i in range(0, 3000, 3)) and hot.usCite == "0"
+
+
 def test_member_of_a_versioned_file(spark):
     pairs = spark.createDataFrame([("Ann_Lee_v1.txt", "Ann_Lee_v1.txt"), ("Bo_Ray-v2.txt", "Bo_Ray.txt"), ("Nobody.txt", "Nobody.txt")],
                                   "trunc_key string, full_key string")
