@@ -66,13 +66,16 @@ class Sampler:
         which = np.zeros(self.samples, np.int64)
         for at in range(0, len(h), AT_ONCE):
             part = slice(at, at + AT_ONCE)
-            pool = (self.mul * h32[part] + self.add) >> np.uint32(16)
-            ln_a = self.one[pool]
+            pool = self.mul * h32[part]
+            pool += self.add
+            pool >>= np.uint32(16)
+            pool = pool.astype(np.intp)
+            ln_a = self.one.take(pool, mode="clip")
             more = np.flatnonzero(ln_w[part])
             if len(more):
                 p = pool[:, more]
-                r, b = self.r[p], self.b[p]
-                ln_a[:, more] = self.ln_c[p] - r * (np.floor(ln_w[part][more] / r + b) - b) - r
+                r, b = self.r.take(p, mode="clip"), self.b.take(p, mode="clip")
+                ln_a[:, more] = self.ln_c.take(p, mode="clip") - r * (np.floor(ln_w[part][more] / r + b) - b) - r
             k = ln_a.argmin(1)
             least = ln_a[np.arange(self.samples), k]
             better = least < best
@@ -134,7 +137,7 @@ def _with_next(docs: DataFrame) -> DataFrame:
                               F.struct(F.col("host").alias("run"), F.lit(True).alias("guest"))), lambda x: x.run.isNotNull())
     sent = rows.join(host, "place", "left").select("doc_id", "text", "place", F.explode(copies).alias("to"))
     return (sent.select("doc_id", "text", "place", "to.run", "to.guest")
-            .repartition(n, "run").sortWithinPartitions("run", "guest", "place", "text").drop("place"))
+            .repartitionById(n, "run").sortWithinPartitions("run", "guest", "place", "text").drop("place"))
 
 
 def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
