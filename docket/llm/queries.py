@@ -13,7 +13,7 @@ from docket.llm.language_id import identify
 from docket.llm.license_scan import license_scan
 from docket.llm.ngram_join import near_duplicates
 from docket.llm.packing import pack
-from docket.llm.sentence_pieces import decode, encode
+from docket.llm.sentence_pieces import encode
 from docket.llm.token_counts import token_counts
 from docket.llm.token_file import read_tokens, write_tokens
 from docket.llm.toxicity import toxicity
@@ -41,7 +41,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op2_sentence_pieces")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer("piece_bpe_32k.model")
-    return decode(encode(table(spark, sf_dir, "documents"), path), path)
+    return encode(table(spark, sf_dir, "documents"), path, decoded=True)
 
 
 @_query("op3_best_fit_packing")

@@ -15,6 +15,7 @@ its checked size allows, otherwise it is joined.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -31,7 +32,7 @@ BLANK = "▁"
 #: Characters of a word that the lattice takes; a bit of a long per place between them.
 LONGEST_WORD = 60
 #: Distinct words that a task combines, that a worker remembers; bytes of a table that workers may hold.
-COMBINED, REMEMBERED, SHARED_BYTES = 300_000, 300_000, 96 << 20
+COMBINED, REMEMBERED, SHARED_BYTES = 100_000, 150_000, 96 << 20
 UNIGRAM, BPE = 1, 2
 
 
@@ -57,31 +58,41 @@ class Pieces:
         for i, p in enumerate(proto.pieces):
             if p.type == 3:  # control pieces have no text
                 self.bytes[i] = b""
-        pairs = {(a, b) for p, _, _ in self.rows for a, b in zip(p, p[1:], strict=False)}
-        self.near = np.zeros((1024, 1024), bool)
-        for a, b in pairs:
-            if self._slot(a) >= 0 and self._slot(b) >= 0:
-                self.near[self._slot(a), self._slot(b)] = True
-        self.far = {a + b for a, b in pairs if min(self._slot(a), self._slot(b)) < 0}
-
-    @staticmethod
-    def _slot(c: str) -> int:
-        return 1023 if c == BLANK else ord(c) if ord(c) < 1023 else -1
+        self.near = {p[i: i + 2] for p, _, _ in self.rows for i in range(len(p) - 1)}
+        if any(b == BLANK != a for a, b in self.near):
+            raise ValueError("a piece has a blank behind another character")
+        self.chunks = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
+        self.id = {p: i for p, i, _ in self.rows}
+
+    def cut(self, chunk: str) -> list[str]:
+        """A chunk (blanks and what follows) as words."""
+        out, at = [], 0
+        for i in range(1, len(chunk)):
+            if chunk[i - 1: i + 1] not in self.near:
+                out.append(chunk[at:i])
+                at = i
+        out.append(chunk[at:])
+        return out
+
+    def split(self, text: str) -> list[str]:
+        """The text as chunks: no piece has a blank behind another character."""
+        return self.chunks.findall(BLANK + text.replace(" ", BLANK)) if text else []
 
     def words(self, text: str) -> list[str]:
         """The text as words; joined they are the text with its blanks as U+2581."""
-        if not text:
-            return []
-        s = BLANK + text.replace(" ", BLANK)
-        code = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
-        slot = np.where(code < 1023, code, np.where(code == ord(BLANK), 1023, 1022))
-        together = self.near[slot[:-1], slot[1:]]
-        other = slot == 1022
-        if other.any():
-            for i in np.flatnonzero(other[:-1] | other[1:]).tolist():
-                together[i] = s[i: i + 2] in self.far
-        cuts = (np.flatnonzero(~together) + 1).tolist()
-        return [s[a:b] for a, b in zip([0, *cuts], [*cuts, len(s)], strict=True)]
+        return [w for chunk in self.split(text) for w in self.cut(chunk)]
+
+    def between(self, word: str, mask: int) -> list[int]:
+        """The ids of a word's segments between the places of ``mask``; the bytes of a character that is no piece."""
+        at = [i for i in range(len(word) + 1) if mask >> i & 1]
+        out = []
+        for a, b in zip(at, at[1:], strict=False):
+            i = self.id.get(word[a:b])
+            if i is None:
+                out += [self.first_byte + x for x in word[a:b].encode("utf-8", "surrogatepass")]
+            else:
+                out.append(i)
+        return out
 
     def long_word(self, word: str) -> list[int]:
         """The library's ids of a word beyond the lattice; a line feed keeps its blank from it."""
@@ -105,29 +116,35 @@ def word_counts(rows: DataFrame, path: str) -> DataFrame:
         model, counts = pieces(path), Counter()
 
         def out():
-            kept = [(w, n) for w, n in counts.items() if len(w) <= LONGEST_WORD]
-            return pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in kept], pa.string()), "n": pa.array([n for _, n in kept], pa.int64())})
+            words = Counter()
+            for chunk, n in counts.items():
+                for w in model.cut(chunk):
+                    if len(w) <= LONGEST_WORD:
+                        words[w] += n
+            counts.clear()
+            return pa.RecordBatch.from_pydict({"word": pa.array(words.keys(), pa.string()), "n": pa.array(words.values(), pa.int64())})
 
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                counts.update(model.words(text))
+                counts.update(model.split(text))
                 if len(counts) >= COMBINED:
                     yield out()
-                    counts = Counter()
         yield out()
 
     return rows.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def lattice(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
-    """(word, edges): edges by falling score, then place: cost, first, id, ends and inside.
+    """(word, edges): edges of two characters or more by falling score, then place: cost, first, id,
+    ends, inside and len.
 
     ``ends`` has a bit for the place before the edge's first and behind its last character,
-    ``inside`` a bit for the places between. Every word has one edge without a place (id -1).
+    ``inside`` a bit for the places between. Every word has one edge without a place (len 0).
     """
     spans = words.select("word", F.length("word").alias("size")).select(
         "word", "size", F.explode(F.expr("sequence(0, size)")).alias("first")).select(
-        "word", "first", F.explode(F.expr(f"if(first = size, array(0), sequence(1, least({longest}, size - first)))")).alias("len"))
+        "word", "first", F.explode(F.expr(
+            f"if(first = size, array(0), if(first = size - 1, array(), sequence(2, least({longest}, size - first))))")).alias("len"))
     cut = spans.withColumn("piece", F.expr("substring(word, first + 1, len)"))
     # the piece table is fixed by the model file
     found = cut.join(F.broadcast(table), "piece")
@@ -138,30 +155,37 @@ def lattice(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
     return found.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
-def _path(mask: Column) -> Column:
-    """Ids of the edges between neighbouring places of ``mask``, from left to right; bytes of a word without pieces."""
-    on = F.filter("edges", lambda e: (e.id >= 0) & (e.ends.bitwiseAND(mask) == e.ends) & (e.inside.bitwiseAND(mask) == 0))
-    ids = F.transform(F.array_sort(F.transform(on, lambda e: F.struct(e.first.alias("first"), e.id.alias("id")))), lambda e: e.id)
-    return ids
-
-
 def merged(edges: DataFrame) -> DataFrame:
     """(word, mask): places left after all merges of a BPE model."""
     start = F.expr("shiftleft(1L, length(word) + 1) - 1L")
 
     def step(mask: Column, _) -> Column:
         fits = F.filter("pairs", lambda e: (e.ends.bitwiseAND(mask) == e.ends) & (F.bit_count(e.inside.bitwiseAND(mask)) == 1))
-        return F.when(F.size(fits) > 0, mask.bitwiseAND(F.bitwise_not(F.get(fits, F.lit(0)).inside))).otherwise(mask)
+        first = F.coalesce(F.get(fits, F.lit(0)).inside, F.lit(0).cast("long"))  # none fits: nothing changes
+        return mask.bitwiseAND(F.bitwise_not(first))
 
     pairs = edges.withColumn("pairs", F.transform(F.filter("edges", lambda e: e.len > 1), lambda e: F.struct(e.ends.alias("ends"), e.inside.alias("inside"))))
     turns = F.expr("sequence(1, greatest(1, length(word) - 1))")
     return pairs.withColumn("mask", F.aggregate(turns, start, step)).drop("pairs")
 
 
-def viterbi(edges: DataFrame) -> DataFrame:
-    """(word, mask): places of the path with the highest sum of scores (of equals, with the longest last piece first)."""
-    by_end = F.array_sort(F.transform(F.filter("edges", lambda e: e.id >= 0), lambda e: F.struct(
-        (e.first + e.len).alias("end"), e.first.alias("first"), e.cost.alias("cost"))))
+def viterbi(edges: DataFrame, model: Pieces) -> DataFrame:
+    """(word, mask): places of the path with the highest sum of scores."""
+    unknown = min((s for _, _, s in model.rows), default=0.0) - 10.0
+    costs = {ord(p): -s for p, _, s in model.rows if len(p) == 1}
+    low = F.array(*[F.lit(costs.get(c, -unknown)) for c in range(1024)])
+    high = [x for c, v in sorted(costs.items()) if c >= 1024 for x in (F.lit(c), F.lit(v))]
+
+    def char_cost(i: Column) -> Column:
+        code = F.ascii(F.substring(F.col("word"), i + 1, F.lit(1)))
+        rest = F.coalesce(F.try_element_at(F.create_map(*high), code), F.lit(-unknown)) if high else F.lit(-unknown)
+        return F.when(code < 1024, F.get(low, code)).otherwise(rest)
+
+    chars = F.transform(F.expr("sequence(0, length(word) - 1)"), lambda i: F.struct(
+        (i + 1).alias("end"), i.alias("first"), char_cost(i).alias("cost")))
+    longer = F.transform(F.filter("edges", lambda e: e.len > 1), lambda e: F.struct(
+        (e.first + e.len).alias("end"), e.first.alias("first"), e.cost.alias("cost")))
+    by_end = F.sort_array(F.concat(chars, longer))
     none = F.struct(F.lit(float("inf")).alias("cost"), F.lit(0).cast("long").alias("mask"))
     first = F.struct(F.lit(0.0).alias("cost"), F.lit(1).cast("long").alias("mask"))
     start = F.transform(F.expr("sequence(0, length(word))"), lambda i: F.when(i == 0, first).otherwise(none))
@@ -175,15 +199,20 @@ def viterbi(edges: DataFrame) -> DataFrame:
     return edges.withColumn("mask", F.get(F.aggregate(by_end, start, relax), F.length("word")).mask)
 
 
-def encode_words(words: DataFrame, model: Pieces, kind: int | None = None) -> DataFrame:
+def encode_words(words: DataFrame, path: str, kind: int | None = None) -> DataFrame:
     """(word, ids) of distinct words, by the fold of the model's kind."""
-    spark = words.sparkSession
-    table = spark.createDataFrame([*model.rows, ("", -1, 0.0)], "piece string, id int, score double")
+    model = pieces(path)
+    table = words.sparkSession.createDataFrame([*(r for r in model.rows if len(r[0]) > 1), ("", -1, 0.0)], "piece string, id int, score double")
     edges = lattice(words, table, model.longest)
-    folded = viterbi(edges) if (kind or model.kind) == UNIGRAM else merged(edges)
-    raw = F.expr(f"transform(sequence(1, length(hex(word)) div 2), i -> cast(conv(substring(hex(word), 2 * i - 1, 2), 16, 10) as int) + {model.first_byte})")
-    ids = F.when(F.size("edges") > 1, _path(F.col("mask"))).otherwise(raw)
-    return folded.select("word", ids.alias("ids"))
+    folded = viterbi(edges, model) if (kind or model.kind) == UNIGRAM else merged(edges)
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = pieces(path)
+        for batch in batches:
+            ids = [model.between(w, m) for w, m in zip(batch.column("word").to_pylist(), batch.column("mask").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+
+    return folded.select("word", "mask").mapInArrow(named, "word string, ids array<int>")
 
 
 class Words:
@@ -216,43 +245,59 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", shared_bytes: int = SHARED_BYTES) -> DataFrame:
-    """One row per input row: doc_id, text, ids (array of int).
+IDS = "doc_id long, text string, ids array<int>"
+DIGESTS = "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string, round_trip boolean"
+
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", shared_bytes: int = SHARED_BYTES,
+           decoded: bool = False) -> DataFrame:
+    """One row per input row: doc_id, text, ids (array of int); with ``decoded`` the digests of
+    ``decode`` instead, made in the same pass.
 
     Null and empty texts have no ids. Null and repeated ids and repeated rows give rows of their
     own. An empty table gives no rows.
     """
     rows, spark, model = texts(docs, id_col, text_col), docs.sparkSession, pieces(path)
-    words = stored(encode_words(word_counts(rows, path), model), "words")
+    words = stored(encode_words(word_counts(rows, path), path), "words")
     held = words.agg(F.sum(F.octet_length("word") + 4 * F.size("ids") + 20)).head()[0] or 0
     if held <= shared_bytes and len(model.bytes) <= 1 << 16:
-        return _shared(rows, path, spark, words)
-    return _joined(rows, path, words)
+        return _shared(rows, path, spark, words, decoded)
+    out = _joined(rows, path, words)
+    return decode(out, path) if decoded else out
 
 
-def _shared(rows: DataFrame, path: str, spark: SparkSession, words: DataFrame) -> DataFrame:
+def _shared(rows: DataFrame, path: str, spark: SparkSession, words: DataFrame, decoded: bool) -> DataFrame:
     table = spark.sparkContext.broadcast(Words(words.toArrow()))  # its size has been checked
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, held, known = pieces(path), table.value, {}
+
+        def ids_of(chunk: str) -> bytes:
+            return b"".join([(held.get(w) if len(w) <= LONGEST_WORD else np.array(model.long_word(w), np.uint16)).tobytes()
+                             for w in model.cut(chunk)])
+
         for batch in batches:
+            texts = batch.column("text").to_pylist()
             out = []
-            for text in batch.column("text").to_pylist():
+            for text in texts:
                 parts = []
-                for w in model.words(text):
-                    b = known.get(w)
+                for chunk in model.split(text):
+                    b = known.get(chunk)
                     if b is None:
-                        b = (held.get(w) if len(w) <= LONGEST_WORD else np.array(model.long_word(w), np.uint16)).tobytes()
+                        b = ids_of(chunk)
                         if len(known) < REMEMBERED:
-                            known[w] = b
+                            known[chunk] = b
                     parts.append(b)
-                out.append(np.frombuffer(b"".join(parts), np.uint16).astype(np.int32))
+                out.append(np.frombuffer(b"".join(parts), np.uint16))
+            if decoded:
+                yield _digests(model, batch.column("doc_id"), texts, out)
+                continue
             sizes = np.cumsum([0, *map(len, out)]).astype(np.int32)
-            flat = np.concatenate(out) if out else np.zeros(0, np.int32)
+            flat = np.concatenate(out).astype(np.int32) if out else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"),
                                               pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))], ["doc_id", "text", "ids"])
 
-    return rows.mapInArrow(run, "doc_id long, text string, ids array<int>")
+    return rows.mapInArrow(run, DIGESTS if decoded else IDS)
 
 
 def _joined(rows: DataFrame, path: str, words: DataFrame) -> DataFrame:
@@ -281,26 +326,26 @@ def _joined(rows: DataFrame, path: str, words: DataFrame) -> DataFrame:
     return numbered.join(whole, "row", "left").select("doc_id", "text", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
 
 
+def _digests(model: Pieces, doc_ids: pa.Array, texts: list[str], ids: list[np.ndarray]) -> pa.RecordBatch:
+    from hashlib import sha256
+
+    back = [model.decode(own.tolist()) for own in ids]
+    return pa.RecordBatch.from_arrays(
+        [doc_ids, pa.array([len(own) for own in ids], pa.int64()), pa.array([zlib.crc32(own.astype("<u4").tobytes()) for own in ids], pa.int64()),
+         pa.array([sha256(b.encode()).hexdigest() for b in back], pa.string()),
+         pa.array([b == t for b, t in zip(back, texts, strict=True)], pa.bool_())],
+        [c.split()[0] for c in DIGESTS.split(", ")])
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_pieces, ids_crc32, decoded_sha256, round_trip) of (doc_id, text, ids) rows: the digest
     of the ids as little-endian unsigned 32-bit integers, of the decoded text, and whether that is the text."""
-    from hashlib import sha256
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
         for batch in batches:
-            n, crc, sha, same = [], [], [], []
-            ids = batch.column("ids")
-            offsets, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
-            for k, text in enumerate(batch.column("text").to_pylist()):
-                own = flat[offsets[k]: offsets[k + 1]]
-                decoded = model.decode(own.tolist())
-                n.append(len(own))
-                crc.append(zlib.crc32(own.astype("<u4").tobytes()))
-                sha.append(sha256(decoded.encode()).hexdigest())
-                same.append(decoded == text)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(sha, pa.string()),
-                                              pa.array(same, pa.bool_())], ["doc_id", "n_pieces", "ids_crc32", "decoded_sha256", "round_trip"])
-
-    return encoded.select("doc_id", "text", "ids").mapInArrow(
-        run, "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string, round_trip boolean")
+            offsets, flat = batch.column("ids").offsets.to_numpy(), batch.column("ids").values.to_numpy()
+            own = [flat[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
+            yield _digests(model, batch.column("doc_id"), batch.column("text").to_pylist(), own)
+
+    return encoded.select("doc_id", "text", "ids").mapInArrow(run, DIGESTS)

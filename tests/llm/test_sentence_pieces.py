@@ -38,6 +38,9 @@ def test_decoding_gives_the_text(spark, odd_docs):
         assert rows[i].ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
         assert rows[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
     assert decode(encode(odd_docs, PATH), PATH).filter("not round_trip").count() == 0
+    for shared in (0, 96 << 20):
+        assert sorted(map(tuple, encode(odd_docs, PATH, shared_bytes=shared, decoded=True).collect()), key=repr) == sorted(
+            map(tuple, decode(encode(odd_docs, PATH), PATH).collect()), key=repr)
 
 
 def test_viterbi_finds_the_best_path(spark):
@@ -55,7 +58,7 @@ def test_viterbi_finds_the_best_path(spark):
     df = spark.createDataFrame([(w,) for w in words], "word string")
     by_id = {i: s for _, i, s in model.rows}
     text = {i: p for p, i, _ in model.rows}
-    for r in encode_words(df, model, UNIGRAM).collect():
+    for r in encode_words(df, PATH, UNIGRAM).collect():
         assert "".join(text[i] for i in r.ids) == r.word
         assert sum(by_id[i] for i in r.ids) == pytest.approx(best(r.word))
 
