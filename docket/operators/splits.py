@@ -54,10 +54,28 @@ def count_of(df: DataFrame) -> Column:
 
 
 def holdout_most_recent(cases: DataFrame, year_col: str, ord_col: str, p: float = 0.15) -> DataFrame:
-    """Newest ``floor(n·p)`` cases (year desc, ties by ordinal)."""
-    ranked = global_rank(cases, [F.col(year_col).desc(), F.col(ord_col).asc()])
-    k = F.floor(count_of(cases) * F.lit(float(p)))
-    return ranked.filter(F.col("rn") <= k)
+    """Newest ``floor(n·p)`` cases (year desc, ties by ordinal), with their
+    rank ``rn``.  A histogram of the years says which can reach the
+    threshold; only their rows are ranked."""
+    years = cases.groupBy(F.col(year_col).alias("__y")).agg(F.count(F.lit(1)).alias("__n"))
+    newer = Window.orderBy(F.col("__y").desc()).rowsBetween(Window.unboundedPreceding, -1)  # a row per year
+    hist = years.select("__y", F.coalesce(F.sum("__n").over(newer), F.lit(0)).alias("__before"))
+    k = F.floor(years.agg(F.sum("__n")).scalar() * F.lit(float(p)))
+    near = cases.join(hist, F.col(year_col).eqNullSafe(F.col("__y"))).filter(F.col("__before") < k).drop("__y", "__before")
+    # all rows of the newest years: their rank among themselves is the rank among all
+    return global_rank(near, [F.col(year_col).desc(), F.col(ord_col).asc()]).filter(F.col("rn") <= k)
+
+
+def year_ranks(df: DataFrame, year_col: str, ord_col: str) -> DataFrame:
+    """``rn_asc`` (year, then ordinal) and ``rn_desc`` (year descending, ties
+    still by rising ordinal).  One rank: the descending one follows from it
+    and the number of rows per year."""
+    ranked = global_rank(df, [F.col(year_col).asc(), F.col(ord_col).asc()], "rn_asc")
+    per = ranked.groupBy(F.col(year_col).alias("__y")).agg(F.min("rn_asc").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    n = per.agg(F.sum("__n")).scalar()
+    later = n - (F.col("__first") - 1) - F.col("__n")
+    return (ranked.join(per, F.col(year_col).eqNullSafe(F.col("__y")))
+            .withColumn("rn_desc", later + F.col("rn_asc") - F.col("__first") + 1).drop("__y", "__first", "__n"))
 
 
 def split_time_train_val(dataset: DataFrame, holdout: DataFrame, key: str, year_col: str, ord_col: str,
@@ -71,7 +89,7 @@ def split_time_train_val(dataset: DataFrame, holdout: DataFrame, key: str, year_
     total = train_ratio + val_ratio
     share = train_ratio / (total if total > 0 else 1.0)
     ranked = global_rank(pre, [F.col(year_col).asc(), F.col(ord_col).asc()])
-    n_train = F.floor(count_of(pre) * F.lit(share))
+    n_train = F.floor(count_of(ranked) * F.lit(share))
     return ranked.withColumn("role", F.when(F.col("rn") <= n_train, F.lit("train")).otherwise(F.lit("val")))
 
 
@@ -79,7 +97,7 @@ def split_time_ratios(df: DataFrame, year_col: str, ord_col: str, train: float =
                       val: float = 0.15) -> DataFrame:
     """Chronological ``int(.7n)`` train, ``int(.15n)`` val, remainder test."""
     ranked = global_rank(df, [F.col(year_col).asc(), F.col(ord_col).asc()])
-    n = count_of(df)
+    n = count_of(ranked)
     n_train = F.floor(n * F.lit(train))
     n_val = F.floor(n * F.lit(val))
     role = (F.when(F.col("rn") <= n_train, F.lit("train"))
@@ -92,7 +110,7 @@ def split_tail_counts(df: DataFrame, year_col: str, ord_col: str, test_size: int
     before them val, the rest train."""
     y = F.coalesce(F.col(year_col), F.lit(0))
     ranked = global_rank(df.withColumn("__y", y), [F.col("__y").asc(), F.col(ord_col).asc()]).drop("__y")
-    from_end = count_of(df) - F.col("rn") + 1
+    from_end = count_of(ranked) - F.col("rn") + 1
     role = (F.when(from_end <= test_size, F.lit("test"))
             .when(from_end <= test_size + val_size, F.lit("val")).otherwise(F.lit("train")))
     return ranked.withColumn("role", role)
@@ -108,22 +126,28 @@ def split_random(df: DataFrame, key: str, seed: int = 42, train_ratio: float = 0
     """Seeded shuffle (md5 order, ties by key); first ``int(n·r)`` train."""
     ranked = global_rank(df.withColumn("__h", hash_order(F.col(key), seed)),
                          [F.col("__h").asc(), F.col(key).asc()]).drop("__h")
-    n_train = F.floor(count_of(df) * F.lit(train_ratio))
+    n_train = F.floor(count_of(ranked) * F.lit(train_ratio))
     return ranked.withColumn("role", F.when(F.col("rn") <= n_train, F.lit("train")).otherwise(F.lit("val")))
 
 
-def cv_forward_folds(df: DataFrame, year_col: str, ord_col: str, train_size: int, val_size: int,
+def cv_forward_folds(df: DataFrame, year_col: str, ord_col: str, train_size: int | float, val_size: int | float,
                      n_folds: int) -> DataFrame:
-    """Oldest first, disjoint blocks of ``train_size + val_size``; fold i
-    starts at i·(T+V).  A fold that does not fit is dropped with all later
-    ones.  Every row is in at most one fold."""
-    size = train_size + val_size
+    """Oldest first, disjoint blocks of ``train_size + val_size`` rows (or
+    shares of all rows, where given as fractions); fold i starts at i·(T+V).
+    A fold that does not fit is dropped with all later ones.  Every row is in
+    at most one fold."""
     ranked = global_rank(df, [F.col(year_col).asc(), F.col(ord_col).asc()])
-    full = F.least(F.lit(n_folds), F.floor(count_of(df) / F.lit(size)))
+    n = count_of(ranked)
+
+    def rows(size: int | float) -> Column:
+        return F.floor(n * F.lit(size)) if isinstance(size, float) else F.lit(size)
+
+    train, size = rows(train_size), rows(train_size) + rows(val_size)
+    full = F.least(F.lit(n_folds), F.coalesce(F.floor(n / size), F.lit(0)))
     r0 = F.col("rn") - 1
     return (ranked.withColumn("fold", F.floor(r0 / size).cast("int"))
             .filter(F.col("fold") < full)
-            .withColumn("role", F.when(r0 % size < train_size, F.lit("train")).otherwise(F.lit("val"))))
+            .withColumn("role", F.when(r0 % size < train, F.lit("train")).otherwise(F.lit("val"))))
 
 
 def cv_backward_folds(df: DataFrame, year_col: str, ord_col: str, test_size: int, train_size: int,
@@ -136,7 +160,7 @@ def cv_backward_folds(df: DataFrame, year_col: str, ord_col: str, test_size: int
     the single fallback split is returned as fold 0."""
     y = F.coalesce(F.col(year_col), F.lit(0))
     ranked = global_rank(df.withColumn("__y", y), [F.col("__y").asc(), F.col(ord_col).asc()]).drop("__y")
-    n = count_of(df)
+    n = count_of(ranked)
     usable = F.greatest(n - F.lit(test_size), F.lit(0)) if test_size > 0 else n
     r0 = F.col("rn") - 1
 

@@ -118,16 +118,16 @@ def q_split_random(spark, d):
 
 
 @query("cv_forward_folds", sql=with_("ck", "holdout") + """
-SELECT case_id, CAST(floor((rn - 1) / 350) AS INT) AS fold,
-       CASE WHEN (rn - 1) % 350 < 300 THEN 'train' ELSE 'val' END AS role
-FROM (SELECT case_id, row_number() OVER (ORDER BY year, case_ord) AS rn, count(*) OVER () AS n
-      FROM ck WHERE has_desc AND case_id NOT IN (SELECT case_id FROM holdout)) t
-WHERE floor((rn - 1) / 350) < least(3, floor(n / 350))""")
+SELECT case_id, CAST(floor((rn - 1) / s) AS INT) AS fold, CASE WHEN (rn - 1) % s < t THEN 'train' ELSE 'val' END AS role
+FROM (SELECT *, floor(n * 0.25) AS t, floor(n * 0.25) + floor(n * 0.05) AS s FROM (
+  SELECT case_id, row_number() OVER (ORDER BY year, case_ord) AS rn, count(*) OVER () AS n
+  FROM ck WHERE has_desc AND case_id NOT IN (SELECT case_id FROM holdout)) r) t
+WHERE s > 0 AND floor((rn - 1) / s) < least(3, floor(n / s))""")
 def q_cv_forward_folds(spark, d):
     ck = case_keys(spark, d)
     h = holdout(spark, d).select(F.col("case_id").alias("__h"))
     avail = ck.filter("has_desc").join(h, ck.case_id == h.__h, "left_anti")
-    return splits.cv_forward_folds(avail, "year", "case_ord", 300, 50, 3).select("case_id", "fold", "role")
+    return splits.cv_forward_folds(avail, "year", "case_ord", 0.25, 0.05, 3).select("case_id", "fold", "role")
 
 
 @query("cv_backward_folds", sql=with_("pretrain_years") + """
@@ -168,9 +168,7 @@ SELECT case_id, row_number() OVER (ORDER BY year, case_ord) AS rn_asc,
        row_number() OVER (ORDER BY year DESC, case_ord) AS rn_desc FROM ck""")
 def q_sort_by_year_stable(spark, d):
     ck = case_keys(spark, d).select("case_id", "year", "case_ord")
-    a = splits.global_rank(ck, [F.col("year").asc(), F.col("case_ord").asc()], "rn_asc")
-    return splits.global_rank(a, [F.col("year").desc(), F.col("case_ord").asc()], "rn_desc") \
-        .select("case_id", "rn_asc", "rn_desc")
+    return splits.year_ranks(ck, "year", "case_ord").select("case_id", "rn_asc", "rn_desc")
 
 
 @query("first_row_per_group", sql=with_("votes") + """
@@ -255,10 +253,8 @@ SELECT role, coalesce(CAST(min(CASE WHEN year > 0 THEN year END) AS VARCHAR) ||
 FROM (SELECT year, CASE WHEN rn <= floor(n * 0.7) THEN 'train' WHEN rn <= floor(n * 0.7) + floor(n * 0.15) THEN 'val'
                         ELSE 'test' END AS role
       FROM (SELECT year, row_number() OVER (ORDER BY year, case_ord) AS rn, count(*) OVER () AS n
-            FROM ck WHERE year BETWEEN 1996 AND 2000) t) s
+            FROM ck) t) s
 GROUP BY role""")
 def q_year_span(spark, d):
-    from docket.operators.filters import filter_year_range
     from docket.operators.reports import year_span
-    ck = filter_year_range(case_keys(spark, d), "year", 1996, 2000)
-    return year_span(splits.split_time_ratios(ck, "year", "case_ord"), ["role"], "year")
+    return year_span(splits.split_time_ratios(case_keys(spark, d), "year", "case_ord"), ["role"], "year")
