@@ -1,8 +1,8 @@
-"""Code-book decoding and dictionary lookups as broadcast joins.
+"""Code-book decoding and dictionary lookups as joins.
 
-Books passed here must be bounded (the fixed books in
-``docket.functions.codebooks`` are); an unbounded dictionary should be joined
-without the broadcast mark and left to AQE's size check.
+Nothing is marked for broadcast here: the fixed books come marked from
+``docket.functions.codebooks.book_df``, and any other DataFrame is left to
+AQE's size check.
 """
 
 from __future__ import annotations
@@ -20,16 +20,13 @@ def code_of(value: Column) -> Column:
     return F.when(ok, d.cast("int"))
 
 
-def decode_codes(df: DataFrame, col: str, book: DataFrame, default: str, out: str,
-                 bounded: bool = True) -> DataFrame:
+def decode_codes(df: DataFrame, col: str, book: DataFrame, default: str, out: str) -> DataFrame:
     """Add ``out`` = label of ``col`` in ``book`` (code int, label string).
 
     NULL → 'Not specified'; not castable or not in the book → ``default``.
     """
     key = f"__code_{out}"
     b = book.select(F.col("code").alias(key), F.col("label").alias(f"__label_{out}"))
-    if bounded:
-        b = F.broadcast(b)
     j = df.withColumn(key, code_of(F.col(col))).join(b, key, "left")
     label = (F.when(F.col(col).isNull(), F.lit(NOT_SPECIFIED))
              .otherwise(F.coalesce(F.col(f"__label_{out}"), F.lit(default))))
@@ -37,11 +34,9 @@ def decode_codes(df: DataFrame, col: str, book: DataFrame, default: str, out: st
 
 
 def lookup(df: DataFrame, col: str, book: DataFrame, key: str, value: str, out: str,
-           pass_through: bool = True, bounded: bool = False) -> DataFrame:
+           pass_through: bool = True) -> DataFrame:
     """Dictionary lookup ``out = book[col]``; unknown keys pass through."""
     b = book.select(F.col(key).alias(f"__k_{out}"), F.col(value).alias(f"__v_{out}"))
-    if bounded:
-        b = F.broadcast(b)
     j = df.join(b, F.col(col) == F.col(f"__k_{out}"), "left")
     res = F.coalesce(F.col(f"__v_{out}"), F.col(col)) if pass_through else F.col(f"__v_{out}")
     return j.withColumn(out, res).drop(f"__k_{out}", f"__v_{out}")
@@ -55,14 +50,14 @@ def name_code_map(df: DataFrame, col: str, book: DataFrame, out: str = "name") -
 
 def state_name_map(df: DataFrame, col: str, book: DataFrame, out: str = "state_full") -> DataFrame:
     """Abbreviation → full name; unknown passes through; '' / NULL → ''."""
-    j = lookup(df, col, book, "abbr", "name", out, bounded=True)
+    j = lookup(df, col, book, "abbr", "name", out)
     return j.withColumn(out, F.when(F.coalesce(F.col(col), F.lit("")) == "", F.lit("")).otherwise(F.col(out)))
 
 
 def url_correction(df: DataFrame, name_col: str, url_col: str, book: DataFrame, prefix: str,
                    out: str = "url") -> DataFrame:
     """Override the URL for listed names (``prefix + title``), else keep."""
-    b = F.broadcast(book.select(F.col("name").alias("__n"), F.col("title").alias("__t")))
+    b = book.select(F.col("name").alias("__n"), F.col("title").alias("__t"))
     j = df.join(b, F.col(name_col) == F.col("__n"), "left")
     return j.withColumn(out, F.when(F.col("__t").isNotNull(), F.concat(F.lit(prefix), F.col("__t")))
                         .otherwise(F.col(url_col))).drop("__n", "__t")

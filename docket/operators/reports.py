@@ -89,7 +89,7 @@ def text_reduction_stats(stats: DataFrame) -> DataFrame:
         F.sum("original_words").alias("words_before"), F.sum("processed_words").alias("words_after"),
         F.sum("original_chars").alias("chars_before"), F.sum("processed_chars").alias("chars_after"),
         F.count_if("truncated").alias("n_truncated"), F.count_if("intro_removed").alias("n_intro_removed"),
-        F.count_if("scotus_truncated").alias("n_section_cut"),
+        F.count_if("section_cut").alias("n_section_cut"),
     ).withColumn("pct_word_reduction",
                  r6(F.when(F.col("words_before") > 0,
                            (F.col("words_before") - F.col("words_after")) * 100.0 / F.col("words_before"))))

@@ -46,14 +46,14 @@ def clean_biography(bios: DataFrame, text_col: str = "text", header_col: str | N
         F.when(F.col(header_col).isNotNull(), F.concat(F.col(header_col), cleaned)).otherwise(cleaned)
     out = (bios
            .withColumn("intro_removed", intro_pos > 0)
-           .withColumn("scotus_truncated", sec > 0)
+           .withColumn("section_cut", sec > 0)
            .withColumn("processed", processed))
     return (out
             .withColumn("original_words", S.word_count(t))
             .withColumn("original_chars", F.length(t))
             .withColumn("processed_words", S.word_count(F.col("processed")))
             .withColumn("processed_chars", F.length("processed"))
-            .withColumn("truncated", F.col("intro_removed") | F.col("scotus_truncated"))
+            .withColumn("truncated", F.col("intro_removed") | F.col("section_cut"))
             .withColumn("reduction_words", F.col("original_words") - F.col("processed_words"))
             .withColumn("reduction_chars", F.col("original_chars") - F.col("processed_chars")))
 

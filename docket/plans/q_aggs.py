@@ -89,7 +89,7 @@ def q_year_histogram(spark, d):
 SELECT count(*) AS n_docs, sum(original_words) AS words_before, sum({wc_sql('processed')}) AS words_after,
   sum(original_chars) AS chars_before, sum(length(processed)) AS chars_after,
   count_if(truncated) AS n_truncated, count_if(intro_removed) AS n_intro_removed,
-  count_if(scotus_truncated) AS n_section_cut,
+  count_if(section_cut) AS n_section_cut,
   round(CASE WHEN sum(original_words) > 0
         THEN (sum(original_words) - sum({wc_sql('processed')})) * 100.0 / sum(original_words) END, 6)
         AS pct_word_reduction
@@ -117,10 +117,13 @@ def leak_sql(x: str) -> str:
 
 
 @query("leakage_sentence_filter", sql=with_("raw_descriptions") + f"""
-SELECT doc_id, {leak_sql('text')} AS filtered FROM raw_descriptions""")
+SELECT doc_id, {leak_sql('cut')} AS filtered FROM (
+  SELECT doc_id, CASE WHEN length(text) + {1000 + len(S.PROMPT_SUFFIX) + 1} > 30000
+    THEN substr(text, 1, {30000 - 1000 - 200}) || '{S.TRUNCATION_MARKER}' ELSE text END AS cut FROM raw_descriptions) t""")
 def q_leakage_sentence_filter(spark, d):
+    """The 30 000-character budget first, as the original cuts before its call, then the filter."""
     r = binding(spark, d, "raw_descriptions")
-    return r.select("doc_id", leakage.leakage_sentence_filter(F.col("text")).alias("filtered"))
+    return r.select("doc_id", leakage.filter_for_budget(F.col("text")).alias("filtered"))
 
 
 define_status = f"""

@@ -211,12 +211,12 @@ SELECT b.member_ord, h.header, b.text, {hp} > 0 AS intro_removed,
 FROM {{bios_raw}} b LEFT JOIN {{justice_headers}} h ON h.name = b.raw_name"""
     sp = pos_sql("after", SECTION_RE)
     mid = f"""
-SELECT *, {sp} > 0 AS scotus_truncated,
+SELECT *, {sp} > 0 AS section_cut,
   {trailing_sql(f"CASE WHEN {sp} > 0 THEN {strip_sql(f'substr(after, 1, {sp} - 1)')} ELSE after END")} AS cleaned
 FROM bio_step1"""
     final = f"""
 SELECT member_ord, CASE WHEN header IS NOT NULL THEN header || cleaned ELSE cleaned END AS processed,
-  intro_removed, scotus_truncated, intro_removed OR scotus_truncated AS truncated,
+  intro_removed, section_cut, intro_removed OR section_cut AS truncated,
   {wc_sql('text')} AS original_words, CAST(length(text) AS INT) AS original_chars
 FROM bio_step2"""
     define("bio_step1", None, inner)
@@ -228,7 +228,7 @@ _bio_sql()
 
 
 @query("clean_biography", sql=with_("bio_clean") + f"""
-SELECT member_ord, processed, intro_removed, scotus_truncated, truncated, original_words, original_chars,
+SELECT member_ord, processed, intro_removed, section_cut, truncated, original_words, original_chars,
   {wc_sql('processed')} AS processed_words, CAST(length(processed) AS INT) AS processed_chars,
   original_words - {wc_sql('processed')} AS reduction_words,
   original_chars - CAST(length(processed) AS INT) AS reduction_chars
@@ -238,7 +238,7 @@ def q_clean_biography(spark, d):
     h = header_frame(spark, d).select(F.col("name").alias("__hn"), "header")
     j = b.join(h, b.raw_name == h.__hn, "left")
     out = text.clean_biography(j, "text", "header")
-    return out.select("member_ord", "processed", "intro_removed", "scotus_truncated", "truncated",
+    return out.select("member_ord", "processed", "intro_removed", "section_cut", "truncated",
                       "original_words", "original_chars", "processed_words", "processed_chars",
                       "reduction_words", "reduction_chars")
 
