@@ -10,7 +10,8 @@ over all documents) by hash, then those by frequency. The order is cut into frag
   give all such pairs, larger ones the pairs with their pivot, the class of least place;
 * ``FRAGMENTS`` cuts of the whole order: a class has a count per fragment, the lesser counts summed
   over the fragments bound a pair's overlap, and pairs below the needed overlap end there;
-* n-grams themselves: pairs that are left are verified by exact overlap.
+* n-grams themselves: pairs that are left are verified by exact overlap, the sets of a small group
+  of connected candidates in one place, those of a large one pair by pair.
 
 Verified links are contracted to components. Large buckets that still hold several components are
 then compared, the classes outside the bucket's main component against all, in blocks of bounded
@@ -21,7 +22,6 @@ thousands of near copies of one text do not become millions of pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +36,11 @@ COMMON = 1 << 19
 FRAGMENTS = 128
 #: Classes in a bucket that gives all its pairs; rows on either side of a block of a larger one.
 SMALL, BLOCK = 16, 1024
+#: Classes of a candidate group that is verified in one place.
+GROUP = 256
 #: Bits of the table that tells which classes have a candidate; false hits only cost reading.
 FILTER_BITS = 1 << 24
+#: Classes that a task remembers as sent.
 REMEMBERED = 500_000
 #: N-gram instances that a task sorts at once when it counts frequencies.
 SORTED = 4_000_000
@@ -45,9 +48,11 @@ SORTED = 4_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
-@lru_cache(maxsize=1)
-def _memory() -> dict[bytes, int]:
-    return {}
+_RNG = np.random.default_rng(85)
+#: Multipliers of a byte by its place in its word: the place's lowest ten bits, and the rest.
+_NEAR, _FAR = (_RNG.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1) | np.uint64(1) for n in (1024, 4096))
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -56,28 +61,36 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def word_hashes(text: str) -> np.ndarray:
+    """A 64-bit hash of every word (runs of other bytes than ASCII white space, A-Z lower-cased), in order."""
+    b = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)
+    blank = _BLANK[b]
+    first = ~blank
+    first[1:] &= blank[:-1]
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    place = np.arange(len(b))
+    place[starts[0]:] -= np.repeat(starts, np.diff(starts, append=len(b)))
+    v = (b.astype(np.uint64) + np.uint64(1)) * _NEAR[place & 1023]
+    if len(place) > 1024 and place.max() > 1023:
+        v *= _FAR[(place >> 10) & 4095]
+    v[blank] = 0
+    return _mixed(np.add.reduceat(v, starts))
+
+
 def grams(text: str, n: int) -> np.ndarray:
     """The sorted set of hashed word n-grams; of fewer words the whole sequence as one; of none, nothing."""
-    from xxhash import xxh64_intdigest
-
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    known = _memory()
-    try:
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    except KeyError:
-        if len(known) > REMEMBERED:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = xxh64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    h = word_hashes(text)
+    if not len(h):
+        return h
     m = min(n, len(h))
     s = np.full(len(h) - m + 1, m, np.uint64)
     for k in range(m):
         s = s * _P + h[k: len(h) - m + 1 + k]
-    return np.unique(_mixed(s))
+    s = _mixed(s)
+    s.sort()
+    return s[np.concatenate([[True], s[1:] != s[:-1]])]
 
 
 def class_of(g: np.ndarray, seed: int) -> tuple[int, int]:
@@ -123,15 +136,17 @@ def fragment_counts(g: np.ndarray) -> np.ndarray:
 def _profiles(words: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, one, two = [], [], []
+            n, one, two, counts = [], [], [], []
             for text in batch.column("text").to_pylist():
                 g = grams(text, words)
                 a, b = class_of(g, seed)
                 n.append(len(g))
                 one.append(a)
                 two.append(b)
+                counts.append(fragment_counts(g).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(one, pa.int64()),
-                                              pa.array(two, pa.int64())], ["doc_id", "text_key", "n", "class", "check"])
+                                              pa.array(two, pa.int64()), pa.array(counts, pa.binary())],
+                                             ["doc_id", "text_key", "n", "class", "check", "counts"])
 
     return run
 
@@ -313,7 +328,7 @@ def _meet(percent: int):
 
 
 def _sets(words: int, seed: int, shared):
-    """(class, counts, grams) of classes in the filter."""
+    """(class, grams) of classes in the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, seen = shared.value, set()
@@ -328,10 +343,9 @@ def _sets(words: int, seed: int, shared):
                 if wanted[at >> 3] >> (at & 7) & 1 and c not in seen:
                     if len(seen) < REMEMBERED:
                         seen.add(c)
-                    out.append((c, fragment_counts(g).tobytes(), g.tobytes()))
-            cols = list(zip(*out, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())],
-                                             ["class", "counts", "grams"])
+                    out.append((c, g.tobytes()))
+            cols = list(zip(*out, strict=True)) or [()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary())], ["class", "grams"])
 
     return run
 
@@ -346,7 +360,7 @@ def _filter(classes: DataFrame) -> bytes:
     return table.tobytes()
 
 
-def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, bound) whose fragment counts allow the needed overlap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,23 +374,25 @@ def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = pa.array(bound >= needed(nx, ny, percent))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(bound, pa.int64())], ["a", "b", "bound"]).filter(keep)
 
-    side = sets.select("class", "counts", (F.octet_length("grams") / 8).cast("long").alias("n"))
+    side = classes.select("class", "counts", "n")
     rows = pairs.join(side.select(F.col("class").alias("a"), F.col("counts").alias("x"), F.col("n").alias("nx")), "a").join(
         side.select(F.col("class").alias("b"), F.col("counts").alias("y"), F.col("n").alias("ny")), "b")
     return rows.select("a", "b", "x", "y", "nx", "ny").mapInArrow(run, "a long, b long, bound long")
 
 
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    return int((both[1:] == both[:-1]).sum()) >= needed(len(x), len(y), percent)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes whose exact overlap suffices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                keep.append((both[1:] == both[:-1]).sum() >= needed(len(x), len(y), percent))
+            keep = [_similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
+                    for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     side = sets.select("class", "grams")
@@ -385,6 +401,34 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def verified_groups(pairs: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links among the candidate pairs (a, b, bound) of groups (node, root) of bounded size: every set
+    moves to its group once; pairs of one component by then need no overlap."""
+
+    def link(key, own: pa.Table, asked: pa.Table) -> pa.Table:
+        held = dict(zip(own.column("class").to_pylist(), own.column("grams").to_pylist(), strict=True))
+        parent = {c: c for c in held}
+
+        def find(c):
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        out = []
+        rows = sorted(zip(*(asked.column(c).to_pylist() for c in ("bound", "a", "b")), strict=True), reverse=True)
+        for _, a, b in rows:
+            x, y = find(a), find(b)
+            if x != y and _similar(np.frombuffer(held[a], np.uint64), np.frombuffer(held[b], np.uint64), percent):
+                parent[x] = y
+                out.append((a, b))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    own = sets.join(groups.select(F.col("node").alias("class"), F.col("root").alias("own")), "class")
+    asked = pairs.join(groups.select(F.col("node").alias("a"), F.col("root").alias("asked")), "a")
+    return own.groupBy("own").cogroup(asked.groupBy("asked")).applyInArrow(link, "a long, b long")
+
+
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs whose classes are in different components so far."""
     root = lambda c, name: F.coalesce(F.col(name), F.col(c))
@@ -400,14 +444,14 @@ def _strongest(pairs: DataFrame, most: int) -> DataFrame:
     return ends.withColumn("rank", rank).filter(F.col("rank") <= most).select("a", "b").distinct()
 
 
-def _residual(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _residual(members: DataFrame, roots: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs within large buckets: classes outside a bucket's main component against all others."""
     rows = members.select("key", F.col("a").alias("class"), "k", "n").join(
         roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     sizes = rows.groupBy("key", "root").agg(F.count("*").alias("size"))
     by_key = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.sum("size").alias("all"),
                                       F.count("*").alias("parts")).filter("parts > 1")
-    rows = rows.join(by_key, "key").join(sets.select("class", "counts"), "class")
+    rows = rows.join(by_key, "key").join(classes.select("class", "counts"), "class")
     rows = rows.withColumn("rest", F.col("root") != F.col("main")).withColumn(
         "cuts", F.ceil(F.col("all") / BLOCK).cast("int")).withColumn("cut", F.pmod(F.xxhash64("class"), F.col("cuts")).cast("int"))
     # block (i, j): the rest of cut i against all of cut j
@@ -441,7 +485,7 @@ def near_classes(rows: DataFrame, words: int, percent: int) -> tuple[DataFrame,
     spark = rows.sparkSession
     keyed = rows.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     for seed in range(8):
-        profiles = stored(keyed.mapInArrow(_profiles(words, seed), "doc_id long, text_key long, n long, class long, check long"), "profiles")
+        profiles = stored(keyed.mapInArrow(_profiles(words, seed), "doc_id long, text_key long, n long, class long, check long, counts binary"), "profiles")
         clash = profiles.groupBy("class").agg(F.min("check").alias("low"), F.max("check").alias("high")).filter("low <> high")
         if clash.isEmpty():
             break
@@ -452,18 +496,25 @@ def near_classes(rows: DataFrame, words: int, percent: int) -> tuple[DataFrame,
     met = stored(entries.repartition(shuffle_parts(spark), "key").sortWithinPartitions("key", "k", "n", "class")
                  .mapInArrow(_meet(percent), "key long, a long, b long, k long, n long"), "met")
     members = met.filter("key is not null")
-    pairs = stored(met.filter("key is null").select("a", "b").distinct(), "pairs")
+    classes = profiles.filter("n > 0").select("class", "counts", "n").dropDuplicates(["class"])
+    candidates = stored(_bounded(met.filter("key is null").select("a", "b").distinct(), classes, percent), "candidates")
     wanted = spark.sparkContext.broadcast(_filter(
-        pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(members.select(F.col("a").alias("class")))))
-    sets = stored(rows.select("text").mapInArrow(_sets(words, seed, wanted), "class long, counts binary, grams binary").dropDuplicates(["class"]), "sets")
-
-    candidates = stored(_bounded(pairs, sets, percent), "candidates")
-    links = stored(verified(_strongest(candidates, 1), sets, percent), "verified")
-    roots = stored(components(links), "roots")
-    links = links.unionByName(verified(_apart(candidates, roots).select("a", "b"), sets, percent))
+        candidates.select(F.explode(F.array("a", "b")).alias("class")).unionByName(members.select(F.col("a").alias("class")))))
+    sets = stored(rows.select("text").mapInArrow(_sets(words, seed, wanted), "class long, grams binary").dropDuplicates(["class"]), "sets")
+
+    # groups of classes that candidates connect: small ones are verified in one place, of large ones pair by pair
+    groups = stored(components(candidates.select("a", "b")), "groups")
+    small = groups.join(groups.groupBy("root").count().filter(F.col("count") <= GROUP), "root", "left_semi")
+    large = groups.join(groups.groupBy("root").count().filter(F.col("count") > GROUP), "root", "left_semi")
+    big = candidates.join(large.select(F.col("node").alias("a")), "a", "left_semi")
+    links = stored(verified_groups(candidates, small, sets, percent).unionByName(verified(_strongest(big, 1), sets, percent)), "verified")
     roots = stored(components(links), "roots")
+    rest = _apart(big, roots)
+    if not big.isEmpty():
+        links = _links(roots).unionByName(verified(rest.select("a", "b"), sets, percent))
+        roots = stored(components(links), "roots")
     if not members.isEmpty():
-        candidates = stored(_residual(members, roots, sets, percent), "candidates")
+        candidates = stored(_residual(members, roots, classes, percent), "candidates")
         links = stored(_links(roots).unionByName(verified(_strongest(candidates, 2), sets, percent)), "verified")
         roots = stored(components(links), "roots")
         links = _links(roots).unionByName(verified(_apart(candidates, roots).select("a", "b"), sets, percent))

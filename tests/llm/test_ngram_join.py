@@ -74,9 +74,10 @@ def test_components(spark):
     assert {r.node: r.root for r in out.collect()} == want and out.count() == len(want)
 
 
-@pytest.mark.parametrize("seed,n,percent,small", [(1, 4, 85, 16), (2, 5, 80, 3), (3, 4, 85, 2), (4, 1, 50, 2)])
-def test_links_match_brute_force(spark, monkeypatch, seed, n, percent, small):
+@pytest.mark.parametrize("seed,n,percent,small,group", [(1, 4, 85, 16, 256), (2, 5, 80, 3, 4), (3, 4, 85, 2, 0), (4, 1, 50, 2, 256)])
+def test_links_match_brute_force(spark, monkeypatch, seed, n, percent, small, group):
     monkeypatch.setattr(ngram_join, "SMALL", small)
+    monkeypatch.setattr(ngram_join, "GROUP", group)
     monkeypatch.setattr(ngram_join, "BLOCK", 20)
     docs = corpus(spark, seed).cache()
     assert got(near_duplicates(docs, n, percent)) == brute(docs.collect(), n, percent)
@@ -91,3 +92,12 @@ def test_few_common_ngrams_known(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "global_order", lambda rows, words, f=ngram_join.global_order: f(rows, words, 10))
     docs = corpus(spark, 9).cache()
     assert got(near_duplicates(docs, 4, 85)) == brute(docs.collect(), 4, 85)
+
+
+def test_word_hashes_tell_words_apart():
+    text = " Ab  ab aB\tcd " + "x" * 5000 + " " + "x" * 5001 + " é É \x00 a\x00b \x0b y"
+    words = text.encode().lower().split()
+    h = ngram_join.word_hashes(text)
+    assert len(h) == len(words)
+    assert len(set(h.tolist())) == len(set(words)) and len(set(zip(h.tolist(), words))) == len(set(words))
+    assert len(ngram_join.word_hashes("")) == len(ngram_join.word_hashes(" \n")) == 0
