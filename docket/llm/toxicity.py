@@ -27,6 +27,8 @@ WIDTH, BITS = 5, 20
 LEAST_G2, LEAST_LIFT = 30.0, 5.0
 #: Bounds of the fitted model: terms, labelled rows as examples, neighbours, examples in a block.
 TERMS, EXAMPLES, NEIGHBOURS, BLOCK = 4096, 16_384, 25, 128
+#: Blocks that set the cosine to beat.
+FIRST = 4
 #: Weight of the base rate in a vote.
 PRIOR_WEIGHT = 0.1
 THRESHOLD = 0.3
@@ -100,23 +102,44 @@ def build(column: np.ndarray, idf: np.ndarray, rows: list[tuple[int, int, np.nda
 
 
 def nearest(index: Index, cols: np.ndarray, values: np.ndarray, k: int = NEIGHBOURS, but: int = -1) -> list[tuple[float, int]]:
-    """The k examples of highest positive cosine, (cosine, example), ties to the earlier example; ``but`` is left out."""
+    """The k examples of highest positive cosine, (cosine, example), ties to the earlier example; ``but`` is left out.
+
+    A few blocks of the highest bounds give a k-th cosine to beat. Of the others only those whose
+    bound reaches it are read, block by block while they are few, else list by list.
+    """
     if not len(cols) or not index.highest.shape[1]:
         return []
-    bounds = values @ index.highest[cols]
-    blocks, best = index.highest.shape[1], []
-    for b in np.argsort(-bounds, kind="stable"):
-        if bounds[b] <= 0 or len(best) == k and bounds[b] < best[-1][0] - 1e-12:
-            break
-        scores = np.zeros(BLOCK)
-        for c, v in zip(cols, values, strict=True):
-            a, z = index.starts[c * blocks + b], index.starts[c * blocks + b + 1]
-            if a < z:
-                scores[index.example[a:z] - b * BLOCK] += v * index.weight[a:z]
-        hit = np.flatnonzero(scores > 0)
-        best += [(float(scores[i]), int(b * BLOCK + i)) for i in hit if b * BLOCK + i != but]
-        best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
-    return best
+    bounds, blocks = values @ index.highest[cols], index.highest.shape[1]
+    order = np.argsort(-bounds, kind="stable")
+    order = order[: int((bounds > 0).sum())]
+    scores = np.zeros(blocks * BLOCK)
+    rows, weights = cols.tolist(), values.tolist()
+
+    def read(some: list[int]) -> None:
+        for c, v in zip(rows, weights, strict=True):
+            for b in some:
+                a, z = index.starts[c * blocks + b], index.starts[c * blocks + b + 1]
+                if a < z:
+                    scores[index.example[a:z]] += v * index.weight[a:z]
+
+    read(order[:FIRST].tolist())
+    if but >= 0:
+        scores[but] = 0
+    seen = np.sort(scores[np.concatenate([np.arange(b * BLOCK, (b + 1) * BLOCK) for b in order[:FIRST]])]) if len(order) else scores[:0]
+    least = seen[-k] if len(seen) >= k else 0.0
+    rest = [b for b in order[FIRST:].tolist() if bounds[b] >= least - 1e-12]
+    if len(rest) > 2 * FIRST:
+        scores[:] = 0
+        for c, v in zip(rows, weights, strict=True):
+            a, z = index.starts[c * blocks], index.starts[(c + 1) * blocks]
+            scores[index.example[a:z]] += v * index.weight[a:z]
+    else:
+        read(rest)
+    if but >= 0:
+        scores[but] = 0
+    hit = np.flatnonzero(scores >= max(least - 1e-12, 1e-12))
+    best = hit[np.argsort(-scores[hit], kind="stable")[:k]]
+    return list(zip(scores[best].tolist(), best.tolist(), strict=True))
 
 
 def vote(index: Index, found: list[tuple[float, int]]) -> float:
@@ -188,7 +211,7 @@ def train(rows: DataFrame, labels: DataFrame, label_id: str = "doc_id", label_co
         "doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(
         F.max((F.col("toxic") != 0).cast("int")).alias("toxic"))
     open_rows = rows.filter(~held_out(F.col("doc_id")))
-    column, idf = chosen_terms(open_rows.join(marks, "doc_id"))
+    column, idf = chosen_terms(open_rows.join(marks.hint("merge"), "doc_id"))
     n = marks.count()
     part = min(1.0, examples / max(1, n))
     shared = rows.sparkSession.sparkContext.broadcast((column, idf))
@@ -199,7 +222,7 @@ def train(rows: DataFrame, labels: DataFrame, label_id: str = "doc_id", label_co
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([i.tolist() for i, _ in out], pa.list_(pa.int64())),
                                               pa.array([v.tolist() for _, v in out], pa.list_(pa.float64()))], ["doc_id", "toxic", "cols", "vals"])
 
-    sample = open_rows.filter(share(F.col("doc_id")) < part).join(marks.filter(share(F.col("doc_id")) < part), "doc_id")
+    sample = open_rows.filter(share(F.col("doc_id")) < part).join(marks.filter(share(F.col("doc_id")) < part).hint("merge"), "doc_id")
     found = sample.select("doc_id", "toxic", "text").mapInArrow(vectors, "doc_id long, toxic int, cols array<long>, vals array<double>")
     got = sorted(found.limit(2 * examples).collect(), key=lambda r: (r.doc_id, r.cols))  # bounded by ``examples``
     index = build(column, idf, [(r.doc_id, r.toxic, np.array(r.cols, np.int64), np.array(r.vals)) for r in got])
