@@ -242,6 +242,17 @@ def q_nt_xent(spark, d):
     return n.select("batch", F.round("nt_xent", 6).alias("nt_xent"), "n")
 
 
+@query("nt_xent_scaled", sql=with_("pv") + """
+SELECT a.batch, round(avg(-(a.pos - ln(exp(a.pos) + greatest((1 - 0.1) * a.neg, 1e-12)))), 6) AS nt_xent, count(*) AS n FROM (
+  SELECT x.batch, x.vec_id, list_inner_product(x.s, x.t) / 0.5 AS pos,
+         sum(CASE WHEN y.vec_id <> x.vec_id THEN exp(list_inner_product(x.s, y.t) / 0.5) ELSE 0 END) AS neg
+  FROM pv x JOIN pv y ON x.batch = y.batch GROUP BY x.batch, x.vec_id, x.s, x.t) a GROUP BY a.batch""")
+def q_nt_xent_scaled(spark, d):
+    """NT-Xent with the share rho of the negatives taken off."""
+    n = vectors.nt_xent(pair_vectors(spark, d), "batch", "vec_id", "s", "t", temperature=0.5, rho=0.1)
+    return n.select("batch", F.round("nt_xent", 6).alias("nt_xent"), "n")
+
+
 @query("contrastive_loss", sql=with_("pv", "nt") + """
 SELECT n.batch, round(0.5 * n.nt_xent + 0.5 * c.cl, 6) AS loss FROM nt n JOIN (
   SELECT batch, 1 - avg(list_inner_product(s, t) / (greatest(sqrt(list_inner_product(s, s)), 1e-8)
@@ -357,6 +368,19 @@ def q_cv_fold_mean(spark, d):
     return metrics.cv_fold_mean(fold_log(spark, d), "trial", "metric", F.col("completed"), 10.0)
 
 
+@query("cv_fold_mean_pretraining", sql="""
+SELECT trial, round(coalesce(avg(CASE WHEN completed THEN metric END), 0.0), 6) AS cv_mean,
+       count_if(completed) AS n_completed FROM (
+  SELECT user_id AS trial, event_id % 3 AS fold, avg(CASE WHEN event_type = 'purchase' THEN value END) AS metric,
+         count_if(event_type = 'purchase') > 0 AS completed FROM events GROUP BY 1, 2) f GROUP BY trial""")
+def q_cv_fold_mean_pretraining(spark, d):
+    """The pretraining tuner's variant: 0.0 for a trial without a completed fold."""
+    done = F.col("event_type") == "purchase"
+    log = (table(spark, d, "events").groupBy(F.col("user_id").alias("trial"), (F.col("event_id") % 3).alias("fold"))
+           .agg(F.avg(F.when(done, F.col("value"))).alias("metric"), (F.count_if(done) > 0).alias("completed")))
+    return metrics.cv_fold_mean(log, "trial", "metric", F.col("completed"), 0.0)
+
+
 TRIALS_SQL = """(SELECT user_id AS trial, arg_max(event_type, (ts, event_id)) AS state, avg(value) AS value
                  FROM events GROUP BY user_id)"""
 
