@@ -23,7 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docket.llm.common import stored, texts
@@ -32,7 +32,7 @@ BLANK = "▁"
 #: Characters of a word that the lattice takes; a bit of a long per place between them.
 LONGEST_WORD = 60
 #: Distinct words that a task combines, that a worker remembers; bytes of a table that workers may hold.
-COMBINED, REMEMBERED, SHARED_BYTES = 100_000, 150_000, 96 << 20
+COMBINED, REMEMBERED, SHARED_BYTES = 200_000, 300_000, 96 << 20
 UNIGRAM, BPE = 1, 2
 
 
@@ -61,22 +61,30 @@ class Pieces:
         self.near = {p[i: i + 2] for p, _, _ in self.rows for i in range(len(p) - 1)}
         if any(b == BLANK != a for a, b in self.near):
             raise ValueError("a piece has a blank behind another character")
-        self.chunks = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
+        self.chunks = re.compile(f"{BLANK}+[^{BLANK}]*")
         self.id = {p: i for p, i, _ in self.rows}
 
     def cut(self, chunk: str) -> list[str]:
-        """A chunk (blanks and what follows) as words."""
-        out, at = [], 0
-        for i in range(1, len(chunk)):
-            if chunk[i - 1: i + 1] not in self.near:
-                out.append(chunk[at:i])
-                at = i
-        out.append(chunk[at:])
+        """A chunk with the blank in front of it, as words."""
+        s, near, at = BLANK + chunk, self.near, 0
+        cuts = [i for i in range(1, len(s)) if s[i - 1: i + 1] not in near]
+        if not cuts:
+            return [s]
+        out = []
+        for i in cuts:
+            out.append(s[at:i])
+            at = i
+        out.append(s[at:])
         return out
 
     def split(self, text: str) -> list[str]:
-        """The text as chunks: no piece has a blank behind another character."""
-        return self.chunks.findall(BLANK + text.replace(" ", BLANK)) if text else []
+        """The text as chunks, each without the blank in front of it: no piece has a blank behind
+        another character. Blanks after blanks stay with what follows them."""
+        if not text:
+            return []
+        if "  " not in text and text[0] != " " and BLANK not in text:
+            return text.split(" ")
+        return [c[1:] for c in self.chunks.findall(BLANK + text.replace(" ", BLANK))]
 
     def words(self, text: str) -> list[str]:
         """The text as words; joined they are the text with its blanks as U+2581."""
@@ -135,15 +143,15 @@ def word_counts(rows: DataFrame, path: str) -> DataFrame:
 
 
 def lattice(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
-    """(word, edges): edges of two characters or more by falling score, then place: cost, first, id,
+    """(word, n, edges): edges of two characters or more by falling score, then place: cost, first, id,
     ends, inside and len.
 
     ``ends`` has a bit for the place before the edge's first and behind its last character,
     ``inside`` a bit for the places between. Every word has one edge without a place (len 0).
     """
-    spans = words.select("word", F.length("word").alias("size")).select(
-        "word", "size", F.explode(F.expr("sequence(0, size)")).alias("first")).select(
-        "word", "first", F.explode(F.expr(
+    spans = words.select("word", "n", F.length("word").alias("size")).select(
+        "word", "n", "size", F.explode(F.expr("sequence(0, size)")).alias("first")).select(
+        "word", "n", "first", F.explode(F.expr(
             f"if(first = size, array(0), if(first = size - 1, array(), sequence(2, least({longest}, size - first))))")).alias("len"))
     cut = spans.withColumn("piece", F.expr("substring(word, first + 1, len)"))
     # the piece table is fixed by the model file
@@ -152,7 +160,7 @@ def lattice(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
     ends = F.expr(f"if(len = 0, 0L, {bit.format('first')} | {bit.format('first + len')})")
     inside = F.expr(f"if(len = 0, 0L, ({bit.format('first + len')} - 1L) & ~({bit.format('first + 1')} - 1L))")
     edge = F.struct((-F.col("score")).alias("cost"), "first", "id", ends.alias("ends"), inside.alias("inside"), "len")
-    return found.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    return found.groupBy("word", "n").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
 def merged(edges: DataFrame) -> DataFrame:
@@ -200,7 +208,7 @@ def viterbi(edges: DataFrame, model: Pieces) -> DataFrame:
 
 
 def encode_words(words: DataFrame, path: str, kind: int | None = None) -> DataFrame:
-    """(word, ids) of distinct words, by the fold of the model's kind."""
+    """(word, n, hash, ids) of distinct words (word, n), by the fold of the model's kind."""
     model = pieces(path)
     table = words.sparkSession.createDataFrame([*(r for r in model.rows if len(r[0]) > 1), ("", -1, 0.0)], "piece string, id int, score double")
     edges = lattice(words, table, model.longest)
@@ -209,40 +217,74 @@ def encode_words(words: DataFrame, path: str, kind: int | None = None) -> DataFr
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
         for batch in batches:
-            ids = [model.between(w, m) for w, m in zip(batch.column("word").to_pylist(), batch.column("mask").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
-
-    return folded.select("word", "mask").mapInArrow(named, "word string, ids array<int>")
+            words = batch.column("word").to_pylist()
+            ids = [model.between(w, m) for w, m in zip(words, batch.column("mask").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array([_hash(w) for w in words], pa.int64()),
+                                              pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "hash", "ids"])
 
+    return folded.select("word", "n", "mask").mapInArrow(named, "word string, n long, hash long, ids array<int>")
 
-class Words:
-    """Ids of words from flat arrays sorted by hash; (word, ids) pairs whose hashes clash are kept apart."""
-
-    def __init__(self, table: pa.Table):
-        from xxhash import xxh64_intdigest
 
-        words = table.column("word").to_pylist()
-        h = np.fromiter((xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
-        ids = table.column("ids").combine_chunks()
-        offsets = ids.offsets.to_numpy() if len(words) else np.zeros(1, np.int32)
-        flat = ids.values.to_numpy() if len(words) else np.zeros(0, np.int32)
-        self.order = np.argsort(h).astype(np.int32)
-        self.hash, self.offsets, self.ids = h[self.order], offsets, flat.astype(np.uint16)
-        same = np.flatnonzero(self.hash[1:] == self.hash[:-1])
-        self.clash = {words[self.order[j]]: int(self.order[j]) for i in same.tolist() for j in (i, i + 1)}
+def _hash(word: str) -> int:
+    from xxhash import xxh64_intdigest
 
-    def get(self, word: str) -> np.ndarray:
-        from xxhash import xxh64_intdigest
+    h = xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
 
-        k = self.clash.get(word) if self.clash else None
-        if k is None:
-            h = np.uint64(xxh64_intdigest(word.encode("utf-8", "surrogatepass")))
-            k = int(self.order[np.searchsorted(self.hash, h)])
-        return self.ids[self.offsets[k]: self.offsets[k + 1]]
 
+class Words:
+    """Ids of words as flat arrays sorted by hash: 16 bytes a word and 2 an id."""
 
-def _numbered(rows: DataFrame) -> DataFrame:
-    return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    def __init__(self, table: pa.Table):
+        h = table.column("hash").to_numpy()
+        order = np.argsort(h)
+        ids = table.column("ids").combine_chunks()
+        offsets = ids.offsets.to_numpy().astype(np.int64) if len(h) else np.zeros(1, np.int64)
+        self.hash, self.first, self.last = h[order], offsets[:-1][order].astype(np.uint32), offsets[1:][order].astype(np.uint32)
+        self.ids = (ids.values.to_numpy() if len(h) else np.zeros(0, np.int32)).astype(np.uint16).tobytes()
+
+    def find(self, words: list[str]) -> list[bytes | None]:
+        """The ids (16 bits each) of each word, None where it is not held."""
+        if not len(self.hash):
+            return [None] * len(words)
+        h = np.fromiter(map(_hash, words), np.int64, len(words))
+        i = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+        held = (self.hash[i] == h).tolist()
+        a, b = (2 * self.first[i].astype(np.int64)).tolist(), (2 * self.last[i].astype(np.int64)).tolist()
+        return [self.ids[x:y] if k else None for x, y, k in zip(a, b, held, strict=True)]
+
+
+class Encoder:
+    """Ids of texts from held words, a memory of chunks, and words given for one text."""
+
+    def __init__(self, model: Pieces, held: Words):
+        self.model, self.held, self.known = model, held, {}
+
+    def lacking(self, text: str) -> list[str]:
+        """Distinct words of a text that the table does not hold."""
+        words = list(dict.fromkeys(w for c in set(self.model.split(text)) - self.known.keys() for w in self.model.cut(c) if len(w) <= LONGEST_WORD))
+        return [w for w, b in zip(words, self.held.find(words), strict=True) if b is None]
+
+    def ids(self, text: str, own: dict[str, bytes] | None = None) -> np.ndarray:
+        chunks = self.model.split(text)
+        new = [c for c in dict.fromkeys(chunks) if c not in self.known]
+        extra: dict[str, bytes] = {}
+        if new:
+            cuts = [self.model.cut(c) for c in new]
+            words = list(dict.fromkeys(w for ws in cuts for w in ws))
+            found = dict(zip(words, self.held.find(words), strict=True))
+            for w, b in found.items():
+                if len(w) > LONGEST_WORD:
+                    found[w] = np.array(self.model.long_word(w), np.uint16).tobytes()
+                elif own and w in own:
+                    found[w] = own[w]
+            extra = {c: b"".join([found[w] for w in ws]) for c, ws in zip(new, cuts, strict=True)}
+            if len(self.known) < REMEMBERED:
+                self.known.update(extra)
+                extra = {}
+        known = self.known
+        joined = b"".join([known[c] for c in chunks]) if not extra else b"".join([known.get(c) or extra.get(c, b"") for c in chunks])
+        return np.frombuffer(joined, np.uint16)
 
 
 IDS = "doc_id long, text string, ids array<int>"
@@ -257,38 +299,50 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     Null and empty texts have no ids. Null and repeated ids and repeated rows give rows of their
     own. An empty table gives no rows.
     """
-    rows, spark, model = texts(docs, id_col, text_col), docs.sparkSession, pieces(path)
+    rows, model = texts(docs, id_col, text_col), pieces(path)
+    if len(model.bytes) > 1 << 16:
+        raise ValueError("ids of more than 16 bits")
     words = stored(encode_words(word_counts(rows, path), path), "words")
-    held = words.agg(F.sum(F.octet_length("word") + 4 * F.size("ids") + 20)).head()[0] or 0
-    if held <= shared_bytes and len(model.bytes) <= 1 << 16:
-        return _shared(rows, path, spark, words, decoded)
-    out = _joined(rows, path, words)
-    return decode(out, path) if decoded else out
-
-
-def _shared(rows: DataFrame, path: str, spark: SparkSession, words: DataFrame, decoded: bool) -> DataFrame:
-    table = spark.sparkContext.broadcast(Words(words.toArrow()))  # its size has been checked
+    held, whole = shared_words(words, shared_bytes)
+    table = docs.sparkSession.sparkContext.broadcast(held)  # its size has been checked
+    if whole:
+        return rows.mapInArrow(_with_ids(path, table, decoded, False), DIGESTS if decoded else IDS)
+    return _joined(rows, path, words, table, decoded)
+
+
+def shared_words(words: DataFrame, most: int) -> tuple[Words, bool]:
+    """The words that every worker holds, and whether these are all: the most frequent ones, from the
+    least power of two of their counts on that keeps the arrays within ``most`` bytes. Words whose
+    hashes clash are left to the join."""
+    power = F.floor(F.log2("n")).cast("int")
+    left, least, whole = most, 64, True
+    for r in words.groupBy(power.alias("p")).agg(F.sum(16 + 2 * F.size("ids")).alias("size")).orderBy(F.desc("p")).collect():  # at most 64 rows
+        left -= r["size"]
+        if left < 0:
+            whole = False
+            break
+        least = r["p"]
+    clash = words.groupBy("hash").agg(F.count("*").alias("k")).filter("k > 1").select("hash")
+    clashes = not clash.isEmpty()
+    chosen = words.filter(power >= least)
+    if clashes:
+        chosen = chosen.join(clash, "hash", "left_anti")
+    return Words(chosen.select("hash", "ids").toArrow()), whole and not clashes
+
+
+def _with_ids(path: str, table, decoded: bool, own: bool):
+    """Texts to ids, or to the digests of ``decode``; with ``own`` a row brings the words its workers do not hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, held, known = pieces(path), table.value, {}
-
-        def ids_of(chunk: str) -> bytes:
-            return b"".join([(held.get(w) if len(w) <= LONGEST_WORD else np.array(model.long_word(w), np.uint16)).tobytes()
-                             for w in model.cut(chunk)])
-
+        model = pieces(path)
+        encoder = Encoder(model, table.value)
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            out = []
-            for text in texts:
-                parts = []
-                for chunk in model.split(text):
-                    b = known.get(chunk)
-                    if b is None:
-                        b = ids_of(chunk)
-                        if len(known) < REMEMBERED:
-                            known[chunk] = b
-                    parts.append(b)
-                out.append(np.frombuffer(b"".join(parts), np.uint16))
+            if own:
+                more = [{x["word"]: np.array(x["ids"], np.uint16).tobytes() for x in r or ()} for r in batch.column("own").to_pylist()]
+                out = [encoder.ids(t, m) for t, m in zip(texts, more, strict=True)]
+            else:
+                out = [encoder.ids(t) for t in texts]
             if decoded:
                 yield _digests(model, batch.column("doc_id"), texts, out)
                 continue
@@ -297,33 +351,26 @@ def _shared(rows: DataFrame, path: str, spark: SparkSession, words: DataFrame, d
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"),
                                               pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))], ["doc_id", "text", "ids"])
 
-    return rows.mapInArrow(run, DIGESTS if decoded else IDS)
+    return run
 
 
-def _joined(rows: DataFrame, path: str, words: DataFrame) -> DataFrame:
-    """For a word table of any size: words meet their ids in a shuffled join and come back in order,
-    a bounded run of a document's words per row."""
+def _joined(rows: DataFrame, path: str, words: DataFrame, table, decoded: bool) -> DataFrame:
+    """For a word table of any size: the distinct words of a document that workers do not hold meet
+    their ids in a shuffled join, and the document meets them once."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = pieces(path)
+        encoder = Encoder(pieces(path), table.value)
         for batch in batches:
-            row, at, word, ids = [], [], [], []
-            for r, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for k, w in enumerate(model.words(text)):
-                    row.append(r)
-                    at.append(k)
-                    word.append(w if len(w) <= LONGEST_WORD else None)
-                    ids.append(None if len(w) <= LONGEST_WORD else model.long_word(w))
-            yield pa.RecordBatch.from_pydict({"row": pa.array(row, pa.int64()), "at": pa.array(at, pa.int64()), "word": pa.array(word, pa.string()),
-                                              "own": pa.array(ids, pa.list_(pa.int32()))})
-
-    numbered = _numbered(rows)
-    places = numbered.select("row", "text").mapInArrow(spread, "row long, at long, word string, own array<int>")
-    found = places.join(words, "word", "left").select("row", "at", F.coalesce("ids", "own").alias("ids"))
-    runs = found.groupBy("row", F.floor(F.col("at") / 1024).alias("run")).agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda x: x.ids)).alias("ids"))
-    whole = runs.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("run", "ids"))), lambda x: x.ids)).alias("ids"))
-    return numbered.join(whole, "row", "left").select("doc_id", "text", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+            lacking = [encoder.lacking(t) for t in batch.column("text").to_pylist()]
+            at = np.repeat(np.arange(batch.num_rows), [len(x) for x in lacking])
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(at)), pa.array([w for x in lacking for w in x], pa.string())], ["row", "word"])
+
+    # the row number follows from the scan's order, so a task run again gives the same
+    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    found = numbered.select("row", "text").mapInArrow(spread, "row long, word string").join(words.select("word", "ids"), "word")
+    own = found.groupBy("row").agg(F.collect_list(F.struct("word", "ids")).alias("own"))  # at most a text's distinct words
+    return numbered.join(own, "row", "left").select("doc_id", "text", "own").mapInArrow(
+        _with_ids(path, table, decoded, True), DIGESTS if decoded else IDS)
 
 
 def _digests(model: Pieces, doc_ids: pa.Array, texts: list[str], ids: list[np.ndarray]) -> pa.RecordBatch:

@@ -18,7 +18,7 @@ def random_texts(n, seed):
     return ["".join(rng.choices(alphabet, k=rng.randint(0, 60))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("shared", [0, 96 << 20])
+@pytest.mark.parametrize("shared", [0, 2000, 96 << 20])
 def test_ids_are_the_librarys(spark, odd_docs, shared):
     library = pieces(PATH).library
     docs = spark.createDataFrame(list(enumerate(random_texts(800, 3))), "doc_id long, text string").unionByName(odd_docs.select("doc_id", "text"))
@@ -55,7 +55,7 @@ def test_viterbi_finds_the_best_path(spark):
             paths.append(max((paths[s][0] + score[w[s:e]], paths[s][1] + [ids[w[s:e]]]) for s in range(e) if w[s:e] in score and paths[s] is not None))
         return paths[-1][0]
 
-    df = spark.createDataFrame([(w,) for w in words], "word string")
+    df = spark.createDataFrame([(w, 1) for w in words], "word string, n long")
     by_id = {i: s for _, i, s in model.rows}
     text = {i: p for p, i, _ in model.rows}
     for r in encode_words(df, PATH, UNIGRAM).collect():
