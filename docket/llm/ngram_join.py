@@ -36,6 +36,8 @@ COMMON = 1 << 19
 FRAGMENTS = 128
 #: Classes in a bucket that gives all its pairs; rows on either side of a block of a larger one.
 SMALL, BLOCK = 16, 1024
+#: Tasks that the members of one large bucket are dealt to.
+SALTS = 32
 #: Classes of a candidate group that is verified in one place.
 GROUP = 256
 #: Bits of the table that tells which classes have a candidate; false hits only cost reading.
@@ -451,7 +453,10 @@ def _residual(members: DataFrame, roots: DataFrame, classes: DataFrame, percent:
     sizes = rows.groupBy("key", "root").agg(F.count("*").alias("size"))
     by_key = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.sum("size").alias("all"),
                                       F.count("*").alias("parts")).filter("parts > 1")
-    rows = rows.join(by_key, "key").join(classes.select("class", "counts"), "class")
+    # a bucket's members are spread over SALTS tasks while they learn its main component
+    by_key = by_key.withColumn("salt", F.explode(F.expr(f"sequence(0, {SALTS - 1})")))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(SALTS)).cast("int"))
+    rows = rows.join(by_key, ["key", "salt"]).join(classes.select("class", "counts"), "class")
     rows = rows.withColumn("rest", F.col("root") != F.col("main")).withColumn(
         "cuts", F.ceil(F.col("all") / BLOCK).cast("int")).withColumn("cut", F.pmod(F.xxhash64("class"), F.col("cuts")).cast("int"))
     # block (i, j): the rest of cut i against all of cut j
