@@ -117,13 +117,11 @@ def train(docs: DataFrame, fitted_on: int = FITTED_ON) -> Model | None:
     spark = docs.sparkSession
     learnt = docs.filter(~held_out(F.col("doc_id")))
     idf = np.zeros(1 << BITS)
-    n = 0
     # 2^15 features at most, whatever the documents
-    for r in learnt.select("text").mapInArrow(_frequencies, "feature int, df long").groupBy("feature").agg(F.sum("df").alias("df")).toLocalIterator():
-        if r.feature < 0:
-            n = r.df
-        else:
-            idf[r.feature] = r.df
+    counted = learnt.select("text").mapInArrow(_frequencies, "feature int, df long").groupBy("feature").agg(F.sum("df").alias("df")).toArrow()
+    seen = dict(zip(counted.column("feature").to_pylist(), counted.column("df").to_pylist(), strict=True))
+    n = seen.pop(-1, 0)
+    idf[list(seen)] = list(seen.values())
     idf = np.log((1 + n) / (1 + idf)) + 1
     labelled = learnt.filter("lang is not null")
     per = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
