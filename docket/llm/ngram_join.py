@@ -53,6 +53,7 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(85)
 #: Multipliers of a byte by its place in its word: the place's lowest ten bits, and the rest.
 _NEAR, _FAR = (_RNG.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1) | np.uint64(1) for n in (1024, 4096))
+_FAR[0] = 1  # a word hashes the same in texts with and without a longer one
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 

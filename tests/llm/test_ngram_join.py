@@ -101,3 +101,19 @@ def test_word_hashes_tell_words_apart():
     assert len(h) == len(words)
     assert len(set(h.tolist())) == len(set(words)) and len(set(zip(h.tolist(), words))) == len(set(words))
     assert len(ngram_join.word_hashes("")) == len(ngram_join.word_hashes(" \n")) == 0
+
+
+@pytest.mark.parametrize("beside", ["x" * 1100, "漢" * 900, "y" * 5000])
+def test_word_hashes_do_not_depend_on_the_text_around(beside):
+    words = ["a", "bc", "d" * 1024, "é" * 511]
+    alone = ngram_join.word_hashes(" ".join(words[:2])).tolist() + [ngram_join.word_hashes(w)[0] for w in words[2:]]
+    for blank in (" ", " " * 1100, "\n" * 3000):
+        assert ngram_join.word_hashes(blank + blank.join(words)).tolist() == alone
+        assert ngram_join.word_hashes(blank.join([*words, beside])).tolist()[:-1] == alone
+
+
+def test_near_copies_beside_a_long_word_or_blank_run(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = spark.createDataFrame([(1, text), (2, text + " " + "x" * 1100), (3, "\n" * 2000 + text), (4, text.replace(" w9 ", " " * 1500 + "w9 "))],
+                                 "doc_id long, text string")
+    assert [r.component_id for r in near_duplicates(rows, 4, 85).collect()] == [1] * 4
