@@ -283,12 +283,12 @@ def _meet(percent: int):
             ends = np.append(starts[1:], len(rows))
             out_pairs, out_hot = [], []
             tail = np.zeros((0, 4), np.int64)
-            for s, e in zip(starts[(ends - starts) > 1].tolist(), ends[(ends - starts) > 1].tolist(), strict=True):
-                yield_group(rows[s:e], last or e < len(rows), out_pairs, out_hot)
+            visit = ends - starts > 1
             if len(starts):
-                s, e = int(starts[-1]), len(rows)
-                if e - s == 1:
-                    yield_group(rows[s:e], last, out_pairs, out_hot)
+                visit[0] |= hot is not None and rows[0, 0] == hot[0]  # the rest of a large bucket, be it one row
+                visit[-1] = True
+            for s, e in zip(starts[visit].tolist(), ends[visit].tolist(), strict=True):
+                yield_group(rows[s:e], last or e < len(rows), out_pairs, out_hot)
             pairs = np.concatenate(out_pairs) if out_pairs else np.zeros((0, 2), np.int64)
             big = np.concatenate(out_hot) if out_hot else np.zeros((0, 4), np.int64)
             n, m = len(pairs), len(big)

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from docket.llm import ngram_join
@@ -117,3 +119,38 @@ def test_near_copies_beside_a_long_word_or_blank_run(spark):
     rows = spark.createDataFrame([(1, text), (2, text + " " + "x" * 1100), (3, "\n" * 2000 + text), (4, text.replace(" w9 ", " " * 1500 + "w9 "))],
                                  "doc_id long, text string")
     assert [r.component_id for r in near_duplicates(rows, 4, 85).collect()] == [1] * 4
+
+
+@pytest.mark.parametrize("size", range(2, 21))
+def test_buckets_do_not_depend_on_batches(monkeypatch, size):
+    monkeypatch.setattr(ngram_join, "SMALL", 3)
+    rng = random.Random(size)
+    rows = []
+    for key in range(120):
+        rows += [(key, k, 9, c) for c, k in {rng.randrange(10**6): rng.randrange(2) for _ in range(rng.choice([1, 1, 2, 3, 4, 5, 8, size + 1, 2 * size + 1, 30]))}.items()]
+    rows = sorted([*rows, *rng.sample(rows, 60)])  # with copies of classes
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[a:a + size], strict=True)], ["key", "k", "n", "class"])
+               for a in range(0, len(rows), size)]
+    met = [r for b in ngram_join._meet(60)(iter(batches)) for r in b.to_pylist()]
+    want_pairs, want_members = set(), set()
+    for key in range(120):
+        own = sorted({r[1:] for r in rows if r[0] == key})
+        large = len(own) > 3
+        for i, (k, n, c) in enumerate(own):
+            want_members |= {(key, c, k, n)} if large else set()
+            for k2, n2, c2 in own[:1] if large and i else [] if large else own[:i]:
+                if ngram_join._feasible(*map(np.int64, (k, n, c, k2, n2, c2)), 60):
+                    want_pairs.add((min(c, c2), max(c, c2)))
+    assert {(r["a"], r["b"]) for r in met if r["key"] is None and r["a"] != r["b"]} == want_pairs
+    assert {(r["key"], r["a"], r["k"], r["n"]) for r in met if r["key"] is not None} == want_members
+
+
+def test_links_in_batches_of_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SMALL", 2)
+    monkeypatch.setattr(ngram_join, "BLOCK", 20)
+    docs = corpus(spark, 5).cache()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert got(near_duplicates(docs, 4, 85)) == brute(docs.collect(), 4, 85)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
