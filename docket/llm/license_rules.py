@@ -126,7 +126,7 @@ class Rule(NamedTuple):
 
 
 def _rule(name: str, label: str, priority: int, confidence: float, keyword: str, pattern: str) -> Rule:
-    return Rule(name, label, priority, confidence, keyword, re.compile(rf"(?<!\S){pattern}(?!\S)"))
+    return Rule(name, label, priority, confidence, keyword, re.compile(rf"(?<![^ ]){pattern}(?![^ ])"))
 
 
 def rules() -> list[Rule]:

@@ -86,7 +86,7 @@ def resolve(found: list[Found]) -> list[Found]:
 
 @lru_cache(maxsize=1)
 def _base():
-    return [(label, phrase, re.compile(rf"(?<!\S){phrase}(?!\S)"), phrase.count(" ") + 1) for label, phrase in BASE]
+    return [(label, phrase, re.compile(rf"(?<![^ ]){phrase}(?![^ ])"), phrase.count(" ") + 1) for label, phrase in BASE]
 
 
 def base_places(line: str) -> list[tuple[int, str]]:

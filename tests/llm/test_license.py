@@ -1,5 +1,7 @@
 import re
 
+import pytest
+
 from docket.llm.license_rules import BASE, rules
 from docket.llm.license_scan import base_places, detections, license_scan, resolve, words
 
@@ -48,6 +50,18 @@ def test_base_places_match_brute_force():
     assert [w.decode() for w in got] == re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
 
 
+@pytest.mark.parametrize("char", ["\u00a0", "\u0085", "\u3000", "\u2003", "\u2028"])
+def test_characters_beyond_ascii_belong_to_words(char):
+    for label, phrase in BASE:
+        for text in (f"{char}{phrase}", f"{phrase}{char}", f"x {phrase}{char} y", f"x{char}{phrase} y"):
+            line = " ".join(w.decode() for w in words(text))
+            assert base_places(line) == [] and len(line.split(" ")) == len(text.split(" "))
+        assert base_places(f"{char} {phrase} {char}") == [(1, label)]
+    for text in (f"mit license{char}", f"{char}gplv3 license", f"all rights reserved{char}"):
+        assert labels(text) == []
+    assert labels(f"{char} gplv3 license {char}") == ["gpl-3"]
+
+
 def test_odd_rows(spark, odd_docs):
     rows = license_scan(odd_docs).collect()
     assert len(rows) == odd_docs.count()
