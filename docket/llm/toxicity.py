@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted lists.
 
 Terms are hashed five-character pieces of words (a space marks either end of a word). Counts over
-all labelled rows that may be learnt from choose the terms that tell labels apart: a likelihood
+all distinct labelled texts that may be learnt from choose the terms that tell labels apart: a likelihood
 ratio statistic of at least ``LEAST_G2`` and a rate among toxic rows at least ``LEAST_LIFT`` times
 that among the others. Examples are a bounded sample of the same rows. Their inverted lists are cut
 into blocks of consecutive examples, each with its largest weight per term; a text visits blocks in
@@ -25,8 +25,8 @@ from docket.llm.chars import SPACE, held_out, letters, ngrams, share
 
 WIDTH, BITS = 5, 20
 LEAST_G2, LEAST_LIFT = 30.0, 5.0
-#: Bounds of the fitted model: terms, labelled rows as examples, neighbours, examples in a block.
-TERMS, EXAMPLES, NEIGHBOURS, BLOCK = 4096, 16_384, 25, 128
+#: Bounds of the fitted model: labelled rows as examples, neighbours, examples in a block.
+EXAMPLES, NEIGHBOURS, BLOCK = 16_384, 25, 128
 #: Blocks that set the cosine to beat.
 FIRST = 4
 #: Weight of the base rate in a vote.
@@ -61,16 +61,18 @@ def _short(code: np.ndarray) -> np.ndarray:
 
 
 class Index(NamedTuple):
-    """The fitted model: at most TERMS terms and EXAMPLES examples."""
+    """The fitted model: terms of the hash space and at most EXAMPLES examples."""
 
     column: np.ndarray  # term -> column, -1 for terms that were not chosen
     idf: np.ndarray
     ids: np.ndarray  # documents of the examples, blocks are runs of BLOCK of them
     toxic: np.ndarray
-    starts: np.ndarray  # (column, block) -> first posting; one more at the end
+    cells: np.ndarray  # column -> first of its cells, the blocks that hold it; one more at the end
+    block: np.ndarray  # of a cell
+    highest: np.ndarray  # largest weight in a cell
+    starts: np.ndarray  # cell -> first posting; one more at the end
     example: np.ndarray
     weight: np.ndarray
-    highest: np.ndarray  # (column, block) -> largest weight
     prior: float
     steps: tuple[np.ndarray, np.ndarray]  # isotonic calibration: votes, rates
 
@@ -92,13 +94,14 @@ def build(column: np.ndarray, idf: np.ndarray, rows: list[tuple[int, int, np.nda
     order = np.lexsort((example, cols))
     example, cols, weight = example[order], cols[order], weight[order]
     cell = cols * blocks + example // BLOCK
-    starts = np.searchsorted(cell, np.arange(len(idf) * blocks + 1))
-    highest = np.zeros(len(idf) * blocks)
-    np.maximum.at(highest, cell, weight)
+    starts = np.flatnonzero(np.diff(cell, prepend=-1))
+    highest = np.maximum.reduceat(weight, starts) if len(starts) else np.zeros(0)
+    held, block = np.divmod(cell[starts], max(1, blocks))
+    cells = np.searchsorted(held, np.arange(len(idf) + 1))
     toxic = np.array([r[1] for r in rows], float)
     prior = float((toxic.sum() + 1) / (n + 2))
-    return Index(column, idf, np.array([r[0] for r in rows], np.int64), toxic, starts, example, weight,
-                 highest.reshape(len(idf), blocks), prior, (np.zeros(1), np.full(1, prior)))
+    return Index(column, idf, np.array([r[0] for r in rows], np.int64), toxic, cells, block, highest,
+                 np.append(starts, len(cell)), example, weight, prior, (np.zeros(1), np.full(1, prior)))
 
 
 def nearest(index: Index, cols: np.ndarray, values: np.ndarray, k: int = NEIGHBOURS, but: int = -1) -> list[tuple[float, int]]:
@@ -107,20 +110,24 @@ def nearest(index: Index, cols: np.ndarray, values: np.ndarray, k: int = NEIGHBO
     A few blocks of the highest bounds give a k-th cosine to beat. Of the others only those whose
     bound reaches it are read, block by block while they are few, else list by list.
     """
-    if not len(cols) or not index.highest.shape[1]:
+    blocks = -(-len(index.ids) // BLOCK)
+    if not len(cols) or not blocks:
         return []
-    bounds, blocks = values @ index.highest[cols], index.highest.shape[1]
+    rows = list(zip(index.cells[cols].tolist(), index.cells[cols + 1].tolist(), values.tolist(), strict=True))
+    bounds = np.zeros(blocks)
+    for a, z, v in rows:
+        bounds[index.block[a:z]] += v * index.highest[a:z]
     order = np.argsort(-bounds, kind="stable")
     order = order[: int((bounds > 0).sum())]
     scores = np.zeros(blocks * BLOCK)
-    rows, weights = cols.tolist(), values.tolist()
 
     def read(some: list[int]) -> None:
-        for c, v in zip(rows, weights, strict=True):
-            for b in some:
-                a, z = index.starts[c * blocks + b], index.starts[c * blocks + b + 1]
-                if a < z:
-                    scores[index.example[a:z]] += v * index.weight[a:z]
+        wanted = np.zeros(blocks, bool)
+        wanted[some] = True
+        for first, end, v in rows:
+            for i in (first + np.flatnonzero(wanted[index.block[first:end]])).tolist():
+                a, z = index.starts[i], index.starts[i + 1]
+                scores[index.example[a:z]] += v * index.weight[a:z]
 
     read(order[:FIRST].tolist())
     if but >= 0:
@@ -130,8 +137,8 @@ def nearest(index: Index, cols: np.ndarray, values: np.ndarray, k: int = NEIGHBO
     rest = [b for b in order[FIRST:].tolist() if bounds[b] >= least - 1e-12]
     if len(rest) > 2 * FIRST:
         scores[:] = 0
-        for c, v in zip(rows, weights, strict=True):
-            a, z = index.starts[c * blocks], index.starts[(c + 1) * blocks]
+        for first, end, v in rows:
+            a, z = index.starts[first], index.starts[end]
             scores[index.example[a:z]] += v * index.weight[a:z]
     else:
         read(rest)
@@ -198,11 +205,10 @@ def chosen_terms(learnt: DataFrame) -> tuple[np.ndarray, np.ndarray]:
           + cell(F.lit(t) - F.col("toxic"), F.lit(c + t) - seen, F.lit(t)) + cell(F.lit(c) - F.col("clean"), F.lit(c + t) - seen, F.lit(c)))
     lift = (F.col("toxic") / t) / ((F.col("clean") + 0.5) / (c + 1))
     best = n.filter(F.col("term") < 1 << BITS).withColumn("g2", g2).filter((F.col("g2") >= LEAST_G2) & (lift >= LEAST_LIFT)).orderBy(
-        F.desc("g2"), "term").limit(TERMS).select("term", seen.alias("df")).collect()
+        "term").select("term", seen.alias("df")).toArrow()  # at most 2^BITS rows
     n.unpersist()
-    for k, r in enumerate(best):
-        column[r.term] = k
-    return column, np.log((1 + c + t) / (1 + np.array([r.df for r in best], float))) + 1
+    column[best.column("term").to_numpy()] = np.arange(len(best))
+    return column, np.log((1 + c + t) / (1 + best.column("df").to_numpy().astype(float))) + 1
 
 
 def train(rows: DataFrame, labels: DataFrame, label_id: str = "doc_id", label_col: str = "toxic", examples: int = EXAMPLES) -> Index:
@@ -211,7 +217,12 @@ def train(rows: DataFrame, labels: DataFrame, label_id: str = "doc_id", label_co
         "doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(
         F.max((F.col("toxic") != 0).cast("int")).alias("toxic"))
     open_rows = rows.filter(~held_out(F.col("doc_id")))
-    column, idf = chosen_terms(open_rows.join(marks.hint("merge"), "doc_id"))
+    # of equal texts one row is counted: only digests are grouped, and the row is found by its id and digest
+    digest = F.unhex(F.md5("text"))
+    apart = open_rows.select("doc_id", digest.alias("digest")).join(marks.hint("merge"), "doc_id").groupBy("digest").agg(
+        F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
+    learnt = open_rows.withColumn("digest", digest).join(apart.hint("merge"), ["doc_id", "digest"])
+    column, idf = chosen_terms(learnt.dropDuplicates(["doc_id", "digest"]))
     n = marks.count()
     part = min(1.0, examples / max(1, n))
     shared = rows.sparkSession.sparkContext.broadcast((column, idf))

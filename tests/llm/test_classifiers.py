@@ -120,6 +120,19 @@ def test_toxic_words_are_found(spark):
     assert out[8].evidence and out[8].evidence[0].toxic == 1 and not out[9].evidence
 
 
+def test_copies_of_one_toxic_text_do_not_crowd_out_others(spark):
+    rng = random.Random(6)
+    long = " ".join("".join(rng.choice("bcdfghjklm") for _ in range(8)) for _ in range(1500))
+    rows = []
+    for i in range(1200):
+        w = [f"{rng.choice('abcdefgh')}{rng.choice(['lorem', 'ipsum', 'dolor', 'amet'])}" for _ in range(20)]
+        kind = i % 12
+        rows.append((i, long if kind in (1, 3) else " ".join([*w, "blarghfoo"] if kind == 2 else w), int(kind in (1, 2, 3))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    out = {r.doc_id: r.predicted for r in toxicity(docs.drop("toxic"), docs.select("doc_id", "toxic")).collect()}
+    assert [i for i, _, y in rows if out[i] != y and i % 12 not in (1, 3)] == []
+
+
 def test_toxicity_of_odd_rows(spark, odd_docs):
     marks = spark.createDataFrame([(3, 0), (5, 1)], "doc_id long, toxic int")
     for m in (marks, marks.limit(0), marks.filter("toxic = 1")):
