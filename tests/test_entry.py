@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SF0001
+from paths import SF0001
 from tools_check import table_hash
 
 FAST = ["vote_tally", "assemble_training_records", "decode_codes", "render_case_outcome", "holdout_most_recent",
