@@ -17,6 +17,8 @@ from docket.llm.sentence_pieces import encode
 from docket.llm.token_counts import token_counts
 from docket.llm.token_file import read_tokens, write_tokens
 from docket.llm.toxicity import toxicity
+from docket.llm.turn_repair import damaged, repair
+from docket.llm.turn_repair_sql import REPAIR_SQL
 from docket.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +105,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), path, tokenizer("word_bpe_49k.json"))
     return read_tokens(spark, path)
+
+
+@_query("op11_turn_repair", REPAIR_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(damaged(table(spark, sf_dir, "conversations")))
