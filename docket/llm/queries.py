@@ -13,12 +13,14 @@ from docket.llm.language_id import identify
 from docket.llm.license_scan import license_scan
 from docket.llm.ngram_join import near_duplicates
 from docket.llm.packing import pack
+from docket.llm.passage_dedup import remove_repeats
 from docket.llm.sentence_pieces import encode
+from docket.llm.spelling import variants, vocabulary
 from docket.llm.token_counts import token_counts
 from docket.llm.token_file import read_tokens, write_tokens
 from docket.llm.toxicity import toxicity
 from docket.llm.turn_repair import damaged, repair
-from docket.llm.turn_repair_sql import REPAIR_SQL
+from docket.llm.turn_repair_sql import REPAIR_SQL, crc32_sql
 from docket.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +112,62 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op11_turn_repair", REPAIR_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damaged(table(spark, sf_dir, "conversations")))
+
+
+@_query("op12_passage_dedup", r"""
+WITH split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+spans AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS span
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM split WHERE len(w) >= 50)),
+firsts AS (SELECT span, min(doc_id) AS low FROM spans GROUP BY span HAVING min(doc_id) <> max(doc_id)),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM spans JOIN firsts USING (span) WHERE doc_id > low),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM split) s
+  WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = s.doc_id AND g.i = s.i) GROUP BY doc_id)
+SELECT s.doc_id, len(w) AS n_words, len(w) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM split s LEFT JOIN kept k ON k.doc_id = s.doc_id""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+_RUN_BYTES = ("flatten(list_transform(string_split(doc_id::VARCHAR || ':' || run, ''), "
+              "lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)::BIGINT] ELSE [195, ord(x)::BIGINT - 64] END))")
+
+
+@_query("op13_spelling_variants", rf"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents)
+  WHERE len(run) >= 5 GROUP BY doc_id, run),
+hashed AS (SELECT run, n, {crc32_sql(_RUN_BYTES)} AS h FROM runs),
+words AS (
+  SELECT word, sum(n)::BIGINT AS n
+  FROM (SELECT n, CASE WHEN h % 97 = 0 THEN left(run, h % len(run)) || substr(run, h % len(run) + 2) ELSE run END AS word FROM hashed)
+  WHERE len(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+places AS (SELECT word, n, unnest(range(1, len(word) + 1)) AS i FROM words),
+holes AS (SELECT word, n, left(word, i - 1) || '*' || substr(word, i + 1) AS hole FROM places),
+shorter AS (
+  SELECT DISTINCT p.word, p.n, w.word AS near, w.n AS near_n
+  FROM places p JOIN words w ON w.word = left(p.word, i - 1) || substr(p.word, i + 1)),
+nears AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM holes a JOIN holes b ON a.hole = b.hole AND a.word <> b.word
+  UNION ALL SELECT word, near, near_n FROM shorter
+  UNION ALL SELECT near, word, n FROM shorter),
+best AS (
+  SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near,
+         row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS place FROM nears),
+formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * w.n THEN near END AS form,
+         CASE WHEN near_n >= 2 * w.n THEN near_n END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word AND place = 1),
+walk AS (
+  SELECT word, word AS last, 0 AS step FROM formed
+  UNION ALL SELECT k.word, f.form, step + 1 FROM walk k JOIN formed f ON f.word = k.last WHERE f.form IS NOT NULL)
+SELECT f.word, form, root, n, n_near, form_n
+FROM formed f JOIN (SELECT word, arg_max(last, step) AS root FROM walk GROUP BY word) r ON r.word = f.word""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(vocabulary(table(spark, sf_dir, "documents")))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from docket.llm.common import stored
+from docket.llm.common import shuffle_parts, stored
 
 #: Rows of a block, at most.
 BLOCK = 1024
@@ -376,7 +376,8 @@ def repair(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
         F.when((F.col("fault") != "blank") & F.col("first").isNull(), "duplicate").otherwise(F.col("fault")).alias("fault"))
     # rows of one partition stand in order; a bucket is a run of them
     bucket = (F.shiftright("rid", 33).alias("p"), F.floor(F.col("rid").bitwiseAND((1 << 33) - 1) / block).alias("b"))
-    buckets = faults.groupBy(*bucket).agg(
+    # a bucket is few bytes and much work, so buckets are dealt to a stated number of tasks
+    buckets = faults.select("*", *bucket).repartition(shuffle_parts(spark), "p", "b").groupBy("p", "b").agg(
         F.sort_array(F.collect_list(F.struct("rid", "conv_id", "initial", "fault"))).alias("rows")).select("rows")
 
     ddl = _BLOCK.format(id=id_type)
