@@ -18,13 +18,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docket.llm.common import shuffle_parts, stored, texts
+from docket.llm.common import shuffle_parts, texts
 
 #: Counter rows of the sketch; bits of a row's length, at least and at most. A merged row is one bit a
 #: counter, so what goes to every worker is at most ROWS * 2^MOST_BITS / 8 bytes (64 MB).
@@ -33,59 +34,122 @@ ROWS, LEAST_BITS, MOST_BITS = 2, 16, 28
 SLICE_BITS = 20
 #: Windows that a task holds before it passes them on.
 HELD = 1 << 21
-#: Windows that one task groups, about.
-GROUPED = 1 << 21
+#: Windows that one group holds, at most about.
+GROUPED = 1 << 22
 #: A null id stands for the greatest one.
 NO_ID = (1 << 63) - 1
 
+#: Bytes of text, and words, that are hashed in one go.
+SLICE_BYTES, BYTES, WORDS = 8 << 20, 1 << 18, 1 << 16
+
 _ODD = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)]
-_RNG = np.random.default_rng(12)
-#: Multipliers of a byte by its place in its word: the place's lowest eight bits, the next, the rest.
-_PLACES = [_RNG.integers(0, 1 << 63, 256, dtype=np.uint64) << np.uint64(1) | np.uint64(1) for _ in range(4)]
-for _p in _PLACES[1:]:
-    _p[0] = 1
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 
+def _powers(factor: int, n: int) -> np.ndarray:
+    return np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, factor % (1 << 64), np.uint64))])
+
+
+def _inverse(factor: int) -> int:
+    return pow(factor, -1, 1 << 64)
+
+
+_BYTE = 0x5851F42D4C957F2D
+_UP, _DOWN = _powers(_BYTE, BYTES), _powers(_inverse(_BYTE), BYTES)
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
 
 
-def _powers(n: int, factor: np.uint64) -> np.ndarray:
-    return np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(n - 1, 0), factor, np.uint64))])[:n]
-
-
-def word_hashes(raw: bytes) -> np.ndarray:
-    """A 64-bit hash of every word (runs of other bytes than ASCII white space), in order."""
-    b = np.frombuffer(raw, np.uint8) if len(raw) else np.zeros(0, np.uint8)
-    blank = _BLANK[b]
-    first = ~blank
-    first[1:] &= blank[:-1]
-    starts = np.flatnonzero(first)
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    place = np.arange(len(b), dtype=np.int64)
-    place[starts[0]:] -= np.repeat(starts, np.diff(starts, append=len(b)))
-    v = (b + np.uint64(1)) * _PLACES[0][place & 255]
-    if len(b) > 256 and place.max() > 255:
-        for k in (1, 2, 3):
-            v *= _PLACES[k][(place >> 8 * k) & 255]
-    v[blank] = 0
-    return _mixed(np.add.reduceat(v, starts))
-
-
-def windows(words: np.ndarray, n: int, which: int = 0) -> np.ndarray:
-    """A hash of every ``n`` consecutive words; ``which`` picks one of two."""
+def _sums(values: np.ndarray) -> np.ndarray:
+    return np.concatenate([[np.uint64(0)], np.cumsum(values)])
+
+
+def _long_word(b: np.ndarray) -> np.uint64:
+    """The polynomial of one word of any length, piece by piece."""
+    total = 0
+    for i in range(0, len(b), BYTES):
+        piece = b[i:i + BYTES]
+        total += int(((piece + np.uint64(1)) * _UP[: len(piece)]).sum()) * pow(_BYTE, i, 1 << 64)
+    return np.uint64(total % (1 << 64))
+
+
+def word_hashes(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a 64-bit hash of every word, in order; words of each text) of the texts b[offsets[i]:offsets[i + 1]].
+
+    A word is a run of other bytes than ASCII white space; its hash is a polynomial of its bytes."""
+    if not len(b):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
+    inside = ~_BLANK[b]
+    cut = np.zeros(len(b) + 1, bool)
+    cut[offsets] = True
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1] | cut[1:-1]
+    last[:-1] &= ~inside[1:] | cut[1:-1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        base = starts[i]
+        j = int(np.searchsorted(ends, base + BYTES, "right"))
+        if j == i:
+            j = i + 1
+            out[i] = _long_word(b[base:ends[i]])
+        else:
+            total = _sums((b[base:ends[j - 1]] + np.uint64(1)) * _UP[: ends[j - 1] - base])
+            s = starts[i:j] - base
+            out[i:j] = (total[ends[i:j] - base] - total[s]) * _DOWN[s]
+        i = j
+    return _mixed(out), np.diff(np.searchsorted(starts, offsets))
+
+
+@lru_cache(maxsize=4)
+def _steps(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    return _powers(int(_ODD[which]), WORDS + n), _powers(_inverse(int(_ODD[which])), WORDS + n)
+
+
+def windows(words: np.ndarray, counts: np.ndarray, n: int, which: int = 0) -> np.ndarray:
+    """A hash of every ``n`` consecutive words of a text, text after text; ``which`` picks one of two."""
     if len(words) < n:
         return np.zeros(0, np.uint64)
     if which:
         words = _mixed(words + _ODD[1])
-    up, down = _powers(len(words), _ODD[which]), _powers(len(words), np.uint64(pow(int(_ODD[which]), -1, 1 << 64)))
-    total = np.concatenate([[np.uint64(0)], np.cumsum(words * up)])
-    return _mixed((total[n:] - total[:-n]) * down[: len(words) - n + 1])
+    up, down = _steps(which, n)
+    out = np.empty(len(words) - n + 1, np.uint64)
+    for a in range(0, len(out), WORDS):
+        part = words[a:a + WORDS + n - 1]
+        total = _sums(part * up[: len(part)])
+        out[a:a + WORDS] = (total[n:] - total[:-n]) * down[: len(part) - n + 1]
+    ends = np.repeat(np.cumsum(counts), counts)[: len(out)]
+    return _mixed(out[np.arange(n, n + len(out)) <= ends])
+
+
+class _Slice:
+    """Some texts of a batch: ids, words, windows."""
+
+    def __init__(self, ids: pa.Array, b: np.ndarray, offsets: np.ndarray, n: int):
+        self.ids = ids.fill_null(NO_ID).to_numpy(zero_copy_only=False)
+        self.words, self.counts = word_hashes(b, offsets)
+        self.n, self.hashes = n, windows(self.words, self.counts, n)
+        #: windows of each text
+        self.sizes = np.maximum(self.counts - n + 1, 0)
+
+
+def _slices(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, _Slice]]:
+    """Runs of rows of at most about ``SLICE_BYTES`` of text, one row at least."""
+    for batch in batches:
+        text = batch.column("text")
+        wide = pa.types.is_large_string(text.type)
+        offsets = np.frombuffer(text.buffers()[1], np.int64 if wide else np.int32)[text.offset:text.offset + len(text) + 1].astype(np.int64)
+        data = np.frombuffer(text.buffers()[2], np.uint8) if offsets[-1] > offsets[0] else np.zeros(offsets[-1], np.uint8)
+        i = 0
+        while i < batch.num_rows:
+            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + SLICE_BYTES, "right")) - 1)
+            yield batch.slice(i, j - i), _Slice(batch.column("doc_id").slice(i, j - i), data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], n)
+            i = j
 
 
 def _cells(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
@@ -122,27 +186,17 @@ class Sketch:
         return out
 
 
-def _held(batches: Iterator[pa.RecordBatch], n: int, most: int, keep=None) -> Iterator[list[tuple[int, np.ndarray, np.ndarray]]]:
-    """The windows of documents, (id, hashes, words) each, in lists of about ``most`` windows; ``keep`` filters hashes."""
+def _flushed(parts: Iterator[tuple[np.ndarray, ...]], most: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The arrays of consecutive parts put together, about ``most`` windows at a time."""
     held, size = [], 0
-    for batch in batches:
-        ids = batch.column("doc_id").to_pylist()
-        for doc_id, text in zip(ids, batch.column("text"), strict=True):
-            words = word_hashes(text.as_buffer())
-            hashes = windows(words, n)
-            if keep is None:
-                part = (doc_id, hashes, None)
-            else:
-                chosen = keep(hashes)
-                part = (doc_id, hashes[chosen], windows(words, n, 1)[chosen] if chosen.any() else hashes[:0])
-            if len(part[1]):
-                held.append(part)
-                size += len(part[1])
-            if size >= most:
-                yield held
-                held, size = [], 0
-    if held:
-        yield held
+    for part in parts:
+        held.append(part)
+        size += len(part[0])
+        if size >= most:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held, size = [], 0
+    if size:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
 _PARTIAL = "row int, slice int, n int, counters binary, twice binary"
@@ -152,9 +206,7 @@ def _count(n: int, bits: int, most: int):
     """Partial sketches: per row and slice the counters that are not zero, and whether they passed one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _held(batches, n, most):
-            # a document counts a window once: only other documents matter
-            hashes = np.concatenate([np.unique(h) for _, h, _ in held])
+        for (hashes,) in _flushed(((part.hashes,) for _, part in _slices(batches, n)), most):
             out = []
             for row in range(ROWS):
                 cells = np.sort(_cells(hashes, row, bits))
@@ -220,10 +272,13 @@ def _candidates(n: int, known, shards: int, most: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merged = known.value
-        for held in _held(batches, n, most, merged.repeated):
-            keys = np.concatenate([h for _, h, _ in held])
-            seconds = np.concatenate([s for _, _, s in held])
-            ids = np.concatenate([np.full(len(h), NO_ID if d is None else d, np.int64) for d, h, _ in held])
+
+        def chosen() -> Iterator[tuple[np.ndarray, ...]]:
+            for _, part in _slices(batches, n):
+                at = merged.repeated(part.hashes)
+                yield _least(part.hashes[at], windows(part.words, part.counts, n, 1)[at], np.repeat(part.ids, part.sizes)[at])
+
+        for keys, seconds, ids in _flushed(chosen(), most):
             keys, seconds, ids = _least(keys, seconds, ids)
             shard = (keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
             cuts = np.searchsorted(shard, np.arange(shards + 1))
@@ -248,10 +303,17 @@ def _unplaned(data: bytes, n: int, kind) -> np.ndarray:
 
 def _least(keys: np.ndarray, seconds: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The least id of each (key, second), sorted by key."""
-    order = np.lexsort((ids, seconds, keys))
+    if not len(keys):
+        return keys, seconds, ids
+    order = np.argsort(keys)
     keys, seconds, ids = keys[order], seconds[order], ids[order]
-    first = np.concatenate([[True], (keys[1:] != keys[:-1]) | (seconds[1:] != seconds[:-1])])
-    return keys[first], seconds[first], ids[first]
+    same = keys[1:] == keys[:-1]
+    if (seconds[1:][same] != seconds[:-1][same]).any():  # one key, two windows
+        order = np.lexsort((seconds, keys))
+        keys, seconds, ids = keys[order], seconds[order], ids[order]
+        same = (keys[1:] == keys[:-1]) & (seconds[1:] == seconds[:-1])
+    first = np.flatnonzero(np.concatenate([[True], ~same]))
+    return keys[first], seconds[first], np.minimum.reduceat(ids, first)
 
 
 def _owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,24 +345,24 @@ def _owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _removed(n: int, known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merged = known.value
-        for batch in batches:
+        for batch, part in _slices(batches, n):
+            suspect = np.flatnonzero(merged.repeated(part.hashes))
+            ends = np.cumsum(part.sizes)
+            cuts = np.searchsorted(suspect, np.concatenate([[0], ends]))
             out = []
-            for text, blobs in zip(batch.column("text"), batch.column("owned"), strict=True):
-                raw = text.as_buffer()
-                words = raw.to_pybytes().split()
-                hashes = windows(word_hashes(raw), n) if len(words) >= n else np.zeros(0, np.uint64)
-                at = np.flatnonzero(merged.repeated(hashes))
+            for i, (text, blobs) in enumerate(zip(batch.column("text"), batch.column("owned"), strict=True)):
+                words = text.as_buffer().to_pybytes().split()
+                total, removed = len(words), 0
+                at = suspect[cuts[i]:cuts[i + 1]]
                 if len(at) and blobs.is_valid and len(blobs):
                     own = np.frombuffer(b"".join(b.as_py() for b in blobs.values), np.uint64)
-                    at = at[~np.isin(hashes[at], own)]
-                removed = 0
-                total = len(words)
+                    at = at[~np.isin(part.hashes[at], own)]
                 if len(at):
+                    at = at - (ends[i] - part.sizes[i])
                     edge = np.zeros(total + 1, np.int32)
                     edge[at] += 1
                     edge[at + n] -= 1
-                    keep = np.cumsum(edge[:-1]) == 0
-                    words = [words[i] for i in np.flatnonzero(keep).tolist()]
+                    words = [words[k] for k in np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()]
                     removed = total - len(words)
                 out.append((total, removed, hashlib.sha256(b" ".join(words)).hexdigest()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(
@@ -331,7 +393,7 @@ def remove_repeats(docs: DataFrame, n: int = 50, id_col: str = "doc_id", text_co
     shares = rows.mapInArrow(_candidates(n, known, shards, held), _SHARE)
     owned = shares.repartition(shuffle_parts(spark), "shard").sortWithinPartitions("shard").mapInArrow(
         _owned, "key_id long, owned binary")
-    owners = stored(owned, "window-owners").groupBy("key_id").agg(F.collect_list("owned").alias("owned"))
+    owners = owned.groupBy("key_id").agg(F.collect_list("owned").alias("owned"))
     keyed = rows.withColumn("key_id", F.coalesce("doc_id", F.lit(NO_ID)))
     return keyed.join(owners, "key_id", "left").select("doc_id", "text", "owned").mapInArrow(
         _removed(n, known), "doc_id long, n_words long, n_removed long, kept_sha256 string")

@@ -69,14 +69,23 @@ def test_odd_documents(spark, odd_docs):
     assert got(remove_repeats(odd_docs.limit(0))) == []
 
 
+def hashed(*texts):
+    raw = [t.encode() for t in texts]
+    return word_hashes(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+
+
 def test_hashes_follow_words():
-    text = "one two  one\ttwo\n" + "long" * 30_000 + " one two"
-    h = word_hashes(text.encode())
-    assert len(h) == 7 and h[0] == h[2] == h[5] and h[1] == h[3] == h[6] and len(set(h.tolist())) == 3
-    assert (h[:4] == word_hashes(b"  one two one two")).all()
-    w = windows(h, 2)
-    assert w[0] == w[2] == w[5] and len(set(w.tolist())) == 4
-    assert not np.intersect1d(w, windows(h, 2, 1)).size
+    long = "long" * 200_000
+    h, counts = hashed("one two  one\ttwo\n" + long + " one two", "", "one", "two ", " ", "x" + long, long)
+    assert counts.tolist() == [7, 0, 1, 1, 0, 1, 1]
+    assert h[0] == h[2] == h[5] == h[7] and h[1] == h[3] == h[6] == h[8] and h[4] == h[10] and len(set(h.tolist())) == 4
+    assert (h[:4] == hashed("  one two one two")[0]).all()
+    w = windows(h, counts, 2)
+    assert len(w) == 6 and w[0] == w[2] == w[5] and len(set(w.tolist())) == 4
+    assert not np.intersect1d(w, windows(h, counts, 2, 1)).size
+    many, counts = hashed(*["a b c d e " * 20_000, "e a b c d"] * 2)
+    w = windows(many, counts, 3)
+    assert len(w) == 2 * (100_000 - 2 + 3) and len(set(w.tolist())) == 5
 
 
 def test_a_passage_in_every_document(spark):
