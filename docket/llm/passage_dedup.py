@@ -3,12 +3,16 @@
 Three readings of the texts:
 
 1. every task counts its windows in a count-min sketch; the partial sketches are merged slice by
-   slice. A counter only ever holds too much, so a window with a counter of one occurs once;
+   slice. A window counts under its anchor, the short word sequence of least hash inside it. Equal
+   windows have equal anchors and neighbouring windows mostly share one, so a run of windows is
+   one count and the sketch stays small. Anchors and counters only ever count too much, so a window
+   with a counter of one occurs once;
 2. windows whose counters all reach two are grouped exactly, by 128 bits of their words, and each
    group gives its least document, its owner. Every task combines the windows it has read before
    it passes them on, so a passage in a third of all documents leaves a task once a flush;
 3. a document removes the words of its windows estimated repeated that it does not own. A window
-   that was only estimated repeated occurs in one document, which owns it.
+   that was only estimated repeated occurs in one document, which owns it. Texts and what they
+   own meet by buckets of ids.
 
 No window is lost by the sketch: its size and the data only decide how many single windows are
 grouped beside the repeated ones.
@@ -28,14 +32,18 @@ from pyspark.sql import functions as F
 from docket.llm.common import shuffle_parts, texts
 
 #: Counter rows of the sketch; bits of a row's length, at least and at most. A merged row is one bit a
-#: counter, so what goes to every worker is at most ROWS * 2^MOST_BITS / 8 bytes (64 MB).
-ROWS, LEAST_BITS, MOST_BITS = 2, 16, 28
+#: counter, so what goes to every worker is at most ROWS * 2^MOST_BITS / 8 bytes (128 MB).
+ROWS, LEAST_BITS, MOST_BITS = 2, 16, 29
+#: Bytes of text for a counter of a row: there is about an anchor in 150 bytes.
+BYTES_A_COUNTER = 16
 #: Counters of a slice, as a power of two: the piece of a row that one group merges.
 SLICE_BITS = 20
 #: Windows that a task holds before it passes them on.
 HELD = 1 << 21
 #: Windows that one group holds, at most about.
 GROUPED = 1 << 22
+#: Buckets that rows without an id are dealt to.
+SALTS = 32
 #: A null id stands for the greatest one.
 NO_ID = (1 << 63) - 1
 
@@ -127,6 +135,22 @@ def windows(words: np.ndarray, counts: np.ndarray, n: int, which: int = 0) -> np
     return _mixed(out[np.arange(n, n + len(out)) <= ends])
 
 
+def anchors(words: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+    """For every window of ``n`` words (as ``windows`` has them) the least hash of the word sequences inside it
+    that are a sixth as long."""
+    if len(words) < n:
+        return np.zeros(0, np.uint64)
+    short = max(1, n // 6)
+    low, width, wide = windows(words, np.array([len(words)]), short), 1, n - short + 1
+    while 2 * width <= wide:
+        low = np.minimum(low[:-width], low[width:])
+        width *= 2
+    if width < wide:
+        low = np.minimum(low[: len(low) - (wide - width)], low[wide - width:])
+    ends = np.repeat(np.cumsum(counts), counts)[: len(low)]
+    return low[np.arange(n, n + len(low)) <= ends]
+
+
 class _Slice:
     """Some texts of a batch: ids, words, windows."""
 
@@ -136,6 +160,18 @@ class _Slice:
         self.n, self.hashes = n, windows(self.words, self.counts, n)
         #: windows of each text
         self.sizes = np.maximum(self.counts - n + 1, 0)
+        # neighbouring windows of one text with one anchor are a run
+        anchor = anchors(self.words, self.counts, n)
+        fresh = np.ones(len(anchor), bool)
+        fresh[1:] = anchor[1:] != anchor[:-1]
+        starts = np.cumsum(self.sizes) - self.sizes
+        fresh[starts[starts < len(fresh)]] = True
+        #: the anchor of each run, and each window's run
+        self.anchors, self.runs = _mixed(anchor[fresh]), np.cumsum(fresh) - 1
+
+    def suspects(self, sketch: Sketch) -> np.ndarray:
+        """Whether each window is estimated repeated."""
+        return sketch.repeated(self.anchors)[self.runs] if len(self.runs) else np.zeros(0, bool)
 
 
 def _slices(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, _Slice]]:
@@ -206,7 +242,7 @@ def _count(n: int, bits: int, most: int):
     """Partial sketches: per row and slice the counters that are not zero, and whether they passed one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (hashes,) in _flushed(((part.hashes,) for _, part in _slices(batches, n)), most):
+        for (hashes,) in _flushed(((part.anchors,) for _, part in _slices(batches, n)), most):
             out = []
             for row in range(ROWS):
                 cells = np.sort(_cells(hashes, row, bits))
@@ -275,7 +311,7 @@ def _candidates(n: int, known, shards: int, most: int):
 
         def chosen() -> Iterator[tuple[np.ndarray, ...]]:
             for _, part in _slices(batches, n):
-                at = merged.repeated(part.hashes)
+                at = part.suspects(merged)
                 yield _least(part.hashes[at], windows(part.words, part.counts, n, 1)[at], np.repeat(part.ids, part.sizes)[at])
 
         for keys, seconds, ids in _flushed(chosen(), most):
@@ -316,58 +352,110 @@ def _least(keys: np.ndarray, seconds: np.ndarray, ids: np.ndarray) -> tuple[np.n
     return keys[first], seconds[first], np.minimum.reduceat(ids, first)
 
 
-def _owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, windows it owns) of a shard; rows come sorted by shard."""
+def _bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
+    return np.mod(ids ^ (ids >> 15) ^ (ids >> 31), buckets)
+
+
+_OWNERS = "bucket long, n int, ids binary, keys binary"
+
+
+def _owned(buckets: int):
+    """What each document owns of a shard, packed by bucket of ids; rows come sorted by shard."""
 
     def owners(parts: list[dict]) -> pa.RecordBatch:
         keys, _, ids = _least(np.concatenate([_unpacked(p["keys"], p["n"], np.uint64) for p in parts]),
                               np.concatenate([np.frombuffer(p["seconds"], np.uint64) for p in parts]),
                               np.concatenate([_unplaned(p["owners"], p["n"], np.int64) for p in parts]))
-        order = np.argsort(ids, kind="stable")
-        keys, ids = keys[order], ids[order]
-        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        ends = np.append(first, len(ids)) * 8
-        blobs = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(keys.tobytes())])
-        return pa.RecordBatch.from_arrays([pa.array(ids[first]), blobs.cast(pa.binary())], ["key_id", "owned"])
-
-    shard, parts = None, []
-    for batch in batches:
-        for r in batch.to_pylist():
-            if r["shard"] != shard:
-                if parts:
-                    yield owners(parts)
-                shard, parts = r["shard"], []
-            parts.append(r)
-    if parts:
-        yield owners(parts)
+        bucket = _bucket_of(ids, buckets)
+        bucket[ids == NO_ID] = buckets
+        order = np.lexsort((keys, bucket))
+        keys, ids, bucket = keys[order], ids[order], bucket[order]
+        cuts = np.searchsorted(bucket, np.arange(buckets + 2))
+        out = []
+        for k, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+            if j > i:
+                row = (j - i, _planes(ids[i:j]), _packed(keys[i:j]))
+                # every bucket of rows without an id gets what the null id owns
+                out += [(to, *row) for to in ([k] if k < buckets else range(buckets, buckets + SALTS))]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
+            zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "n", "ids", "keys"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, parts = None, []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["shard"] != shard:
+                    if parts:
+                        yield owners(parts)
+                    shard, parts = r["shard"], []
+                parts.append(r)
+        if parts:
+            yield owners(parts)
+
+    return run
+
+
+class _Owned:
+    """What the documents of a bucket own."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.ids = None
+
+    def add(self, row: dict) -> None:
+        self.parts.append((_unplaned(row["ids"], row["n"], np.int64), _unpacked(row["keys"], row["n"], np.uint64)))
+
+    def of(self, doc_id: int) -> np.ndarray:
+        if self.ids is None:
+            ids = np.concatenate([x for x, _ in self.parts]) if self.parts else np.zeros(0, np.int64)
+            keys = np.concatenate([x for _, x in self.parts]) if self.parts else np.zeros(0, np.uint64)
+            order = np.argsort(ids, kind="stable")
+            self.ids, self.keys, self.parts = ids[order], keys[order], []
+        return self.keys[np.searchsorted(self.ids, doc_id): np.searchsorted(self.ids, doc_id, "right")]
+
+
+def _rest(batch: pa.RecordBatch, part: _Slice, merged: Sketch, owned: _Owned, n: int) -> pa.RecordBatch:
+    """What is left of the texts of a slice."""
+    suspect = np.flatnonzero(part.suspects(merged))
+    ends = np.cumsum(part.sizes)
+    cuts = np.searchsorted(suspect, np.concatenate([[0], ends]))
+    out = []
+    for i, text in enumerate(batch.column("text")):
+        words = text.as_buffer().to_pybytes().split()
+        total, removed = len(words), 0
+        at = suspect[cuts[i]:cuts[i + 1]]
+        if len(at):
+            at = at[~np.isin(part.hashes[at], owned.of(part.ids[i]))]
+        if len(at):
+            at = at - (ends[i] - part.sizes[i])
+            edge = np.zeros(total + 1, np.int32)
+            edge[at] += 1
+            edge[at + n] -= 1
+            words = [words[k] for k in np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()]
+            removed = total - len(words)
+        out.append((total, removed, hashlib.sha256(b" ".join(words)).hexdigest()))
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(
+        zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
 def _removed(n: int, known):
+    """Rows come sorted by bucket, in each first what its documents own and then the documents."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merged = known.value
-        for batch, part in _slices(batches, n):
-            suspect = np.flatnonzero(merged.repeated(part.hashes))
-            ends = np.cumsum(part.sizes)
-            cuts = np.searchsorted(suspect, np.concatenate([[0], ends]))
-            out = []
-            for i, (text, blobs) in enumerate(zip(batch.column("text"), batch.column("owned"), strict=True)):
-                words = text.as_buffer().to_pybytes().split()
-                total, removed = len(words), 0
-                at = suspect[cuts[i]:cuts[i + 1]]
-                if len(at) and blobs.is_valid and len(blobs):
-                    own = np.frombuffer(b"".join(b.as_py() for b in blobs.values), np.uint64)
-                    at = at[~np.isin(part.hashes[at], own)]
-                if len(at):
-                    at = at - (ends[i] - part.sizes[i])
-                    edge = np.zeros(total + 1, np.int32)
-                    edge[at] += 1
-                    edge[at + n] -= 1
-                    words = [words[k] for k in np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()]
-                    removed = total - len(words)
-                out.append((total, removed, hashlib.sha256(b" ".join(words)).hexdigest()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(
-                zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True))],
-                ["doc_id", "n_words", "n_removed", "kept_sha256"])
+        merged, bucket, owned = known.value, None, _Owned()
+        for batch in batches:
+            buckets, is_text = batch.column("bucket").to_numpy(), batch.column("kind").to_numpy() == 1
+            edges = np.flatnonzero((buckets[1:] != buckets[:-1]) | (is_text[1:] != is_text[:-1])) + 1
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
+                if b > a and buckets[a] != bucket:
+                    bucket, owned = buckets[a], _Owned()
+                some = batch.slice(a, b - a)
+                if b > a and is_text[a]:
+                    for rows, part in _slices(iter([some]), n):
+                        yield _rest(rows, part, merged, owned, n)
+                else:
+                    for row in some.select(["n", "ids", "keys"]).to_pylist():
+                        owned.add(row)
 
     return run
 
@@ -385,15 +473,20 @@ def remove_repeats(docs: DataFrame, n: int = 50, id_col: str = "doc_id", text_co
     """
     spark = docs.sparkSession
     rows = texts(docs, id_col, text_col)
-    # an upper bound of the windows: a word and its blank take two bytes or more
     size = rows.agg(F.sum(F.octet_length("text").cast("double"))).head()[0] or 0.0
-    bits = int(np.clip(np.ceil(np.log2(max(size, 1.0))), min(LEAST_BITS, most_bits), most_bits))
+    bits = int(np.clip(np.ceil(np.log2(max(size / BYTES_A_COUNTER, 1.0))), min(LEAST_BITS, most_bits), most_bits))
     known = spark.sparkContext.broadcast(sketch(spark, rows, n, bits, held))
+    # a word and its blank take two bytes or more
     shards = int(max(1, size / 2 / grouped))
+    tasks = shuffle_parts(spark)
+    buckets = max(tasks, shards)
     shares = rows.mapInArrow(_candidates(n, known, shards, held), _SHARE)
-    owned = shares.repartition(shuffle_parts(spark), "shard").sortWithinPartitions("shard").mapInArrow(
-        _owned, "key_id long, owned binary")
-    owners = owned.groupBy("key_id").agg(F.collect_list("owned").alias("owned"))
-    keyed = rows.withColumn("key_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    return keyed.join(owners, "key_id", "left").select("doc_id", "text", "owned").mapInArrow(
+    owned = shares.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(_owned(buckets), _OWNERS)
+    bucket = F.when(F.coalesce("doc_id", F.lit(NO_ID)) == NO_ID, F.lit(buckets) + F.pmod(F.xxhash64("text"), F.lit(SALTS))).otherwise(
+        F.expr(f"pmod(doc_id ^ shiftright(doc_id, 15) ^ shiftright(doc_id, 31), {buckets})")).cast("long")
+    none = F.lit(None)
+    both = owned.select("bucket", F.lit(0).alias("kind"), none.cast("long").alias("doc_id"), F.lit("").alias("text"), "n", "ids", "keys").unionByName(
+        rows.select(bucket.alias("bucket"), F.lit(1).alias("kind"), "doc_id", "text", none.cast("int").alias("n"),
+                    none.cast("binary").alias("ids"), none.cast("binary").alias("keys")))
+    return both.repartition(tasks, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(
         _removed(n, known), "doc_id long, n_words long, n_removed long, kept_sha256 string")
