@@ -37,6 +37,7 @@ def overlap_count(a: DataFrame, b: DataFrame) -> DataFrame:
 def upsert_new_wins(existing: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Existing ∪ new by key, the new row overriding; idempotent.  Done as an
     anti join + union (no window), so re-applying the same increment gives
-    the same table."""
-    old_only = existing.join(new.select(*keys), list(keys), "left_anti")
+    the same table.  Null keys are equal to each other."""
+    same = new.select(*[F.col(k).alias(f"__{k}") for k in keys])
+    old_only = existing.join(same, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left_anti")
     return new.withColumn("src", F.lit("new")).unionByName(old_only.withColumn("src", F.lit("old")))

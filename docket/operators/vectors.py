@@ -1,10 +1,8 @@
 """Vector metrics and cluster studies.
 
-Searches take a stated query set against all rows, in blocks: a query block
-and a candidate block meet in one group, as one numpy matrix product, and
-only each query's best (or the pairs above a threshold) leave it.  MRR ranks
-within a validation set, NT-Xent within a contrastive batch; both are bounded
-by their definition.
+Searches of a stated query set and ranks among all rows are in
+``vector_index``.  NT-Xent works within a contrastive batch, which is bounded
+by its definition.
 """
 
 from __future__ import annotations
@@ -14,6 +12,7 @@ from pyspark.sql import functions as F
 
 from docket.functions import arrays as A
 from docket.operators.splits import global_rank
+from docket.operators.vector_index import nearest
 
 
 def centroids(vecs: DataFrame, cluster_col: str, vec_col: str, dim: int) -> DataFrame:
@@ -45,9 +44,9 @@ def cluster_cohesion(vecs: DataFrame, cluster_col: str, vec_col: str, dim: int)
 
 def centroid_similarity(vecs: DataFrame, cluster_col: str, vec_col: str, dim: int, k: int = 5) -> DataFrame:
     """For every cluster the ``k`` clusters (itself included) with the most
-    similar centroids, by cosine: a blocked search over the centroids."""
+    similar centroids, by cosine: an indexed search over the centroids."""
     c = centroids(vecs, cluster_col, vec_col, dim).select(F.col(cluster_col).alias("id"), A.l2_normalize(F.col("centroid")).alias("v"))
-    best = nearest_blocked(c, c, "id", "v", k=k, with_itself=True)
+    best = nearest(c, c, "id", "v", k=k, with_itself=True)
     return best.select(F.col("qid").alias("cluster_a"), F.col("cid").alias("cluster_b"), F.round("sim", 6).alias("cos"))
 
 
@@ -89,80 +88,3 @@ def contrastive_loss(pairs: DataFrame, batch_col: str, id_col: str, student_col:
     cl = cosine_pair_loss(pairs, batch_col, student_col, teacher_col)
     return nt.join(cl, batch_col).select(
         batch_col, F.round(alpha * F.col("nt_xent") + (1 - alpha) * F.col("cos_loss"), 6).alias("loss"))
-
-
-def _blocked(df: DataFrame, id_col: str, vec_col: str, block_size: int) -> DataFrame:
-    """(id, v, b): blocks of at most ``block_size`` rows by rank of the id."""
-    return global_rank(df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")), [F.col("id").asc()],
-                       "__r").withColumn("b", F.floor((F.col("__r") - 1) / block_size).cast("int")).drop("__r")
-
-
-def _meet(queries: DataFrame, cands: DataFrame, id_col: str, vec_col: str, block_size: int, keep) -> DataFrame:
-    """Every query block with every candidate block: one matrix product, of
-    which ``keep(sims, qids, cids)`` gives the (row, column) pairs that stay."""
-    import numpy as np
-    import pandas as pd
-
-    q, c = _blocked(queries, id_col, vec_col, block_size), _blocked(cands, id_col, vec_col, block_size)
-    nq, nc = q.agg(F.max("b")).scalar(), c.agg(F.max("b")).scalar()
-    q = q.select(F.col("b").alias("qb"), F.explode(F.sequence(F.lit(0), nc)).alias("cb"), "id", "v")
-    c = c.select(F.explode(F.sequence(F.lit(0), nq)).alias("qb"), F.col("b").alias("cb"), F.col("id").alias("cid"), F.col("v").alias("cv"))
-
-    def best(qp: pd.DataFrame, cp: pd.DataFrame) -> pd.DataFrame:
-        if qp.empty or cp.empty:
-            return pd.DataFrame({"qid": [], "cid": [], "sim": []})
-        qids, cids = qp["id"].to_numpy(), cp["cid"].to_numpy()
-        sims = np.round(np.stack(qp["v"].to_numpy()).astype(np.float64) @ np.stack(cp["cv"].to_numpy()).astype(np.float64).T, 9)
-        rows, cols = keep(sims, qids, cids)
-        return pd.DataFrame({"qid": qids[rows], "cid": cids[cols], "sim": sims[rows, cols]})
-
-    return q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(best, "qid long, cid long, sim double")
-
-
-def nearest_blocked(queries: DataFrame, vecs: DataFrame, id_col: str, vec_col: str, k: int = 1, block_size: int = 2048,
-                    with_itself: bool = False) -> DataFrame:
-    """Top-k vectors by dot product for every query (other than itself): the
-    k best of each block are merged with a window over ≤ k·blocks rows per
-    query.  Similarities are rounded to 9 digits, ties go to the smaller id."""
-    import numpy as np
-    from pyspark.sql.window import Window
-
-    def keep(sims, qids, cids):
-        if not with_itself:
-            sims[qids[:, None] == cids[None, :]] = -np.inf
-        order = np.lexsort((np.broadcast_to(cids, sims.shape), -sims), axis=1)[:, : min(k, len(cids))]
-        rows, cols = np.repeat(np.arange(len(qids)), order.shape[1]), order.reshape(-1)
-        real = np.isfinite(sims[rows, cols])
-        return rows[real], cols[real]
-
-    w = Window.partitionBy("qid").orderBy(F.col("sim").desc(), F.col("cid").asc())
-    pairs = _meet(queries, vecs, id_col, vec_col, block_size, keep)
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def similar_pairs(queries: DataFrame, vecs: DataFrame, id_col: str, vec_col: str, threshold: float,
-                  block_size: int = 2048) -> DataFrame:
-    """(qid, cid, sim) of all other vectors whose dot product with a query is at least ``threshold``."""
-    import numpy as np
-
-    def keep(sims, qids, cids):
-        return np.nonzero((sims >= threshold) & (qids[:, None] != cids[None, :]))
-
-    return _meet(queries, vecs, id_col, vec_col, block_size, keep)
-
-
-def mrr(pairs: DataFrame, set_col: str, id_col: str, student_col: str, teacher_col: str, digits: int = 9) -> DataFrame:
-    """Per validation set (bounded by its definition): mean reciprocal rank
-    of each row's own teacher among the set's teachers by dot product, rank =
-    1 + #(sim > own), similarities rounded to ``digits``; and the set's size."""
-    import numpy as np
-    import pandas as pd
-
-    rows = pairs.select(F.col(set_col).alias("set"), F.col(id_col).alias("id"), F.col(student_col).alias("s"), F.col(teacher_col).alias("t"))
-
-    def ranks(p: pd.DataFrame) -> pd.DataFrame:
-        sims = np.round(np.stack(p["s"].to_numpy()).astype(np.float64) @ np.stack(p["t"].to_numpy()).astype(np.float64).T, digits)
-        rank = 1 + (sims > np.diag(sims)[:, None]).sum(1)
-        return pd.DataFrame({"set": [p["set"].iloc[0]], "mrr": [round(float((1.0 / rank).mean()), 6)], "n": [len(p)]})
-
-    return rows.groupBy("set").applyInPandas(ranks, "set long, mrr double, n long")

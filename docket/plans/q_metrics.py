@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docket.functions import arrays as A
-from docket.operators import metrics, vectors
+from docket.operators import metrics, vector_index, vectors
 from docket.operators.decode import parse_share_sentinel
 from docket.plans.bindings import binding, define, shared, with_
 from docket.plans.q_cases import case_table
@@ -261,27 +261,27 @@ def q_contrastive_loss(spark, d):
     return vectors.contrastive_loss(pair_vectors(spark, d), "batch", "vec_id", "s", "t", 0.5, 0.5, 0.0)
 
 
-@query("mrr", sql=with_("pv") + """
-SELECT set, round(avg(1.0 / rnk), 6) AS mrr, count(*) AS n FROM (
-  SELECT x.set, x.vec_id, 1 + count_if(round(list_inner_product(x.s, y.t), 9) > round(list_inner_product(x.s, x.t), 9)) AS rnk
-  FROM (SELECT *, CAST(floor(vec_id / 512) AS BIGINT) AS set FROM pv) x JOIN pv y ON CAST(floor(y.vec_id / 512) AS BIGINT) = x.set
-  GROUP BY x.set, x.vec_id) r GROUP BY set""")
-def q_mrr(spark, d):
-    sets = pair_vectors(spark, d).withColumn("set", F.floor(F.col("vec_id") / 512).cast("long"))
-    return vectors.mrr(sets, "set", "vec_id", "s", "t")
-
-
 def query_set(p):
     """The stated query set of the searches: every row whose id is divisible by 100."""
     return p.filter(F.col("vec_id") % 100 == 0)
 
 
+@query("mrr", sql=with_("pv") + """
+SELECT round(avg(1.0 / rnk), 6) AS mrr, count(*) AS n FROM (
+  SELECT x.vec_id, 1 + count_if(round(list_inner_product(x.s, y.t), 9) > round(list_inner_product(x.s, x.t), 9)) AS rnk
+  FROM pv x JOIN pv y ON x.vec_id % 100 = 0 GROUP BY x.vec_id) r""")
+def q_mrr(spark, d):
+    """Own teachers of the query set ranked among the teachers of the whole validation set."""
+    p = pair_vectors(spark, d).select("vec_id", "s", "t")
+    return vector_index.mrr(query_set(p), p, "vec_id", "s", "t")
+
+
 @query("similarity_cross_join", sql=with_("pv") + """
 SELECT x.vec_id AS qid, y.vec_id AS cid, round(list_inner_product(x.u, y.u), 6) AS sim
 FROM pv x JOIN pv y ON x.vec_id % 100 = 0 AND x.vec_id <> y.vec_id AND round(list_inner_product(x.u, y.u), 9) >= 0.3""")
 def q_similarity_cross_join(spark, d):
     p = pair_vectors(spark, d).select("vec_id", "u")
-    s = vectors.similar_pairs(query_set(p), p, "vec_id", "u", threshold=0.3, block_size=1024)
+    s = vector_index.at_least(query_set(p), p, "vec_id", "u", threshold=0.3)
     return s.select("qid", "cid", F.round("sim", 6).alias("sim"))
 
 
@@ -331,7 +331,7 @@ WHERE k <= 5 GROUP BY qid"""
 @query("top_k_neighbors", sql=with_("pv") + nn_fmt_sql())
 def q_top_k_neighbors(spark, d):
     p = pair_vectors(spark, d).select("vec_id", "u", "label")
-    nn = vectors.nearest_blocked(query_set(p), p, "vec_id", "u", k=5, block_size=1024)
+    nn = vector_index.nearest(query_set(p), p.select("vec_id", "u"), "vec_id", "u", k=5)
     lab = p.select(F.col("vec_id").alias("cid"), F.col("label").alias("clabel"))
     item = F.struct((-F.col("sim")).alias("neg"), F.col("cid").alias("id"), F.col("clabel").alias("label"))
     top = nn.join(lab, "cid").groupBy("qid").agg(F.array_sort(F.collect_list(item)).alias("top"))

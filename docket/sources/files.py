@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docket.functions import strings as S
+from docket.session import scratch_path
 
 VOTE_INT_COLUMNS = ["petitioner", "petitionerState", "respondentState", "caseOrigin", "caseOriginState",
                     "issueArea", "lawType", "vote", "caseDisposition", "majVotes", "minVotes"]
@@ -70,6 +71,18 @@ def committed(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
 
+def bytes_of(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below ``path``."""
+    fs, p = _folder(spark, path)
+    return int(fs.getContentSummary(p).getLength())
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder that a writer of this library made."""
+    fs, p = _folder(spark, path)
+    fs.delete(p, True)
+
+
 def scan_json_map(spark: SparkSession, path: str, value_schema: T.DataType | None = None, key_name: str = "key",
                   whole_file: bool = False) -> DataFrame:
     """JSON object(s) keyed by id → one row per entry.
@@ -141,6 +154,14 @@ def scan_listed_files(files: DataFrame, listed: DataFrame, key_col: str = "key")
     return found, missing
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a new folder below the shared checkpoint folder and read it again: lineage ends here,
+    and a lost executor costs no recomputation."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by: Sequence[str] = ()) -> None:
     w = df.write.mode(mode)
     if partition_by:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docket.operators import augment, html, metrics, records, tally, tokens
+from docket.operators import html, metrics, records, similar_words, tally, tokens
 from docket.session import scratch_path
 from docket.sources import files
 from docket.streaming import incremental
@@ -81,7 +81,7 @@ def test_context_lexicon_does_not_depend_on_partitions(spark):
     try:
         for n in ("4", "16", "4"):
             spark.conf.set("spark.sql.shuffle.partitions", n)
-            out.append(sorted(map(tuple, augment.embedding_lexicon(docs.repartition(int(n)), "text").collect())))
+            out.append(sorted(map(tuple, similar_words.similar_words(docs.repartition(int(n)), "text").collect())))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert out[0] == out[1] == out[2] and out[0]
@@ -90,24 +90,72 @@ def test_context_lexicon_does_not_depend_on_partitions(spark):
 STORE = T.StructType([T.StructField("key", T.LongType()), T.StructField("text", T.StringType())])
 
 
+def store_of(spark, store):
+    return {r.key: r.text for r in incremental.latest_store(spark, store, STORE).collect()}
+
+
 def test_upsert_can_be_replayed(spark):
     store = scratch_path(spark, "store")
     rows = lambda xs: spark.createDataFrame(xs, "key long, text string, ord long")
-    first = rows([(1, "a", 1), (2, "b", 1)])
-    second = rows([(2, "z old", 1), (2, "a new", 2), (3, "c", 1)])
-    incremental.upsert_batch(first, 0, store, STORE, ["key"], ["ord"])
+    first = rows([(1, "a", 1), (2, "b", 1), (None, "n", 1)])
+    second = rows([(2, "z old", 1), (2, "a new", 2), (3, "c", 1), (None, "n new", 1)])
+    incremental.upsert_batch(first, 0, store, STORE, ["key"], ["ord"], share=100.0)
     for _ in range(2):  # the second batch again, as after a lost commit entry
-        incremental.upsert_batch(second, 1, store, STORE, ["key"], ["ord"])
-        assert {r.key: r.text for r in incremental.latest_store(spark, store, STORE).collect()} == {1: "a", 2: "a new", 3: "c"}
-    buckets = files.subfolders(spark, incremental.store_version_path(store, 1))
-    assert len(buckets) <= 2  # only touched buckets were written again
+        incremental.upsert_batch(second, 1, store, STORE, ["key"], ["ord"], share=100.0)
+        assert store_of(spark, store) == {1: "a", 2: "a new", 3: "c", None: "n new"}
+    assert incremental.compact(spark, store, STORE, ["key"], share=0.0)
+    incremental.upsert_batch(second, 1, store, STORE, ["key"], ["ord"])  # the base holds it
+    assert store_of(spark, store) == {1: "a", 2: "a new", 3: "c", None: "n new"}
+
+
+def test_a_batch_writes_its_own_rows(spark):
+    store = scratch_path(spark, "store")
+    text = lambda i: "".join(chr(97 + (i * k * k + i) % 26) for k in range(40))
+    want = {}
+    for batch in range(6):
+        keys = range(4000) if not batch else range(batch * 7, batch * 7 + 5)
+        rows = [(k, f"{batch} {text(k)}", 1) for k in keys]
+        want |= {k: t for k, t, _ in rows}
+        incremental.upsert_batch(spark.createDataFrame(rows, "key long, text string, ord long"), batch, store, STORE, ["key"], ["ord"])
+        assert store_of(spark, store) == want
+    names = {kind: files.subfolders(spark, f"{store}/{kind}") for kind in ("base", "delta")}
+    assert names["base"] == ["v=00000000"] and len(names["delta"]) == 6
+    sizes = [spark.read.parquet(incremental.version_path(store, v)).count() for v in range(1, 6)]
+    assert sizes == [5] * 5
+    for batch in range(6, 9):  # large increments: new bases, and old folders go
+        rows = [(k, f"{batch} {text(k)}", 1) for k in range(4000)]
+        want |= {k: t for k, t, _ in rows}
+        incremental.upsert_batch(spark.createDataFrame(rows, "key long, text string, ord long"), batch, store, STORE, ["key"], ["ord"])
+        assert store_of(spark, store) == want
+    assert sorted(files.subfolders(spark, f"{store}/base")) == ["v=00000007", "v=00000008"]
+    assert files.subfolders(spark, f"{store}/delta") == ["v=00000008"]
+
+
+def test_items_are_ingested_once(spark):
+    base = scratch_path(spark, "ingest")
+    write = lambda xs: spark.createDataFrame(xs, STORE).write.mode("append").parquet(f"{base}/in")
+    run = lambda t=None: incremental.incremental_ingest(spark, f"{base}/in", STORE, f"{base}/out", f"{base}/ckpt", ["key"], transform=t)
+    found = lambda: sorted((tuple(r) for r in incremental.ingested(spark, f"{base}/out", STORE).collect()), key=repr)
+    assert found() == []
+    write([(1, "a"), (2, "b"), (2, "a b"), (None, "n")])
+    run()
+    assert found() == sorted([(1, "a"), (2, "a b"), (None, "n")], key=repr)
+    write([(2, "later"), (3, "c"), (None, "later")])
+    run(lambda df: df.filter("text <> 'c'"))  # the third item fails
+    run()
+    assert found() == sorted([(1, "a"), (2, "a b"), (None, "n")], key=repr)
+    write([(1, "later"), (3, "c again")])
+    run()
+    assert found() == sorted([(1, "a"), (2, "a b"), (3, "c again"), (None, "n")], key=repr)
+    incremental.ingest_batch(spark.createDataFrame([(1, "later"), (3, "c again")], STORE), 2, f"{base}/out", ["key"], ["text"])  # replayed
+    assert found() == sorted([(1, "a"), (2, "a b"), (3, "c again"), (None, "n")], key=repr)
 
 
 def test_unreadable_store_is_an_error(spark, tmp_path):
-    bad = tmp_path / "store" / "v=00000000" / "bucket=0"
+    bad = tmp_path / "store" / "delta" / "v=00000000" / "bucket=0"
     bad.mkdir(parents=True)
     (bad / "part-0.parquet").write_text("no parquet")
-    (tmp_path / "store" / "v=00000000" / "_SUCCESS").touch()
+    (tmp_path / "store" / "delta" / "v=00000000" / "_SUCCESS").touch()
     with pytest.raises(Exception, match="(?i)parquet"):
         incremental.latest_store(spark, str(tmp_path / "store"), STORE).collect()
     assert incremental.latest_store(spark, str(tmp_path / "none"), STORE).count() == 0
