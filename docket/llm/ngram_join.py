@@ -45,7 +45,7 @@ FILTER_BITS = 1 << 24
 #: Classes that a task remembers as sent.
 REMEMBERED = 500_000
 #: N-gram instances that a task sorts at once when it counts frequencies.
-SORTED = 4_000_000
+SORTED = 1_000_000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -160,7 +160,10 @@ def _instances(words: int, bucket_bits: int):
     shift = np.uint64(64 - 32 - bucket_bits)
 
     def packed(held: list[np.ndarray]) -> pa.RecordBatch:
-        keys = np.sort(np.concatenate(held) >> shift)
+        keys = np.concatenate(held)
+        held.clear()
+        keys >>= shift
+        keys.sort()
         bucket, rest = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype("<u4")
         starts = np.flatnonzero(np.concatenate([[True], np.diff(bucket) > 0]))
         rows = []
