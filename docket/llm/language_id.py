@@ -167,8 +167,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     gives no rows. The label of a row is never an input of its prediction.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-                       F.col(lang_col).alias("lang"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
-    shared = docs.sparkSession.sparkContext.broadcast(train(rows.drop("row"), fitted_on))
+                       F.col(lang_col).alias("lang"), *([F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")] if whole else []))
+    shared = docs.sparkSession.sparkContext.broadcast(train(rows.select("doc_id", "text", "lang"), fitted_on))
     kept = ["doc_id", "held_out", *(["row"] if whole else [])]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,9 +1,11 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted lists.
 
 Terms are hashed five-character pieces of words (a space marks either end of a word). Counts over
-all distinct labelled texts that may be learnt from choose the terms that tell labels apart: a likelihood
-ratio statistic of at least ``LEAST_G2`` and a rate among toxic rows at least ``LEAST_LIFT`` times
-that among the others. Examples are a bounded sample of the same rows. Their inverted lists are cut
+all distinct labelled texts that may be learnt from choose the terms that tell labels apart: those for
+which the lower bound of the toxic share among the texts that hold them (Wilson's interval, ``Z``)
+has at least ``LEAST_ODDS`` times the odds of all texts. The bound is a rate, so a larger table does not
+admit weaker terms. Examples are a bounded sample of the same rows, of each label up to half of it; a
+sampled example counts for as many as it stands for. Their inverted lists are cut
 into blocks of consecutive examples, each with its largest weight per term; a text visits blocks in
 falling order of their bound and stops where no block can beat its k-th neighbour, so the
 neighbours are exact. Cosine-weighted votes are calibrated by isotonic regression on the examples'
@@ -24,7 +26,7 @@ from pyspark.sql.types import StructType
 from docket.llm.chars import SPACE, held_out, letters, ngrams, share
 
 WIDTH, BITS = 5, 20
-LEAST_G2, LEAST_LIFT = 30.0, 5.0
+Z, LEAST_ODDS = 1.6, 8.0
 #: Bounds of the fitted model: labelled rows as examples, neighbours, examples in a block.
 EXAMPLES, NEIGHBOURS, BLOCK = 16_384, 25, 128
 #: Blocks that set the cosine to beat.
@@ -67,6 +69,7 @@ class Index(NamedTuple):
     idf: np.ndarray
     ids: np.ndarray  # documents of the examples, blocks are runs of BLOCK of them
     toxic: np.ndarray
+    stands: np.ndarray  # labelled rows that an example stands for
     cells: np.ndarray  # column -> first of its cells, the blocks that hold it; one more at the end
     block: np.ndarray  # of a cell
     highest: np.ndarray  # largest weight in a cell
@@ -85,8 +88,8 @@ def vector(text: str, column: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray,
     return i, v / max(np.linalg.norm(v), 1e-12)
 
 
-def build(column: np.ndarray, idf: np.ndarray, rows: list[tuple[int, int, np.ndarray, np.ndarray]]) -> Index:
-    """The index of (document, toxic, columns, values) rows."""
+def build(column: np.ndarray, idf: np.ndarray, rows: list[tuple[int, int, np.ndarray, np.ndarray]], stands=(1.0, 1.0)) -> Index:
+    """The index of (document, toxic, columns, values) rows; ``stands``: rows that one example of either label stands for."""
     n, blocks = len(rows), -(-len(rows) // BLOCK)
     example = np.repeat(np.arange(n), [len(r[2]) for r in rows])
     cols = np.concatenate([r[2] for r in rows]) if rows else np.zeros(0, np.int64)
@@ -99,8 +102,9 @@ def build(column: np.ndarray, idf: np.ndarray, rows: list[tuple[int, int, np.nda
     held, block = np.divmod(cell[starts], max(1, blocks))
     cells = np.searchsorted(held, np.arange(len(idf) + 1))
     toxic = np.array([r[1] for r in rows], float)
-    prior = float((toxic.sum() + 1) / (n + 2))
-    return Index(column, idf, np.array([r[0] for r in rows], np.int64), toxic, cells, block, highest,
+    each = np.where(toxic > 0, stands[1], stands[0])
+    prior = float((each @ toxic + 1) / (each.sum() + 2))
+    return Index(column, idf, np.array([r[0] for r in rows], np.int64), toxic, each, cells, block, highest,
                  np.append(starts, len(cell)), example, weight, prior, (np.zeros(1), np.full(1, prior)))
 
 
@@ -151,18 +155,20 @@ def nearest(index: Index, cols: np.ndarray, values: np.ndarray, k: int = NEIGHBO
 
 def vote(index: Index, found: list[tuple[float, int]]) -> float:
     """Share of toxic neighbours, weighted by squared cosine, drawn to the base rate."""
-    w = np.array([s * s for s, _ in found])
-    y = index.toxic[[i for _, i in found]] if found else w
+    at = [i for _, i in found]
+    w = np.array([s * s for s, _ in found]) * index.stands[at] if found else np.zeros(0)
+    y = index.toxic[at] if found else w
     return float((w @ y + PRIOR_WEIGHT * index.prior) / (w.sum() + PRIOR_WEIGHT))
 
 
-def isotonic(votes: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def isotonic(votes: np.ndarray, y: np.ndarray, stands: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Rates that do not fall with the vote (pool adjacent violators), one case of each kind added to a pool."""
     order = np.argsort(votes, kind="stable")
     pools: list[list[float]] = []
+    each = np.ones(len(y)) if stands is None else stands
     x, first = votes[order], np.flatnonzero(np.concatenate([[True], np.diff(votes[order]) > 1e-9]))
     for a, b in zip(first, [*first[1:], len(x)], strict=True):
-        pools.append([x[a], float(y[order][a:b].sum()), float(b - a)])
+        pools.append([x[a], float((y * each)[order][a:b].sum()), float(each[order][a:b].sum())])
         while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
             _, s, n = pools.pop()
             pools[-1][1] += s
@@ -197,14 +203,10 @@ def chosen_terms(learnt: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         return column, np.zeros(0)
     c, t = float(total.clean), float(total.toxic)
 
-    def cell(seen, of_seen, of_all):
-        return F.when(seen > 0, 2 * seen * F.log(seen / (of_seen * of_all / (c + t)))).otherwise(0.0)
-
     seen = F.col("clean") + F.col("toxic")
-    g2 = (cell(F.col("toxic"), seen, F.lit(t)) + cell(F.col("clean"), seen, F.lit(c))
-          + cell(F.lit(t) - F.col("toxic"), F.lit(c + t) - seen, F.lit(t)) + cell(F.lit(c) - F.col("clean"), F.lit(c + t) - seen, F.lit(c)))
-    lift = (F.col("toxic") / t) / ((F.col("clean") + 0.5) / (c + 1))
-    best = n.filter(F.col("term") < 1 << BITS).withColumn("g2", g2).filter((F.col("g2") >= LEAST_G2) & (lift >= LEAST_LIFT)).orderBy(
+    rate, z = F.col("toxic") / seen, Z * Z
+    low = (rate + z / (2 * seen) - Z * F.sqrt(rate * (1 - rate) / seen + z / (4 * seen * seen))) / (1 + z / seen)
+    best = n.filter(F.col("term") < 1 << BITS).filter(low * c >= LEAST_ODDS * t * (1 - low)).orderBy(
         "term").select("term", seen.alias("df")).toArrow()  # at most 2^BITS rows
     n.unpersist()
     column[best.column("term").to_numpy()] = np.arange(len(best))
@@ -223,8 +225,9 @@ def train(rows: DataFrame, labels: DataFrame, label_id: str = "doc_id", label_co
         F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
     learnt = open_rows.withColumn("digest", digest).join(apart.hint("merge"), ["doc_id", "digest"])
     column, idf = chosen_terms(learnt.dropDuplicates(["doc_id", "digest"]))
-    n = marks.count()
-    part = min(1.0, examples / max(1, n))
+    n = {r.toxic: r["count"] for r in marks.groupBy("toxic").count().collect()}
+    few = min(n.get(0, 0), n.get(1, 0), examples // 2)  # the rarer label gets its half, the other one the rest
+    part = [min(1.0, max(few, examples - min(n.get(1 - y, 0), examples // 2)) / max(1, n.get(y, 0))) for y in (0, 1)]
     shared = rows.sparkSession.sparkContext.broadcast((column, idf))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,14 +236,15 @@ def train(rows: DataFrame, labels: DataFrame, label_id: str = "doc_id", label_co
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([i.tolist() for i, _ in out], pa.list_(pa.int64())),
                                               pa.array([v.tolist() for _, v in out], pa.list_(pa.float64()))], ["doc_id", "toxic", "cols", "vals"])
 
-    sample = open_rows.filter(share(F.col("doc_id")) < part).join(marks.filter(share(F.col("doc_id")) < part).hint("merge"), "doc_id")
+    taken = marks.filter(share(F.col("doc_id")) < F.when(F.col("toxic") == 1, part[1]).otherwise(part[0]))
+    sample = open_rows.filter(share(F.col("doc_id")) < max(part)).join(taken.hint("merge"), "doc_id")
     found = sample.select("doc_id", "toxic", "text").mapInArrow(vectors, "doc_id long, toxic int, cols array<long>, vals array<double>")
     got = sorted(found.limit(2 * examples).collect(), key=lambda r: (r.doc_id, r.cols))  # bounded by ``examples``
-    index = build(column, idf, [(r.doc_id, r.toxic, np.array(r.cols, np.int64), np.array(r.vals)) for r in got])
+    index = build(column, idf, [(r.doc_id, r.toxic, np.array(r.cols, np.int64), np.array(r.vals)) for r in got], [1 / max(p, 1e-12) for p in part])
     if not got:
         return index
     own = [vote(index, nearest(index, np.array(r.cols, np.int64), np.array(r.vals), but=k)) for k, r in enumerate(got)]
-    return index._replace(steps=isotonic(np.array(own), index.toxic))
+    return index._replace(steps=isotonic(np.array(own), index.toxic, index.stands))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", examples: int = EXAMPLES,
@@ -253,8 +257,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     base rate. Null ids have no label; repeated rows give rows of their own; an empty table gives none.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-                       F.struct(*(docs[c] for c in docs.columns)).alias("row"))
-    shared = docs.sparkSession.sparkContext.broadcast(train(rows.drop("row"), labels, examples=examples))
+                       *([F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")] if whole else []))
+    shared = docs.sparkSession.sparkContext.broadcast(train(rows.select("doc_id", "text"), labels, examples=examples))
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
     kept = ["doc_id", "held_out", *(["row"] if whole else [])]
 

@@ -141,3 +141,87 @@ def test_toxicity_of_odd_rows(spark, odd_docs):
     assert toxicity(odd_docs.limit(0), marks).count() == 0
     none = vector("", np.full(1 << 20, -1, np.int32), np.zeros(0))
     assert len(none[0]) == 0
+
+
+def small_table(size=80, toxic=5):
+    """Rows of which a few hold two words that no other row has."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(size):
+        w = [f"{rng.choice('abcdefgh')}{rng.choice(['lorem', 'ipsum', 'dolor', 'amet'])}" for _ in range(12)]
+        y = int(i % (size // toxic) == 3)
+        rows.append((i, " ".join([*w, "blarghfoo", "snorkwump"] if y else w), y))
+    return rows
+
+
+def test_toxic_words_of_a_small_table(spark):
+    rows = small_table()
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    out = {r.doc_id: r.predicted for r in toxicity(df.drop("toxic"), df.select("doc_id", "toxic")).collect()}
+    assert out == {i: y for i, _, y in rows}
+
+
+def brute_scores(rows):
+    """Scores of (id, text, label) rows by dense vectors and plain loops."""
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    learnt = [(i, t, y) for i, t, y in rows if not held(i)]
+    distinct = {}
+    for _, t, y in learnt:
+        distinct[t] = max(y, distinct.get(t, 0))
+    total = [sum(1 for y in distinct.values() if y == k) for k in (0, 1)]
+    seen = {}
+    for t, y in distinct.items():
+        for x in set(terms(t).tolist()):
+            seen.setdefault(x, [0, 0])[y] += 1
+    idf = {}
+    for x, (c, t) in seen.items():
+        n, p = c + t, t / (c + t)
+        low = (p + 1.6**2 / (2 * n) - 1.6 * (p * (1 - p) / n + 1.6**2 / (4 * n * n)) ** 0.5) / (1 + 1.6**2 / n)
+        if low * total[0] >= 8 * total[1] * (1 - low):
+            idf[x] = np.log((1 + sum(total)) / (1 + n)) + 1
+
+    def vec(text):
+        v = {}
+        for x in terms(text).tolist():
+            if x in idf:
+                v[x] = v.get(x, 0) + 1
+        v = {x: (1 + np.log(n)) * idf[x] for x, n in v.items()}
+        norm = sum(a * a for a in v.values()) ** 0.5
+        return {x: a / norm for x, a in v.items()}
+
+    vecs = [(vec(t), y) for _, t, y in learnt]
+    prior = (sum(y for _, y in vecs) + 1) / (len(vecs) + 2)
+
+    def vote(v, but=None):
+        s = sorted(((sum(a * u.get(x, 0) for x, a in v.items()), -k, y) for k, (u, y) in enumerate(vecs) if k != but), reverse=True)[:25]
+        s = [(c * c, y) for c, _, y in s if c > 1e-12]
+        return (sum(w * y for w, y in s) + 0.1 * prior) / (sum(w for w, _ in s) + 0.1)
+
+    own = np.array([vote(v, k) for k, (v, _) in enumerate(vecs)])
+    at, rates = isotonic(own, np.array([float(y) for _, y in vecs]))
+    return {i: float(np.clip(np.interp(vote(vec(t)), at, rates), 0, 1)) for i, t, _ in rows}
+
+
+def test_toxicity_against_dense_brute_force(spark):
+    rng = random.Random(10)
+    rows = [(i, t, y if rng.random() > 0.05 else 1 - y) for i, t, y in small_table(300, 40)]  # noisy labels
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    out = {r.doc_id: r.score for r in toxicity(df.drop("toxic"), df.select("doc_id", "toxic")).collect()}
+    want = brute_scores(rows)
+    assert max(abs(out[i] - want[i]) for i in want) < 1e-6 and len(set(round(x, 3) for x in want.values())) > 1
+
+
+def test_rare_label_keeps_its_examples_in_a_small_sample(spark):
+    rows = small_table(1200, 12)
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    out = {r.doc_id: r for r in toxicity(df.drop("toxic"), df.select("doc_id", "toxic"), examples=60).collect()}
+    assert {i: r.predicted for i, r in out.items()} == {i: y for i, _, y in rows}
+
+
+def test_dotted_columns(spark, odd_docs):
+    marks = spark.createDataFrame([(3, 0), (5, 1)], "doc_id long, toxic int")
+    docs = odd_docs.withColumn("a.b", F.lit(1)).withColumn("row", F.lit("x"))
+    for found in (identify(docs, whole=True), toxicity(docs, marks, whole=True)):
+        back = found.select("row.*")
+        assert back.columns == docs.columns and back.count() == docs.count()
+    assert identify(docs).count() == toxicity(docs, marks).count() == docs.count()

@@ -1,6 +1,7 @@
 from collections import Counter
 
 from test_exact_dedup import brute as brute_exact
+from pyspark.sql import functions as F
 from test_ngram_join import brute as brute_near
 
 import corpus_pipeline as P
@@ -43,3 +44,16 @@ def test_empty_table(spark, odd_docs):
     docs = odd_docs.select("doc_id", "text", "lang", "source", "n_chars").limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, docs, "/root/testdata/sf0.001").count() == 0
+
+
+def test_stages_keep_dotted_columns_and_odd_rows(spark, odd_docs):
+    docs = odd_docs.withColumn("a.b", F.lit(1))
+    for stage in (P.exact_stage, P.near_stage):
+        out = stage(spark, docs, None)
+        assert out.columns == docs.columns and out.count() > 0
+    sf = "/root/testdata/sf0.001"
+    left = docs
+    for _, stage in P.STAGES[:-1]:
+        left = stage(spark, left, sf).cache()
+        assert left.columns == docs.columns
+    P.packing_stage(spark, left, sf).count()
