@@ -28,7 +28,7 @@ def _only(docs: DataFrame, key: Column, chosen: DataFrame) -> DataFrame:
     """The documents whose (doc_id, key) is chosen; of rows that repeat both, one."""
     # a null id is a key of its own
     pair = [F.coalesce(F.col("doc_id").cast("string"), F.lit("none")).alias("_id"), key.alias("_key")]
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), *pair)
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_row"), *pair)
     wanted = chosen.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")).alias("_id"), F.col("key").alias("_key")).distinct()
     turn = F.row_number().over(Window.partitionBy("_id", "_key").orderBy("_id"))
     return rows.join(wanted, ["_id", "_key"]).withColumn("_turn", turn).filter("_turn = 1").select("_row.*")
