@@ -2,9 +2,9 @@
 
 The original loads a pretrained subword vocabulary; here the vocabulary is
 built from the corpus (re-aimed) and holds every token.  It grows with the
-data, so ids come from a distributed rank and the token→id join carries no
-broadcast mark: AQE broadcasts a small vocabulary and splits hot tokens of a
-large one.  Text is split JVM-side; per-document token lists are rebuilt with
+data, so ids come from a distributed rank, and the token→id join is a broadcast
+only where the vocabulary's size has been measured and is small; of a large one
+AQE splits hot tokens.  Text is split JVM-side; per-document token lists are rebuilt with
 an ordered ``collect_list`` whose size is bounded by ``max_length``.
 """
 
@@ -21,6 +21,8 @@ from docket.operators.splits import global_rank
 # Special token ids.
 PAD, UNK, CLS, SEP = 0, 1, 2, 3
 N_SPECIAL = 4
+#: Bytes of a vocabulary that may go to every executor.
+BROADCAST_BYTES = 32 << 20
 TOKEN_RE = r"[\p{L}\p{N}_]+"
 
 
@@ -39,6 +41,12 @@ def build_vocab(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return ranked.select("token", "freq", (F.col("rn") - 1 + N_SPECIAL).cast("int").alias("id"))
 
 
+def lookup_side(table: DataFrame, text_col: str, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``table`` marked for broadcast if its measured size (texts and 16 bytes a row) is at most ``most``, else as it is."""
+    size = table.agg(F.sum(F.octet_length(text_col) + 16)).head()[0]
+    return F.broadcast(table) if size is not None and size <= most else table
+
+
 def tokenize_encode(docs: DataFrame, key_col: str, text_col: str, vocab: DataFrame,
                     max_length: int = 512) -> DataFrame:
     """text → [CLS] ids… [SEP] truncated to ``max_length`` with a mask of 1s;
@@ -49,7 +57,7 @@ def tokenize_encode(docs: DataFrame, key_col: str, text_col: str, vocab: DataFra
     toks = docs.select(F.col(key_col).alias("key"), word_tokens(F.col(text_col)).alias("__t"))
     counted = toks.select("key", F.size("__t").alias("n_tokens"), F.slice("__t", 1, keep).alias("__t"))
     exploded = counted.select("key", "n_tokens", F.posexplode_outer("__t").alias("pos", "token"))
-    ided = exploded.join(vocab.select("token", "id"), "token", "left")
+    ided = exploded.join(lookup_side(vocab.select("token", "id"), "token"), "token", "left")
     known = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(UNK)).alias("id")))
     per = ided.groupBy("key").agg(
         F.max("n_tokens").alias("n_tokens"),

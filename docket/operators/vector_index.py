@@ -130,9 +130,17 @@ class VectorIndex:
 
     def rounds(self, queries: DataFrame, id_col: str, vec_col: str, round_bytes: int = ROUND_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, vectors) of the queries, at most about ``round_bytes`` at a time, clusters together."""
-        rows = self.assigned(queries.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).dropna())
-        sizes = {r["cluster"]: r["n"] for r in rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect()}
+        given = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).dropna()
         most = max(1, round_bytes // (8 * self.centroids.shape[1]))
+        if not self.reach:
+            return
+        one = given.limit(most + 1).toArrow()
+        if one.num_rows <= most:  # a single round needs no order
+            if one.num_rows:
+                yield one.column("id").to_numpy(), matrix(one.column("v").combine_chunks())
+            return
+        rows = self.assigned(given)
+        sizes = {r["cluster"]: r["n"] for r in rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect()}
         todo: list[tuple[list[int], int, int]] = []
         held = 0
         for cluster, n in sorted(sizes.items()):

@@ -1,6 +1,8 @@
 """Operator edge cases and invariants on literal rows."""
 
 import math
+import random
+import statistics
 
 from pyspark.sql import functions as F
 
@@ -15,6 +17,18 @@ def test_f1_macro_edges(spark):
     assert math.isclose(r.f1_0, round(2 * 2 / (3 + 2), 6))
 
 
+def test_medians_by_refined_histograms(spark):
+    rng = random.Random(3)
+    groups = {"one": [0.5], "same": [0.25] * 40, "even": [rng.random() for _ in range(200)], "odd": [rng.gauss(0, 1) for _ in range(301)],
+              "ties": [rng.choice([1.0, 2.0, 2.0, 3.0]) for _ in range(150)], None: [1e-300, 1e300, -1e300, 5.0], "gap": [0.0] * 50 + [1.0] * 50}
+    rows = [(g, v) for g, vs in groups.items() for v in vs]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([*rows, ("none", None)], "g string, v double").repartition(4)
+    want = {g: statistics.median(vs) for g, vs in groups.items()}
+    for bins, held in ((4, 3), (1024, 4096), (7, 20)):
+        assert {r.g: r["median"] for r in vectors.medians(df, "g", "v", bins, held).collect()} == want
+
+
 def test_cluster_cohesion_golden(spark):
     # two unit vectors with cos 0.5 → distance to centroid 1 - sqrt(0.75) = 0.133975
     a = [1.0, 0.0]
