@@ -4,7 +4,7 @@ Terms are hashed five-character pieces of words (a space marks either end of a w
 all distinct labelled texts that may be learnt from choose the terms that tell labels apart: those for
 which the lower bound of the toxic share among the texts that hold them (Wilson's interval, ``Z``)
 has at least ``LEAST_ODDS`` times the odds of all texts. The bound is a rate, so a larger table does not
-admit weaker terms. Examples are a bounded sample of the same rows, of each label up to half of it; a
+admit weaker terms. Examples are a bounded sample of the same texts, of each label up to half of it; a
 sampled example counts for as many as it stands for. Their inverted lists are cut
 into blocks of consecutive examples, each with its largest weight per term; a text visits blocks in
 falling order of their bound and stops where no block can beat its k-th neighbour, so the
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from docket.llm.chars import SPACE, held_out, letters, ngrams, share
+from docket.llm.common import stored
 
 WIDTH, BITS = 5, 20
 Z, LEAST_ODDS = 1.6, 8.0
@@ -69,7 +70,7 @@ class Index(NamedTuple):
     idf: np.ndarray
     ids: np.ndarray  # documents of the examples, blocks are runs of BLOCK of them
     toxic: np.ndarray
-    stands: np.ndarray  # labelled rows that an example stands for
+    stands: np.ndarray  # labelled texts that an example stands for
     cells: np.ndarray  # column -> first of its cells, the blocks that hold it; one more at the end
     block: np.ndarray  # of a cell
     highest: np.ndarray  # largest weight in a cell
@@ -219,13 +220,14 @@ def train(rows: DataFrame, labels: DataFrame, label_id: str = "doc_id", label_co
         "doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(
         F.max((F.col("toxic") != 0).cast("int")).alias("toxic"))
     open_rows = rows.filter(~held_out(F.col("doc_id")))
-    # of equal texts one row is counted: only digests are grouped, and the row is found by its id and digest
+    # of equal texts one row is learnt from: only digests are grouped, and the row is found by its id and digest
     digest = F.unhex(F.md5("text"))
     apart = open_rows.select("doc_id", digest.alias("digest")).join(marks.hint("merge"), "doc_id").groupBy("digest").agg(
         F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
-    learnt = open_rows.withColumn("digest", digest).join(apart.hint("merge"), ["doc_id", "digest"])
-    column, idf = chosen_terms(learnt.dropDuplicates(["doc_id", "digest"]))
-    n = {r.toxic: r["count"] for r in marks.groupBy("toxic").count().collect()}
+    learnt = stored(open_rows.withColumn("digest", digest).join(apart.hint("merge"), ["doc_id", "digest"]).dropDuplicates(
+        ["doc_id", "digest"]).select("doc_id", "text", "toxic"), "labelled-texts")
+    column, idf = chosen_terms(learnt)
+    n = {r.toxic: r["count"] for r in learnt.groupBy("toxic").count().collect()}
     few = min(n.get(0, 0), n.get(1, 0), examples // 2)  # the rarer label gets its half, the other one the rest
     part = [min(1.0, max(few, examples - min(n.get(1 - y, 0), examples // 2)) / max(1, n.get(y, 0))) for y in (0, 1)]
     shared = rows.sparkSession.sparkContext.broadcast((column, idf))
@@ -236,8 +238,7 @@ def train(rows: DataFrame, labels: DataFrame, label_id: str = "doc_id", label_co
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([i.tolist() for i, _ in out], pa.list_(pa.int64())),
                                               pa.array([v.tolist() for _, v in out], pa.list_(pa.float64()))], ["doc_id", "toxic", "cols", "vals"])
 
-    taken = marks.filter(share(F.col("doc_id")) < F.when(F.col("toxic") == 1, part[1]).otherwise(part[0]))
-    sample = open_rows.filter(share(F.col("doc_id")) < max(part)).join(taken.hint("merge"), "doc_id")
+    sample = learnt.filter(share(F.col("doc_id")) < F.when(F.col("toxic") == 1, part[1]).otherwise(part[0]))
     found = sample.select("doc_id", "toxic", "text").mapInArrow(vectors, "doc_id long, toxic int, cols array<long>, vals array<double>")
     got = sorted(found.limit(2 * examples).collect(), key=lambda r: (r.doc_id, r.cols))  # bounded by ``examples``
     index = build(column, idf, [(r.doc_id, r.toxic, np.array(r.cols, np.int64), np.array(r.vals)) for r in got], [1 / max(p, 1e-12) for p in part])
