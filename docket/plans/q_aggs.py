@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docket.functions import strings as S
 from docket.operators import filters, leakage, reports
-from docket.plans.bindings import binding, shared, with_
+from docket.plans.bindings import binding, define, shared, with_
 from docket.plans.q_cases import case_table
 from docket.plans.q_joins import records_frame
 from docket.plans.q_strings import WS, strip_sql, wc_sql
@@ -116,14 +116,43 @@ def leak_sql(x: str) -> str:
     return strip_sql(inner)
 
 
-@query("leakage_sentence_filter", sql=with_("raw_descriptions") + f"""
-SELECT doc_id, {leak_sql('cut')} AS filtered FROM (
-  SELECT doc_id, CASE WHEN length(text) + {1000 + len(S.PROMPT_SUFFIX) + 1} > 30000
-    THEN substr(text, 1, {30000 - 1000 - 200}) || '{S.TRUNCATION_MARKER}' ELSE text END AS cut FROM raw_descriptions) t""")
+define("leak_cut", None, f"""
+SELECT doc_id, CASE WHEN length(text) + {1000 + len(S.PROMPT_SUFFIX) + 1} > 30000
+  THEN substr(text, 1, {30000 - 1000 - 200}) || '{S.TRUNCATION_MARKER}' ELSE text END AS cut FROM {{raw_descriptions}}""")
+define("leak_train", None, f"""
+SELECT list_distinct(regexp_extract_all(lower(s), '{leakage.WORD}')) AS words, regexp_matches(s, '{leakage.outcome_pattern()}') AS weak
+FROM (SELECT unnest(regexp_extract_all(text, '{leakage.SENTENCE}', 0)) AS s FROM {{raw_descriptions}}) t""")
+define("leak_totals", None, "SELECT count_if(weak) AS tp, count_if(NOT weak) AS tn FROM leak_train")
+define("leak_weights", None, f"""
+SELECT word, weight FROM (
+  SELECT word, round(ln((p + 0.5::DOUBLE) / (tp + 1.0::DOUBLE)) - ln((n + 0.5::DOUBLE) / (tn + 1.0::DOUBLE)), 6) AS weight FROM (
+    SELECT word, count_if(weak) AS p, count_if(NOT weak) AS n FROM (SELECT weak, unnest(words) AS word FROM leak_train) w
+    GROUP BY word HAVING count(*) >= {leakage.LEAST_SENTENCES}) c, leak_totals) x WHERE weight >= {leakage.LEAST_WEIGHT}""")
+define("leak_sentences", None, f"""
+SELECT doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) AS pos
+FROM (SELECT doc_id, regexp_extract_all(cut, '{leakage.SENTENCE}', 0) AS ss FROM leak_cut) t""")
+define("leak_scores", None, f"""
+SELECT doc_id, pos, sum(weight) AS score
+FROM (SELECT doc_id, pos, unnest(list_distinct(regexp_extract_all(lower(s), '{leakage.WORD}'))) AS word FROM leak_sentences) w
+JOIN leak_weights USING (word) GROUP BY doc_id, pos""")
+define("leak_kept", None, f"""
+SELECT doc_id, string_agg(s, '' ORDER BY pos) AS text FROM (
+  SELECT t.doc_id, t.pos, t.s, coalesce(score, 0) + (SELECT round(ln((tp + 1.0::DOUBLE) / (tn + 1)), 6) FROM leak_totals) AS odds
+  FROM leak_sentences t LEFT JOIN leak_scores c ON c.doc_id = t.doc_id AND c.pos = t.pos) j
+WHERE NOT regexp_matches(s, '{leakage.outcome_pattern()}') AND round(odds, 4) <= 0 GROUP BY doc_id""")
+LEAK = ("leak_cut", "leak_train", "leak_totals", "leak_weights", "leak_sentences", "leak_scores", "leak_kept")
+
+
+@query("leakage_sentence_filter", sql=with_("raw_descriptions", *LEAK) + f"""
+SELECT c.doc_id, CASE WHEN cut IS NOT NULL THEN {strip_sql("coalesce(k.text, '')")} END AS filtered
+FROM leak_cut c LEFT JOIN leak_kept k ON k.doc_id = c.doc_id""")
 def q_leakage_sentence_filter(spark, d):
-    """The 30 000-character budget first, as the original cuts before its call, then the filter."""
+    """The 30 000-character budget first, as the original cuts before its call, then the filter, whose words are
+    learnt from all descriptions."""
     r = binding(spark, d, "raw_descriptions")
-    return r.select("doc_id", leakage.filter_for_budget(F.col("text")).alias("filtered"))
+    weights, prior = leakage.outcome_words(r, "text")
+    cut = r.select("doc_id", S.truncate_to_budget(F.col("text"), 1000).alias("cut"))
+    return leakage.learnt_filter(cut, "doc_id", "cut", weights, prior)
 
 
 define_status = f"""

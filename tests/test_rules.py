@@ -1,12 +1,14 @@
 """Hand-written expectations for rules that the shared fixtures cannot catch."""
 
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docket.operators import html, metrics, records, similar_words, tally, tokens
+from docket.operators import html, leakage, metrics, records, similar_words, tally, tokens
 from docket.session import scratch_path
 from docket.sources import files
 from docket.streaming import incremental
@@ -193,3 +195,34 @@ def test_main_content_rules(spark):
     df = spark.createDataFrame([(1, tab), (2, short), (3, paragraphs), (4, "<body>little</body>"), (5, None)], "page_id long, html string")
     got = {r.page_id: (r.rule, len(r.content)) for r in html.html_main_content(df).collect()}
     assert got == {1: ("tab", 1200), 2: ("selector", 300), 3: ("paragraphs", 122), 4: ("body", 6), 5: ("", 0)}
+
+
+def test_outcome_words_are_learnt(spark):
+    rng = random.Random(5)
+    topic = [f"fact{i}" for i in range(60)]
+    plain = lambda: "The " + " ".join(rng.choice(topic) for _ in range(6)) + " was argued. "
+    # seed terms stand beside words that the list does not have
+    seeded = ["The panel affirmed with relief granted below. ", "Relief granted, the petition prevails and the court held so. ",
+              "The petition prevails as reversed below. "]
+    rows = []
+    for i in range(300):
+        text = "".join(plain() for _ in range(6)) + (rng.choice(seeded) if i % 2 else "")
+        rows.append((i, text + ("Relief granted and the petition prevails." if i % 10 == 0 else "")))
+    rows += [(900, None), (901, ""), (902, "No sentence ends here")]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    weights, prior = leakage.outcome_words(docs, "text")
+    words = {r.word for r in weights.collect()}
+    assert {"relief", "granted", "prevails", "petition"} <= words and not words & set(topic) and "the" not in words and prior < 0
+    got = {r.id: r.filtered for r in leakage.learnt_filter(docs, "id", "text", weights, prior).collect()}
+    # no seed term is in the planted sentence
+    assert leakage.outcome_pattern() and not re.search("held|affirmed|revers", "Relief granted and the petition prevails.")
+    left = [i for i in range(0, 300, 10) if "prevails" in got[i]]
+    assert len(left) == 0
+    for i, text in rows[:300]:
+        want = "".join(s for s in re.findall(r"[^.!?]+[.!?]+", text) if "argued" in s).strip()
+        assert got[i] == want
+    assert got[900] is None and got[901] == "" and got[902] == "No sentence ends here"
+    m = leakage.held_out_measure(docs.filter("id % 10 <> 0"), "id", "text").collect()[0]
+    assert m.n_sentences > 100 and m.precision == 1.0 and m.recall > 0.95
+    none, odds = leakage.outcome_words(docs.limit(0), "text")
+    assert none.count() == 0 and odds == 0.0
