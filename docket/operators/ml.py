@@ -25,6 +25,8 @@ from docket.sources.files import stored
 CLASSES = 3
 #: Partial sums that one task adds up.
 FOLD = 32
+#: Rows of a stored matrix.
+ROWS = 1024
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -99,6 +101,19 @@ class Classifier:
         return given.mapInArrow(run, schema).toDF(*names, "probs").withColumn("pred", A.argmax(F.col("probs")))
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows as matrices, one per batch: features as they come, targets, and which rows are for validation."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, ROWS):
+            part = batch.slice(a, ROWS)
+            x = part.column("features")
+            values = [x.flatten().to_numpy(zero_copy_only=False), matrix(part.column("target")).ravel(),
+                      part.column("validation").to_numpy(zero_copy_only=False).astype(np.uint8)]
+            yield pa.RecordBatch.from_arrays([pa.array([v.astype(t).tobytes()], pa.binary()) for v, t in zip(
+                values, (np.float64 if values[0].dtype != np.float32 else np.float32, np.float64, np.uint8), strict=True)]
+                + [pa.array([values[0].dtype == np.float32])], ["features", "target", "validation", "single"])
+
+
 def _summed(rows: DataFrame, known) -> np.ndarray:
     """(loss, n, validation loss, validation n, gradient...) over all rows, per task and then in a tree."""
 
@@ -106,14 +121,14 @@ def _summed(rows: DataFrame, known) -> np.ndarray:
         w, b, name_loss = known.value
         total = np.zeros(4 + w.size + b.size)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, t = matrix(batch.column("features")), matrix(batch.column("target"))
-            value, by_z = name_loss(x @ w.T + b, t)
-            train = ~batch.column("validation").to_numpy(zero_copy_only=False).astype(bool)
-            total[:4] += value[train].sum(), train.sum(), value[~train].sum(), (~train).sum()
-            total[4:4 + w.size] += (by_z[train].T @ x[train]).ravel()
-            total[4 + w.size:] += by_z[train].sum(axis=0)
+            for r in batch.to_pylist():
+                x = np.frombuffer(r["features"], np.float32 if r["single"] else np.float64).astype(np.float64).reshape(-1, w.shape[1])
+                t = np.frombuffer(r["target"]).reshape(len(x), -1)
+                value, by_z = name_loss(x @ w.T + b, t)
+                train = np.frombuffer(r["validation"], np.uint8) == 0
+                total[:4] += value[train].sum(), train.sum(), value[~train].sum(), (~train).sum()
+                total[4:4 + w.size] += (by_z[train].T @ x[train]).ravel()
+                total[4 + w.size:] += by_z[train].sum(axis=0)
         yield pa.RecordBatch.from_pydict({"part": pa.array([total.tobytes()], pa.binary())})
 
     def more(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,9 +173,10 @@ def soft_label_classifier(train: DataFrame, validation: DataFrame | None = None,
     if validation is not None:
         rows = rows.unionByName(validation.filter(F.col("target").isNotNull() & F.col("features").isNotNull())
                                 .select(*keep, F.lit(True).alias("validation")))
-    rows = stored(rows, "training-rows")
     first = rows.select(F.size("features")).head()
     dim = first[0] if first else 0
+    # every step reads them: bytes of matrices, not arrays value by value
+    rows = stored(rows.mapInArrow(_packed, "features binary, target binary, validation binary, single boolean"), "training-rows")
     spark, size = rows.sparkSession, CLASSES * dim
     history: list[tuple[float, float | None]] = []
 

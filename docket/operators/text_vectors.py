@@ -5,10 +5,10 @@ corpus.  A text's row holds the positive pointwise mutual information of the tex
 to length one; terms are words, hashed to ``terms`` columns, so every word counts and the model's size does
 not depend on the corpus.  The decomposition follows the randomised scheme of Halko, Martinsson and Tropp:
 
-* the texts are sketched with a random matrix, and each task folds its sketched rows into one triangular
-  factor (QR per block); the factors are folded in a tree;
-* the second reading projects the rows on that basis and sums the projected matrix, a block of columns at
-  a time; ``power`` repeats both readings, starting from what the projection found instead of random numbers;
+* one reading of the texts sketches a block of rows with a random matrix and adds up the matrix's rows times
+  their sketches, a block of columns at a time.  The sketches' inner products follow from those sums, and
+  with them the projection of the matrix on the basis of the sketches, so the texts are not read again for it;
+* ``power`` repeats the reading, starting from what the projection found instead of random numbers;
 * the driver decomposes the projected matrix, whose size the parameters bound.
 
 A text's vector is its row times the right singular vectors: further texts need nothing but the model.
@@ -29,8 +29,10 @@ from docket.operators.tokens import word_tokens
 from docket.sources.files import stored
 
 DIM, TERMS, OVERSAMPLE, POWER = 384, 1 << 14, 16, 1
-#: Columns of a block that one task sums; factors or blocks that one task folds.
+#: Columns of a block that one task sums; parts of a block that one task folds.
 BLOCK, FOLD = 256, 16
+#: Texts that are sketched and added up at once.
+ROWS = 2048
 
 
 def bags(docs: DataFrame, text_col: str, terms: int = TERMS) -> DataFrame:
@@ -98,48 +100,28 @@ def _binary(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values, np.float64).tobytes()
 
 
-def _factor(y: np.ndarray) -> np.ndarray:
-    return np.linalg.qr(y, mode="r")
-
-
-def _sketched(known, width: int):
-    """One triangular factor per task of its rows times the test matrix."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, test = known.value
-        r = np.zeros((0, width))
-        for batch in batches:
-            y = [v @ test[at] for at, v in weights.rows(batch.column("bag"))]
-            if y:
-                r = _factor(np.vstack([r, *y]))
-        if len(r):
-            yield pa.RecordBatch.from_pydict({"r": pa.array([_binary(r)], pa.binary())})
-
-    return run
-
-
-def _folded(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = np.zeros((0, width))
-        for batch in batches:
-            for data in batch.column("r").to_pylist():
-                r = _factor(np.vstack([r, np.frombuffer(data).reshape(-1, width)]))
-        if len(r):
-            yield pa.RecordBatch.from_pydict({"r": pa.array([_binary(r)], pa.binary())})
-
-    return run
+def _add_by_term(total: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> None:
+    """Add each row's weights times its sketch (a row of ``y``) to its terms; a term's rows are added together."""
+    at = np.concatenate([a for a, _ in rows])
+    order = np.argsort(at, kind="stable")
+    v = np.concatenate([w for _, w in rows])[order]
+    row = np.repeat(np.arange(len(rows)), [len(a) for a, _ in rows])[order]
+    terms, starts = np.unique(at[order], return_index=True)
+    for t, a, b in zip(terms.tolist(), starts.tolist(), [*starts[1:].tolist(), len(at)], strict=True):
+        total[t] += v[a:b] @ y[row[a:b]]
 
 
 def _projected(known, terms: int):
-    """Per task the sum of basis rows times matrix rows, in blocks of columns."""
+    """Per task the sum of the matrix's rows times their sketches, in blocks of columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, test, turn = known.value
-        total = np.zeros((terms, turn.shape[1]))
+        weights, test = known.value
+        total = np.zeros((terms, test.shape[1]))
         for batch in batches:
-            for at, v in weights.rows(batch.column("bag")):
-                q = (v @ test[at]) @ turn
-                total[at] += v[:, None] * q
+            for a in range(0, batch.num_rows, ROWS):
+                rows = [r for r in weights.rows(batch.column("bag").slice(a, ROWS)) if len(r[0])]
+                if rows:
+                    _add_by_term(total, rows, np.vstack([v @ test[at] for at, v in rows]))
         for k in range(0, terms, BLOCK):
             if total[k:k + BLOCK].any():
                 yield pa.RecordBatch.from_pydict({"block": pa.array([k // BLOCK], pa.int32()), "part": pa.array([_binary(total[k:k + BLOCK])], pa.binary())})
@@ -176,26 +158,20 @@ def fit(docs: DataFrame, text_col: str = "text", dim: int = DIM, terms: int = TE
     projected = np.zeros((terms, 0))
     for _ in range(1 + power):
         known = spark.sparkContext.broadcast((weights, test))
-        factors = rows.mapInArrow(_sketched(known, width), "r binary")
-        left = rows.rdd.getNumPartitions()
-        while left > 1:
-            left = -(-left // FOLD)
-            factors = factors.repartition(left).mapInArrow(_folded(width), "r binary")
-        got = factors.collect()  # one factor
-        if not got:
-            break
-        _, s, wt = np.linalg.svd(np.frombuffer(got[0]["r"]).reshape(-1, width), full_matrices=False)
-        alive = s > (s[0] if len(s) else 0.0) * 1e-10
-        turn = wt[alive].T / s[alive]
-        if not turn.shape[1]:
-            break
-        known = spark.sparkContext.broadcast((weights, test, turn))
         parts = rows.mapInArrow(_projected(known, terms), "block int, part binary")
         sums = parts.repartition(max(1, min(-(-terms // BLOCK), rows.rdd.getNumPartitions())), "block").sortWithinPartitions("block").mapInArrow(
             _added, "block int, part binary")
-        projected = np.zeros((terms, turn.shape[1]))
+        added = np.zeros((terms, width))
         for r in sums.collect():  # terms * width numbers, whatever the corpus
-            projected[r["block"] * BLOCK:(r["block"] + 1) * BLOCK] = np.frombuffer(r["part"]).reshape(-1, turn.shape[1])
+            added[r["block"] * BLOCK:(r["block"] + 1) * BLOCK] = np.frombuffer(r["part"]).reshape(-1, width)
+        # added = A^T Y and Y = A test, so test^T added = Y^T Y = W S^2 W^T, and Y W / S is a basis
+        inner = test.T @ added
+        square, w = np.linalg.eigh((inner + inner.T) / 2)
+        alive = square > max(square.max(initial=0.0), 0.0) * 1e-13
+        turn = w[:, alive] / np.sqrt(square[alive])
+        if not turn.shape[1]:
+            break
+        projected = added @ turn
         test = np.linalg.qr(projected)[0]
         width = test.shape[1]
     if not projected.shape[1]:

@@ -159,3 +159,23 @@ def test_unclear_and_missing_targets(spark):
     assert np.allclose(ml._softmax(model.bias[None]), 1 / 3)
     empty = ml.soft_label_classifier(df.filter(F.lit(False)))
     assert empty.weights.shape == (3, 0)
+
+
+def test_a_block_of_texts_is_added_up_by_term():
+    rng = np.random.default_rng(3)
+    rows = [(np.sort(rng.choice(40, n, replace=False)), rng.random(n)) for n in (5, 1, 40, 12)]
+    y, got, want = rng.random((4, 7)), np.zeros((40, 7)), np.zeros((40, 7))
+    T._add_by_term(got, rows, y)
+    for (at, v), q in zip(rows, y):
+        want[at] += np.outer(v, q)
+    assert np.allclose(got, want, atol=1e-12)
+
+
+def test_training_rows_are_stored_as_matrices(spark, monkeypatch):
+    kept = {}
+    stored = ml.stored
+    monkeypatch.setattr(ml, "stored", lambda df, name: kept.setdefault(name, stored(df, name)))
+    rows = spark.createDataFrame([([float(i % 2), 1.0], [1.0, 0.0, 0.0] if i % 2 else [0.0, 1.0, 0.0]) for i in range(50)],
+                                 "features array<float>, target array<double>").coalesce(1)
+    model = ml.soft_label_classifier(rows, max_iter=3)
+    assert kept["training-rows"].count() == 1 and model.weights.shape == (3, 2)
