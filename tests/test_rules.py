@@ -4,6 +4,7 @@ import json
 import random
 import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -226,3 +227,10 @@ def test_outcome_words_are_learnt(spark):
     assert m.n_sentences > 100 and m.precision == 1.0 and m.recall > 0.95
     none, odds = leakage.outcome_words(docs.limit(0), "text")
     assert none.count() == 0 and odds == 0.0
+
+
+def test_html_pieces_come_in_bounded_frames():
+    pages = pd.DataFrame({"page_id": range(600), "html": ["<body>" + "<p>some text</p>" * 50 + "</body>"] * 600})
+    frames = list(html._frames(iter([pages]), "page_id", "html"))
+    assert sum(map(len, frames)) == 30_000 and max(map(len, frames)) <= html.AT_ONCE + 50
+    assert [p for f in frames for p in f["page_id"].unique()] == list(range(600))
