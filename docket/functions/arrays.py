@@ -11,6 +11,12 @@ def as_double(a: Column) -> Column:
     return F.transform(a, lambda x: x.cast("double"))
 
 
+def in_order(entries: Column, field: str) -> Column:
+    """array<struct> → ``field`` of its entries in their natural order.  ``sort_array`` compares in the JVM's own
+    code, where ``array_sort`` evaluates an expression per comparison, and the field is taken without a lambda."""
+    return F.sort_array(entries)[field]
+
+
 def asum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
 

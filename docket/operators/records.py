@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docket.functions import arrays as A
 from docket.functions import strings as S
 from docket.operators.decode import parse_share_sentinel
 
@@ -46,7 +47,8 @@ def member_lookup(member_book: DataFrame, bio_keys: DataFrame) -> DataFrame:
                .select("lk_code", "lk_name", F.col("__bk").isNotNull().alias("lk_bio")))
     passthrough = (bios.join(book.select(F.col("lk_code").alias("__c")), F.col("__bk") == F.col("__c"), "left_anti")
                    .select(F.col("__bk").alias("lk_code"), F.col("__bk").alias("lk_name"), F.lit(True).alias("lk_bio")))
-    return in_book.unionByName(passthrough)
+    # a member listed twice must not multiply votes; names are kept once per case anyway
+    return in_book.unionByName(passthrough).distinct()
 
 
 def vote_members(cases: DataFrame, member_book: DataFrame, bio_keys: DataFrame,
@@ -63,8 +65,7 @@ def vote_members(cases: DataFrame, member_book: DataFrame, bio_keys: DataFrame,
              .withColumn("code", F.split(S.strip(F.col("part")), ":").getItem(0)))
     lk = member_lookup(member_book, bio_keys)
     named = codes.join(lk, F.col("code") == F.col("lk_code"), "left").filter(F.coalesce("lk_bio", F.lit(False)))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col("lk_name").alias("name")))),
-                          lambda e: e["name"])
+    ordered = A.in_order(F.collect_list(F.struct("pos", F.col("lk_name").alias("name"))), "name")
     return (named.groupBy("case_id").agg(F.array_distinct(ordered).alias("__names"))
             .select("case_id", F.transform("__names", lambda n: F.concat(F.lit(BIO_DIR), n, F.lit(".txt")))
                     .alias("bios")))
@@ -88,12 +89,13 @@ def assemble_training_records(cases: DataFrame, member_book: DataFrame, bio_keys
         F.min_by(F.struct(*own), F.struct(*order, *own)).alias("__r"))
     parts = first.select("case_id", "__r.*").select(
         "case_id", "usCite", *shares, F.posexplode_outer(F.split(F.col("justice_votes"), ";")).alias("pos", "part"))
-    code = F.when(S.strip(F.col("part")) != "", F.split(S.strip(F.col("part")), ":").getItem(0))
-    j = parts.withColumn("code", code).join(lk, F.col("code") == F.col("lk_code"), "left")
+    # as ``S.strip`` and a split, without a regex per vote
+    vote = F.btrim(F.col("part"), F.lit("\t\n\x0b\f\r "))
+    j = parts.withColumn("code", F.when(vote != "", F.substring_index(vote, ":", 1))).join(lk, F.col("code") == F.col("lk_code"), "left")
     named = F.when(F.coalesce(F.col("lk_bio"), F.lit(False)), F.struct("pos", F.col("lk_name").alias("name")))
     per_case = j.groupBy("case_id").agg(
         *[F.any_value(c).alias(c) for c in ["usCite", *shares]],
-        F.array_distinct(F.transform(F.array_sort(F.collect_list(named)), lambda e: e["name"])).alias("__names"))
+        F.array_distinct(A.in_order(F.collect_list(named), "name")).alias("__names"))
     base = join_by_citation(per_case, desc_keys)
 
     def share(c):

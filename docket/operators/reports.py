@@ -58,9 +58,11 @@ def coverage(df: DataFrame, flags: dict[str, Column]) -> DataFrame:
 
 def unique_references(records: DataFrame) -> DataFrame:
     """Distinct bio and description references over the nested arrays, and
-    reference totals — one pass over a tagged union, one aggregate."""
-    refs = (records.select(F.lit("bio").alias("kind"), F.explode("bios").alias("ref"))
-            .unionByName(records.select(F.lit("desc").alias("kind"), F.col("description").alias("ref"))))
+    reference totals — one pass over the records, one aggregate."""
+    # a record's references side by side, so that the records are worked out once
+    bios = F.transform(F.coalesce("bios", F.array().cast("array<string>")), lambda b: F.struct(F.lit("bio").alias("kind"), b.alias("ref")))
+    own = F.array(F.struct(F.lit("desc").alias("kind"), F.col("description").alias("ref")))
+    refs = records.select(F.explode(F.concat(own, bios)).alias("r")).select("r.kind", "r.ref")
 
     def of(kind):
         return F.when(F.col("kind") == kind, F.col("ref"))

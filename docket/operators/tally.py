@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docket.functions import arrays as A
+
 # Disposition codes where the petitioner wins / loses.
 PETITIONER_WINS = [1, 3, 4, 5, 6, 7, 8]
 PETITIONER_LOSES = [2, 9]
@@ -59,7 +61,7 @@ def vote_counts(disposition: Column, maj: Column, mino: Column) -> Column:
 
 def ordered_join(items: Column, sep: str) -> Column:
     """array<struct<o: ordinal, v: string>> → v's joined in ordinal order."""
-    return F.array_join(F.transform(F.array_sort(items), lambda e: e["v"]), sep)
+    return F.array_join(A.in_order(items, "v"), sep)
 
 
 def vote_tally(votes: DataFrame, ord_cols: Sequence[str], key_cols: Sequence[str] = ("caseIssuesId",),
