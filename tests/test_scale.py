@@ -35,3 +35,15 @@ def test_votes_and_records_are_ordered_without_a_lambda(spark):
     assert [b.split("/")[-1] for b in got.head().bios] == ["Bo.txt", "Cy.txt", "Ann.txt"] and "array_sort" not in optimized(got)
 
 
+def test_references_are_counted_in_one_pass(spark):
+    recs = spark.createDataFrame([("a", ["d/x.txt", "d/y.txt"], "t/a.txt", [1.0]), ("b", ["d/x.txt", "e/x.txt", None], None, [1.0]),
+                                  ("c", [], "t/z.txt", [1.0]), ("d", None, "t/a.txt", [1.0])], RECORD)
+    source = recs.join(spark.range(3, 4), F.lit(True))  # a step that must run once
+    u = reports.unique_references(source)
+    assert tuple(u.head()) == (3, 4, 2, 3) and optimized(u).count("Range (") == 1
+    keys = lambda *k: spark.createDataFrame([(x,) for x in k], "key string")
+    m = augment.missing_references(source, keys("k\\x.txt", "k/x.txt"), keys("k/a.txt"))
+    assert {r.kind: (r.n_refs, r.n_missing) for r in m.collect()} == {"bio": (5, 2), "description": (3, 1)}
+    assert optimized(m).count("Range (") == 1
+
+
