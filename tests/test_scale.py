@@ -47,3 +47,12 @@ def test_references_are_counted_in_one_pass(spark):
     assert optimized(m).count("Range (") == 1
 
 
+def test_versions_of_records_without_a_description(spark):
+    recs = spark.createDataFrame([("a", ["d/x.txt", "d/y.txt"], "t/a.txt", [1.0]), ("b", ["d/y.txt"], None, [1.0]), ("c", [], "t/z.txt", [1.0])], RECORD)
+    keys = lambda *k: spark.createDataFrame([(x,) for x in k], "key string")
+    e = augment.expand_versions(recs, keys("x_v1.txt", "x_v0.txt", "y_v0.txt", "x_v10.txt"), keys("a_v0.txt"), "b/", "d/")
+    assert {r.case_id: (r.bios, r.description) for r in e.collect()} == {
+        "a": (["b/x_v0.txt", "b/x_v1.txt", "b/y_v0.txt"], "d/a_v0.txt"), "b": (["b/y_v0.txt"], None), "c": ([], None)}
+    assert "array_sort" not in optimized(e) and "concat(/, case_id" in optimized(e)
+
+
