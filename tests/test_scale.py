@@ -56,3 +56,13 @@ def test_versions_of_records_without_a_description(spark):
     assert "array_sort" not in optimized(e) and "concat(/, case_id" in optimized(e)
 
 
+def test_large_vocabulary_in_two_parts(spark):
+    rows = [(i, " ".join(f"w{j}" for j in range(i, 40) for _ in range(3))) for i in range(40)] + [(None, "w39 zzz w1"), (90, ""), (91, None), (7, "w3 w0")]
+    docs = spark.createDataFrame(rows, "id int, text string")
+    vocab = tokens.build_vocab(docs.filter("id < 40")).cache()
+    encode = lambda most: {r.key: tuple(r)[1:] for r in tokens.tokenize_encode(docs, "id", "text", vocab, 64, most).collect()}
+    whole = encode(1 << 20)
+    assert len(whole) == 43 and whole[90][1] == [tokens.CLS, tokens.SEP] and whole[None][1][2] == tokens.UNK
+    assert encode(200) == whole and encode(0) == whole
+
+
