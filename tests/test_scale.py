@@ -35,6 +35,21 @@ def test_votes_and_records_are_ordered_without_a_lambda(spark):
     assert [b.split("/")[-1] for b in got.head().bios] == ["Bo.txt", "Cy.txt", "Ann.txt"] and "array_sort" not in optimized(got)
 
 
+def test_only_described_records_gather_tokens(spark):
+    recs = spark.createDataFrame([("a", ["d/x.txt", "d\\y.txt", "d/none.txt"], "t\\a.txt", [1.0]), ("b", ["d/x.txt"], None, [1.0]),
+                                  ("c", ["d/x.txt", "d/y.txt"], "t/none.txt", [1.0]), ("d", ["d/none.txt"], "t/a.txt", [1.0]), ("e", [], "t/a.txt", [1.0])], RECORD)
+    bios = spark.createDataFrame([("k/x.txt", [1], [1]), ("k\\y.txt", [2, 3], [1, 1])], TOKENS)
+    desc = spark.createDataFrame([("k/a.txt", [7, 8], [1, 1])], TOKENS)
+    kept, skipped = tokens.join_tokens_by_basename(recs, bios, desc)
+    row = kept.collect()
+    assert [(r.case_id, r.justice_count, [m.input_ids for m in r.members], r.case_tokens.input_ids) for r in row] == [("a", 2, [[1], [2, 3]], [7, 8])]
+    got = {r.case_id: (r.reason, r.justice_count, len(r.members or [])) for r in skipped.collect()}
+    assert got == {"b": ("no description", 1, 0), "c": ("description not tokenized", 2, 2), "d": ("no valid justice biographies found", 0, 0),
+                   "e": ("no valid justice biographies found", 0, 0)}
+    # the members' tokens are gathered only where somebody reads them
+    assert "collect_list" not in optimized(skipped.groupBy("reason").count()) and "collect_list" in optimized(kept)
+
+
 def test_references_are_counted_in_one_pass(spark):
     recs = spark.createDataFrame([("a", ["d/x.txt", "d/y.txt"], "t/a.txt", [1.0]), ("b", ["d/x.txt", "e/x.txt", None], None, [1.0]),
                                   ("c", [], "t/z.txt", [1.0]), ("d", None, "t/a.txt", [1.0])], RECORD)
