@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docket.functions import strings as S
+from docket.sources.files import stored
 
 # Outcome vocabulary (ours): holdings, dispositions, opinions, vote counts.
 OUTCOME_TERMS = [
@@ -68,12 +69,17 @@ def _words(text: Column) -> Column:
 def outcome_words(texts: DataFrame, text_col: str, terms: Sequence[str] = OUTCOME_TERMS, least: int = LEAST_SENTENCES,
                   least_weight: float = LEAST_WEIGHT) -> tuple[DataFrame, float]:
     """((word, weight), prior): words that tell outcome sentences from others, learnt from the weak labels of all
-    sentences, and the log odds of an outcome sentence."""
+    sentences, and the log odds of an outcome sentence.  One pass counts words and sentences; the counts of the
+    words that may be weighed are stored."""
     pattern = outcome_pattern(terms)
     s = texts.select(F.explode(_sentences(F.col(text_col))).alias("s")).select(_words(F.col("s")).alias("words"), F.col("s").rlike(pattern).alias("weak"))
-    total = s.agg(F.count_if("weak").alias("p"), F.count_if(~F.col("weak")).alias("n")).head()
-    counts = s.select("weak", F.explode("words").alias("word")).groupBy("word").agg(
-        F.count_if("weak").alias("p"), F.count_if(~F.col("weak")).alias("n")).filter(F.col("p") + F.col("n") >= least)
+    # the null word stands for the sentence itself
+    itself = F.array(F.lit(None).cast("string"))
+    rows = s.select("weak", F.explode(F.concat(itself, "words")).alias("word")).groupBy("word").agg(
+        F.count_if("weak").alias("p"), F.count_if(~F.col("weak")).alias("n"))
+    counts = stored(rows.filter(F.col("word").isNull() | (F.col("p") + F.col("n") >= least)), "outcome-words")
+    total = counts.filter(F.col("word").isNull()).head() or {"p": 0, "n": 0}
+    counts = counts.filter(F.col("word").isNotNull())
     weight = F.round(F.log((F.col("p") + 0.5) / (total["p"] + 1.0)) - F.log((F.col("n") + 0.5) / (total["n"] + 1.0)), 6)
     return (counts.select("word", weight.alias("weight")).filter(F.col("weight") >= least_weight),
             round(math.log((total["p"] + 1) / (total["n"] + 1)), 6))
@@ -89,7 +95,8 @@ def _scored(texts: DataFrame, id_col: str, text_col: str, weights: DataFrame) ->
 def _learnt(sentence: Column, prior: float) -> Column:
     """Whether the weights of a sentence's words make an outcome likelier than not."""
     score = F.aggregate(_words(sentence), F.lit(0.0), lambda a, w: a + F.coalesce(F.try_element_at("__found", w), F.lit(0.0)))
-    return F.round(score + F.lit(prior), 4) > 0
+    # a text without weighed words needs no look at its sentences' words
+    return F.when(F.col("__found").isNull(), F.round(F.lit(prior), 4) > 0).otherwise(F.round(score + F.lit(prior), 4) > 0)
 
 
 def learnt_filter(texts: DataFrame, id_col: str, text_col: str, weights: DataFrame, prior: float, out_col: str = "filtered",

@@ -81,3 +81,10 @@ def test_large_vocabulary_in_two_parts(spark):
     assert encode(200) == whole and encode(0) == whole
 
 
+def test_outcome_words_are_counted_in_one_pass(spark):
+    docs = spark.createDataFrame([(i, "The court held so. A cat sat." if i % 2 else "A cat sat on the mat.") for i in range(40)], "id int, text string")
+    weights, prior = leakage.outcome_words(docs, "text")
+    assert {r.word for r in weights.collect()} >= {"court", "held"} and -1.0 < prior < 0.0
+    assert "Generate" not in optimized(weights)  # read from the stored counts, not counted again
+    kept = leakage.learnt_filter(docs, "id", "text", weights, prior)
+    assert {r.filtered for r in kept.collect()} == {"A cat sat.", "A cat sat on the mat."}
