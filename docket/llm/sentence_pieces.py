@@ -7,7 +7,8 @@ the edges of the word's lattice, grouped by word, and folded with Spark's higher
 ``aggregate``. For a unigram model the fold is Viterbi: the best-scoring path. For a BPE model, as
 the public file is, the best-scoring path is not the model's segmentation, so the fold takes merges
 instead: at each step the adjacent pair whose joint piece has the highest score (the leftmost of
-equals) becomes one. A word none of whose characters is a piece becomes its bytes.
+equals) becomes one. Edges come in that order, so a pass over them makes most words' merges. A word
+none of whose characters is a piece becomes its bytes.
 
 Documents then look up their words' ids. The word table goes to the workers as flat arrays while
 its checked size allows, otherwise it is joined.
@@ -15,14 +16,16 @@ its checked size allows, otherwise it is joined.
 
 from __future__ import annotations
 
-import re
+import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import sha512
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +34,12 @@ from docket.llm.common import stored, texts
 BLANK = "▁"
 #: Characters of a word that the lattice takes; a bit of a long per place between them.
 LONGEST_WORD = 60
-#: Distinct words that a task combines, that a worker remembers; bytes of a table that workers may hold.
-COMBINED, REMEMBERED, SHARED_BYTES = 200_000, 300_000, 96 << 20
+#: Distinct words that a task combines; bytes of a table that workers may hold.
+COMBINED, SHARED_BYTES = 200_000, 96 << 20
+#: Rows, and bytes of their texts if there are more than one, that a task cuts, encodes and decodes at a time.
+HELD_ROWS, HELD_BYTES = 256, 1 << 19
+#: A bit above a word's places: the pass over its edges stopped, as one that it had passed fits now.
+AGAIN = 1 << 62
 UNIGRAM, BPE = 1, 2
 
 
@@ -61,34 +68,39 @@ class Pieces:
         self.near = {p[i: i + 2] for p, _, _ in self.rows for i in range(len(p) - 1)}
         if any(b == BLANK != a for a, b in self.near):
             raise ValueError("a piece has a blank behind another character")
-        self.chunks = re.compile(f"{BLANK}+[^{BLANK}]*")
+        chars = sorted({c for pair in self.near for c in pair})
+        self.char = np.zeros(sys.maxunicode + 1, np.uint16)  # 0: in no pair
+        self.char[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.apart = np.ones((len(chars) + 1, len(chars) + 1), bool)
+        self.apart[tuple(self.char[[ord(x[i]) for x in self.near]] for i in (0, 1))] = False
         self.id = {p: i for p, i, _ in self.rows}
 
-    def cut(self, chunk: str) -> list[str]:
-        """A chunk with the blank in front of it, as words."""
-        s, near, at = BLANK + chunk, self.near, 0
-        cuts = [i for i in range(1, len(s)) if s[i - 1: i + 1] not in near]
-        if not cuts:
-            return [s]
-        out = []
-        for i in cuts:
-            out.append(s[at:i])
-            at = i
-        out.append(s[at:])
-        return out
-
-    def split(self, text: str) -> list[str]:
-        """The text as chunks, each without the blank in front of it: no piece has a blank behind
-        another character. Blanks after blanks stay with what follows them."""
-        if not text:
-            return []
-        if "  " not in text and text[0] != " " and BLANK not in text:
-            return text.split(" ")
-        return [c[1:] for c in self.chunks.findall(BLANK + text.replace(" ", BLANK))]
+    def cut(self, texts: list[str]) -> Cut:
+        """The texts, a blank in front of each that is not empty, cut to words between all characters
+        that stand side by side in no piece, and between texts."""
+        spaced = [BLANK + t.replace(" ", BLANK) if t else "" for t in texts]
+        codes = _codes("".join(spaced))
+        kind = self.char[codes]
+        first = np.ones(len(codes), bool)
+        first[1:] = self.apart[kind[:-1], kind[1:]]
+        at = np.cumsum([0, *map(len, spaced)])
+        first[at[:-1][np.diff(at) > 0]] = True
+        return Cut(codes, np.flatnonzero(first), at)
 
     def words(self, text: str) -> list[str]:
         """The text as words; joined they are the text with its blanks as U+2581."""
-        return [w for chunk in self.split(text) for w in self.cut(chunk)]
+        return self.cut([text]).words()
+
+    def places(self) -> list[tuple[str, int, float, bool]]:
+        """(piece, place, score, late) of pieces of two or more characters: their place by falling score,
+        equal for equal scores, and whether a merge of lesser or equal score can make a part that the piece needs."""
+        score = {p: s for p, _, s in self.rows}
+        place = {s: i for i, s in enumerate(sorted(set(score.values()), reverse=True))}
+
+        def late(p: str) -> bool:
+            return any(score.get(x, np.inf) <= score[p] for i in range(2, len(p)) for x in (p[:i], p[-i:]))
+
+        return [(p, place[s], s, late(p)) for p, s in score.items() if len(p) > 1]
 
     def between(self, word: str, mask: int) -> list[int]:
         """The ids of a word's segments between the places of ``mask``; the bytes of a character that is no piece."""
@@ -117,68 +129,134 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+#: Odd factors of a character's place in its word, for two hashes.
+FACTORS = np.frombuffer(b"".join(sha512(b"%d" % i).digest()[:16] for i in range(LONGEST_WORD + 1)), "<u8").reshape(-1, 2).T | np.uint64(1)
+
+
+class Cut:
+    """Texts cut to words: code points, each word's first place and length, each text's first place."""
+
+    def __init__(self, codes: np.ndarray, first: np.ndarray, at: np.ndarray):
+        self.codes, self.first, self.at = codes, first, at
+        self.size = np.diff(first, append=len(codes))
+        self.short = self.size <= LONGEST_WORD
+        self.text = np.searchsorted(at, first, "right") - 1  # the last of those that begin there is not empty
+
+    def hashes(self, which: int = 0) -> np.ndarray:
+        """64 bits of each word: the sum of its code points, from 1, times their places' factors."""
+        out = np.zeros(len(self.first), np.uint64)
+        # in blocks, for a text of any length
+        blocks = np.unique(np.searchsorted(self.first, np.arange(0, len(self.codes) + HELD_BYTES, HELD_BYTES)))
+        for a, b in zip(blocks, blocks[1:], strict=False):
+            first, size = self.first[a:b] - self.first[a], self.size[a:b]
+            codes = self.codes[self.first[a]: self.first[a] + size.sum()]
+            place = np.minimum(np.arange(len(codes)) - np.repeat(first, size), LONGEST_WORD)
+            out[a:b] = np.add.reduceat((codes + np.uint64(1)) * FACTORS[which][place], first)
+        return out.view(np.int64)
+
+    def words(self, some: np.ndarray | slice = slice(None)) -> list[str]:
+        whole = self.codes.tobytes().decode("utf-32-le", "surrogatepass")
+        return [whole[a:b] for a, b in zip(self.first[some].tolist(), (self.first + self.size)[some].tolist(), strict=True)]
+
+
+def _hashes(words: list[str]) -> np.ndarray:
+    """The hashes of words that are not empty."""
+    at = np.cumsum([0, *map(len, words)])
+    return Cut(_codes("".join(words)), at[:-1], at).hashes()
+
+
+def _few(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most HELD_ROWS rows and, where there are more than one, HELD_BYTES."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            n = min(HELD_ROWS, max(1, int(np.searchsorted(ends, before + HELD_BYTES, "right")) - at))
+            yield batch.slice(at, n)
+            at += n
+
+
 def word_counts(rows: DataFrame, path: str) -> DataFrame:
     """(word, n) of all distinct words up to the lattice's length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, counts = pieces(path), Counter()
+        model, words = pieces(path), Counter()
 
         def out():
-            words = Counter()
-            for chunk, n in counts.items():
-                for w in model.cut(chunk):
-                    if len(w) <= LONGEST_WORD:
-                        words[w] += n
-            counts.clear()
-            return pa.RecordBatch.from_pydict({"word": pa.array(words.keys(), pa.string()), "n": pa.array(words.values(), pa.int64())})
-
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                counts.update(model.split(text))
-                if len(counts) >= COMBINED:
-                    yield out()
+            batch = pa.RecordBatch.from_pydict({"word": pa.array(words.keys(), pa.string()), "n": pa.array(words.values(), pa.int64())})
+            words.clear()
+            return batch
+
+        for batch in _few(batches):
+            cut = model.cut(batch.column("text").to_pylist())
+            short = np.flatnonzero(cut.short)
+            one, other = (cut.hashes(i)[short] for i in (0, 1))
+            _, some, same, n = np.unique(one, return_index=True, return_inverse=True, return_counts=True)
+            if (other[some][same] == other).all():
+                for w, k in zip(cut.words(short[some]), n.tolist(), strict=True):
+                    words[w] += k
+            else:  # different words of equal hashes
+                words.update(cut.words(short))
+            if len(words) >= COMBINED:
+                yield out()
         yield out()
 
     return rows.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def lattice(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
-    """(word, n, edges): edges of two characters or more by falling score, then place: cost, first, id,
-    ends, inside and len.
+def lattice(words: DataFrame, table: DataFrame, longest: int, edge: Column) -> DataFrame:
+    """(word, n, edges): for each piece of two characters or more in the word ``edge``, sorted.
 
-    ``ends`` has a bit for the place before the edge's first and behind its last character,
-    ``inside`` a bit for the places between. Every word has one edge without a place (len 0).
+    ``edge`` is made of the piece's columns in ``table``, its first place in the word and its ``len``.
     """
     spans = words.select("word", "n", F.length("word").alias("size")).select(
         "word", "n", "size", F.explode(F.expr("sequence(0, size)")).alias("first")).select(
         "word", "n", "first", F.explode(F.expr(
             f"if(first = size, array(0), if(first = size - 1, array(), sequence(2, least({longest}, size - first))))")).alias("len"))
     cut = spans.withColumn("piece", F.expr("substring(word, first + 1, len)"))
-    # the piece table is fixed by the model file
-    found = cut.join(F.broadcast(table), "piece")
-    bit = "shiftleft(1L, {})"
-    ends = F.expr(f"if(len = 0, 0L, {bit.format('first')} | {bit.format('first + len')})")
-    inside = F.expr(f"if(len = 0, 0L, ({bit.format('first + len')} - 1L) & ~({bit.format('first + 1')} - 1L))")
-    edge = F.struct((-F.col("score")).alias("cost"), "first", "id", ends.alias("ends"), inside.alias("inside"), "len")
-    return found.groupBy("word", "n").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    # the piece table is fixed by the model file; its empty piece keeps words without an edge
+    found = cut.join(F.broadcast(table), "piece").select("word", "n", F.when(F.col("len") > 0, edge).alias("edge"))
+    return found.groupBy("word", "n").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
 
 
-def merged(edges: DataFrame) -> DataFrame:
-    """(word, mask): places left after all merges of a BPE model."""
-    start = F.expr("shiftleft(1L, length(word) + 1) - 1L")
+def merged(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
+    """(word, n, mask): places left after all merges of a BPE model.
 
-    def step(mask: Column, _) -> Column:
-        fits = F.filter("pairs", lambda e: (e.ends.bitwiseAND(mask) == e.ends) & (F.bit_count(e.inside.bitwiseAND(mask)) == 1))
-        first = F.coalesce(F.get(fits, F.lit(0)).inside, F.lit(0).cast("long"))  # none fits: nothing changes
-        return mask.bitwiseAND(F.bitwise_not(first))
+    An edge is one number: the piece's place by score, first, len, late. It fits when the places of
+    its ends are left and one between them. A merge makes only edges fit that begin or end with it;
+    where one of those comes earlier in the order (it is late), the pass stops and begins again.
+    """
+    edges = lattice(words, table, longest, F.expr("shiftleft(cast(place as long), 20) + shiftleft(first, 12) + shiftleft(len, 1) + int(late)"))
+    masks = edges.withColumn("pairs", F.expr("""transform(edges, e -> named_struct('edge', e,
+        'ends', shiftleft(shiftleft(1L, int(shiftright(e, 1) & 2047)) + 1L, int(shiftright(e, 12) & 255)),
+        'inside', shiftleft(shiftleft(1L, int(shiftright(e, 1) & 2047)) - 2L, int(shiftright(e, 12) & 255))))"""))
 
-    pairs = edges.withColumn("pairs", F.transform(F.filter("edges", lambda e: e.len > 1), lambda e: F.struct(e.ends.alias("ends"), e.inside.alias("inside"))))
-    turns = F.expr("sequence(1, greatest(1, length(word) - 1))")
-    return pairs.withColumn("mask", F.aggregate(turns, start, step)).drop("pairs")
+    def fits(e: Column, mask: Column) -> Column:
+        return (e.ends.bitwiseAND(mask) == e.ends) & (F.bit_count(e.inside.bitwiseAND(mask)) == 1)
 
+    def step(mask: Column, e: Column) -> Column:
+        left = mask.bitwiseAND(F.bitwise_not(e.inside))
+        passed = F.exists("late", lambda x: (x.edge < e.edge) & fits(x, left))
+        return F.when((mask < AGAIN) & fits(e, mask), F.when(passed, left.bitwiseOR(F.lit(AGAIN))).otherwise(left)).otherwise(mask)
 
-def viterbi(edges: DataFrame, model: Pieces) -> DataFrame:
-    """(word, mask): places of the path with the highest sum of scores."""
+    def again(mask: Column, _) -> Column:
+        return F.when(mask < AGAIN, mask).otherwise(F.aggregate("pairs", mask - F.lit(AGAIN), step))
+
+    late = masks.withColumn("late", F.filter("pairs", lambda e: e.edge.bitwiseAND(F.lit(1)) == 1))
+    start = F.expr("shiftleft(1L, length(word) + 1) - 1L").bitwiseOR(F.lit(AGAIN))
+    # a pass that stops has made a merge
+    turns = F.expr("sequence(1, greatest(1, length(word)))")
+    return late.select("word", "n", F.aggregate(turns, start, again).alias("mask"))
+
+
+def viterbi(words: DataFrame, table: DataFrame, model: Pieces) -> DataFrame:
+    """(word, n, mask): places of the path with the highest sum of scores."""
+    edges = lattice(words, table, model.longest, F.struct((F.col("first") + F.col("len")).alias("end"), "first", (-F.col("score")).alias("cost")))
     unknown = min((s for _, _, s in model.rows), default=0.0) - 10.0
     costs = {ord(p): -s for p, _, s in model.rows if len(p) == 1}
     low = F.array(*[F.lit(costs.get(c, -unknown)) for c in range(1024)])
@@ -191,9 +269,7 @@ def viterbi(edges: DataFrame, model: Pieces) -> DataFrame:
 
     chars = F.transform(F.expr("sequence(0, length(word) - 1)"), lambda i: F.struct(
         (i + 1).alias("end"), i.alias("first"), char_cost(i).alias("cost")))
-    longer = F.transform(F.filter("edges", lambda e: e.len > 1), lambda e: F.struct(
-        (e.first + e.len).alias("end"), e.first.alias("first"), e.cost.alias("cost")))
-    by_end = F.sort_array(F.concat(chars, longer))
+    by_end = F.sort_array(F.concat(chars, "edges"))
     none = F.struct(F.lit(float("inf")).alias("cost"), F.lit(0).cast("long").alias("mask"))
     first = F.struct(F.lit(0.0).alias("cost"), F.lit(1).cast("long").alias("mask"))
     start = F.transform(F.expr("sequence(0, length(word))"), lambda i: F.when(i == 0, first).otherwise(none))
@@ -210,28 +286,20 @@ def viterbi(edges: DataFrame, model: Pieces) -> DataFrame:
 def encode_words(words: DataFrame, path: str, kind: int | None = None) -> DataFrame:
     """(word, n, hash, ids) of distinct words (word, n), by the fold of the model's kind."""
     model = pieces(path)
-    table = words.sparkSession.createDataFrame([*(r for r in model.rows if len(r[0]) > 1), ("", -1, 0.0)], "piece string, id int, score double")
-    edges = lattice(words, table, model.longest)
-    folded = viterbi(edges, model) if (kind or model.kind) == UNIGRAM else merged(edges)
+    table = words.sparkSession.createDataFrame([*model.places(), ("", 0, 0.0, False)], "piece string, place int, score double, late boolean")
+    folded = viterbi(words, table, model) if (kind or model.kind) == UNIGRAM else merged(words, table, model.longest)
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
         for batch in batches:
             words = batch.column("word").to_pylist()
             ids = [model.between(w, m) for w, m in zip(words, batch.column("mask").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array([_hash(w) for w in words], pa.int64()),
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(_hashes(words)),
                                               pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "hash", "ids"])
 
     return folded.select("word", "n", "mask").mapInArrow(named, "word string, n long, hash long, ids array<int>")
 
 
-def _hash(word: str) -> int:
-    from xxhash import xxh64_intdigest
-
-    h = xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-    return h - (1 << 64) if h >> 63 else h
-
-
 class Words:
     """Ids of words as flat arrays sorted by hash: 16 bytes a word and 2 an id."""
 
@@ -241,50 +309,63 @@ class Words:
         ids = table.column("ids").combine_chunks()
         offsets = ids.offsets.to_numpy().astype(np.int64) if len(h) else np.zeros(1, np.int64)
         self.hash, self.first, self.last = h[order], offsets[:-1][order].astype(np.uint32), offsets[1:][order].astype(np.uint32)
-        self.ids = (ids.values.to_numpy() if len(h) else np.zeros(0, np.int32)).astype(np.uint16).tobytes()
+        self.ids = (ids.values.to_numpy() if len(h) else np.zeros(0, np.int32)).astype(np.uint16)
 
-    def find(self, words: list[str]) -> list[bytes | None]:
-        """The ids (16 bits each) of each word, None where it is not held."""
+    def find(self, cut: Cut) -> np.ndarray:
+        """The place of each word of ``cut``, -1 where it is not held."""
         if not len(self.hash):
-            return [None] * len(words)
-        h = np.fromiter(map(_hash, words), np.int64, len(words))
+            return np.full(len(cut.first), -1)
+        h, same = np.unique(cut.hashes(), return_inverse=True)
         i = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
-        held = (self.hash[i] == h).tolist()
-        a, b = (2 * self.first[i].astype(np.int64)).tolist(), (2 * self.last[i].astype(np.int64)).tolist()
-        return [self.ids[x:y] if k else None for x, y, k in zip(a, b, held, strict=True)]
+        return np.where(cut.short, np.where(self.hash[i] == h, i, -1)[same], -1)
+
+
+def _runs(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` from ``first`` on, one behind the other."""
+    behind = np.cumsum(size)
+    return flat[np.repeat(first - behind + size, size) + np.arange(behind[-1] if len(behind) else 0)]
 
 
 class Encoder:
-    """Ids of texts from held words, a memory of chunks, and words given for one text."""
+    """Ids of texts from held words and words given for one text."""
 
     def __init__(self, model: Pieces, held: Words):
-        self.model, self.held, self.known = model, held, {}
-
-    def lacking(self, text: str) -> list[str]:
-        """Distinct words of a text that the table does not hold."""
-        words = list(dict.fromkeys(w for c in set(self.model.split(text)) - self.known.keys() for w in self.model.cut(c) if len(w) <= LONGEST_WORD))
-        return [w for w, b in zip(words, self.held.find(words), strict=True) if b is None]
-
-    def ids(self, text: str, own: dict[str, bytes] | None = None) -> np.ndarray:
-        chunks = self.model.split(text)
-        new = [c for c in dict.fromkeys(chunks) if c not in self.known]
-        extra: dict[str, bytes] = {}
-        if new:
-            cuts = [self.model.cut(c) for c in new]
-            words = list(dict.fromkeys(w for ws in cuts for w in ws))
-            found = dict(zip(words, self.held.find(words), strict=True))
-            for w, b in found.items():
-                if len(w) > LONGEST_WORD:
-                    found[w] = np.array(self.model.long_word(w), np.uint16).tobytes()
-                elif own and w in own:
-                    found[w] = own[w]
-            extra = {c: b"".join([found[w] for w in ws]) for c, ws in zip(new, cuts, strict=True)}
-            if len(self.known) < REMEMBERED:
-                self.known.update(extra)
-                extra = {}
-        known = self.known
-        joined = b"".join([known[c] for c in chunks]) if not extra else b"".join([known.get(c) or extra.get(c, b"") for c in chunks])
-        return np.frombuffer(joined, np.uint16)
+        self.model, self.held = model, held
+
+    def lacking(self, texts: list[str]) -> list[list[str]]:
+        """For each text its distinct words that the table does not hold."""
+        cut = self.model.cut(texts)
+        some = np.flatnonzero((self.held.find(cut) < 0) & cut.short)
+        out: list[dict[str, None]] = [{} for _ in texts]
+        for t, w in zip(cut.text[some].tolist(), cut.words(some), strict=True):
+            out[t][w] = None
+        return [list(x) for x in out]
+
+    def ids(self, texts: list[str], own: list[dict[str, np.ndarray]] | None = None) -> list[np.ndarray]:
+        cut = self.model.cut(texts)
+        at = self.held.find(cut)
+        some = np.flatnonzero(at < 0)
+        first, size = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        first[at >= 0] = self.held.first[at[at >= 0]]
+        size[at >= 0] = self.held.last[at[at >= 0]] - first[at >= 0]
+        lacked = []
+        for t, w, short in zip(cut.text[some].tolist(), cut.words(some), cut.short[some].tolist(), strict=True) if len(some) else ():
+            lacked.append(own[t][w] if short else np.array(self.model.long_word(w), np.uint16))
+        size[some] = [len(x) for x in lacked]
+        behind = np.cumsum(size)
+        flat = np.zeros(behind[-1] if len(size) else 0, np.uint16)
+        if len(some):
+            held = size.copy()
+            held[some] = 0
+            known = np.ones(len(flat), bool)
+            places = _runs(np.arange(len(flat)), (behind - size)[some], size[some])
+            known[places] = False
+            flat[known] = _runs(self.held.ids, first, held)
+            flat[places] = np.concatenate(lacked)
+        else:
+            flat = _runs(self.held.ids, first, size)
+        of_text = np.bincount(cut.text, size, len(texts)).astype(np.int64)
+        return np.split(flat, np.cumsum(of_text)[:-1]) if texts else []
 
 
 IDS = "doc_id long, text string, ids array<int>"
@@ -336,13 +417,10 @@ def _with_ids(path: str, table, decoded: bool, own: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
         encoder = Encoder(model, table.value)
-        for batch in batches:
+        for batch in _few(batches):
             texts = batch.column("text").to_pylist()
-            if own:
-                more = [{x["word"]: np.array(x["ids"], np.uint16).tobytes() for x in r or ()} for r in batch.column("own").to_pylist()]
-                out = [encoder.ids(t, m) for t, m in zip(texts, more, strict=True)]
-            else:
-                out = [encoder.ids(t) for t in texts]
+            more = [{x["word"]: np.array(x["ids"], np.uint16) for x in r or ()} for r in batch.column("own").to_pylist()] if own else None
+            out = encoder.ids(texts, more)
             if decoded:
                 yield _digests(model, batch.column("doc_id"), texts, out)
                 continue
@@ -360,8 +438,8 @@ def _joined(rows: DataFrame, path: str, words: DataFrame, table, decoded: bool)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(pieces(path), table.value)
-        for batch in batches:
-            lacking = [encoder.lacking(t) for t in batch.column("text").to_pylist()]
+        for batch in _few(batches):
+            lacking = encoder.lacking(batch.column("text").to_pylist())
             at = np.repeat(np.arange(batch.num_rows), [len(x) for x in lacking])
             yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(at)), pa.array([w for x in lacking for w in x], pa.string())], ["row", "word"])
 
@@ -390,7 +468,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
-        for batch in batches:
+        for batch in _few(batches):
             offsets, flat = batch.column("ids").offsets.to_numpy(), batch.column("ids").values.to_numpy()
             own = [flat[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
             yield _digests(model, batch.column("doc_id"), batch.column("text").to_pylist(), own)

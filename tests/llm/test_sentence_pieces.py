@@ -80,3 +80,64 @@ def test_word_table_counts_every_word(spark):
         for w in pieces(PATH).words(t):
             want[w] = want.get(w, 0) + 1
     assert got == want
+
+
+def test_a_task_holds_few_texts_at_a_time(spark):
+    """A batch has up to 10 000 rows; all its texts, ids and decoded texts at once took hundreds of MB."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from docket.llm.sentence_pieces import Words, _with_ids, word_counts
+
+    text = "the words of a text that comes often " * 110
+    words = encode_words(word_counts(spark.createDataFrame([(text,)], "text string"), PATH), PATH)
+    table = SimpleNamespace(value=Words(words.select("hash", "ids").toArrow()))
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(8000), pa.int64()), "text": pa.array([text] * 8000)})
+    rows, want = 0, len(pieces(PATH).library.encode(text))
+    tracemalloc.start()
+    for out in _with_ids(PATH, table, True, False)(iter([batch])):
+        rows += out.num_rows
+        assert set(out.column("n_pieces").to_pylist()) == {want}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 8000
+    assert peak < 40e6, peak
+
+
+def test_merges_go_by_score_whatever_the_order_of_parts(spark):
+    """Made-up pieces whose parts often have lower scores than they, so that a merge makes earlier edges fit."""
+    from docket.llm.sentence_pieces import Pieces, merged
+
+    rng = random.Random(11)
+    texts = sorted({"".join(rng.choices("abc", k=rng.randint(2, 5))) for _ in range(60)})
+    model = object.__new__(Pieces)
+    model.rows = [(p, i, float(-rng.randint(0, 40))) for i, p in enumerate(texts)]
+    score = {p: s for p, _, s in model.rows}
+
+    def merges(word):
+        parts = list(word)
+        while True:
+            found = [(-score[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in score]
+            if not found:
+                break
+            i = min(found)[1]
+            parts[i: i + 2] = [parts[i] + parts[i + 1]]
+        return sum(1 << n for n in np.cumsum([0, *map(len, parts)]).tolist())
+
+    words = sorted({"".join(rng.choices("abcd", k=rng.randint(1, 18))) for _ in range(400)} | {"abcab" * 12})
+    table = spark.createDataFrame([*model.places(), ("", 0, 0.0, False)], "piece string, place int, score double, late boolean")
+    got = {r.word: r.mask for r in merged(spark.createDataFrame([(w, 1) for w in words], "word string, n long"), table, 5).collect()}
+    assert got == {w: merges(w) for w in words}
+
+
+def test_texts_are_cut_alone_and_together():
+    model = pieces(PATH)
+    texts = ["a b ", " c", "", "", "  ", "▁x", "a" * 200, "\x00\x00a", "é漢😀."]
+    alone = [model.words(t) for t in texts]
+    cut = model.cut(texts)
+    assert cut.words() == [w for ws in alone for w in ws]
+    assert cut.text.tolist() == [i for i, ws in enumerate(alone) for _ in ws]
+    distinct = set(cut.words())
+    assert len(set(zip(cut.hashes(0).tolist(), cut.words()))) == len(distinct) == len(set(cut.hashes(0).tolist())) == len(set(cut.hashes(1).tolist()))
