@@ -77,26 +77,28 @@ def assemble_training_records(cases: DataFrame, member_book: DataFrame, bio_keys
 
     Of several rows with one case id the first in ``order`` makes the record
     (without ``order``: the least by its own columns), whole and alone.
-    Single pass over the case table: the votes are exploded with the case's
-    own columns attached, joined once to the member lookup and gathered back
-    per case (cases without any bio keep an empty list), then the description
-    key is attached.  Targets parse the share columns with the −1 sentinel.
+    Single pass over the case table: the description is attached, the votes are
+    exploded with the case's own columns attached, joined once to the member
+    lookup and gathered back per case (cases without any bio keep an empty list).
+    The description is among the keys, so that where only records with one are
+    asked for, the others' votes are not exploded.
+    Targets parse the share columns with the −1 sentinel.
     """
     lk = member_lookup(member_book, bio_keys)
     shares = ["pct_in_favor", "pct_against", "pct_absent"]
     own = ["usCite", *shares, "justice_votes"]
+    # the row is held once, not beside what it is compared by
     first = cases.groupBy(F.col("caseIssuesId").alias("case_id")).agg(
-        F.min_by(F.struct(*own), F.struct(*order, *own)).alias("__r"))
-    parts = first.select("case_id", "__r.*").select(
-        "case_id", "usCite", *shares, F.posexplode_outer(F.split(F.col("justice_votes"), ";")).alias("pos", "part"))
+        F.min(F.struct(F.struct(*order, F.lit(0).alias("__last")).alias("order"), F.struct(*own).alias("own"))).alias("__r"))
+    described = join_by_citation(first.select("case_id", "__r.own.*"), desc_keys)
+    parts = described.select("case_id", "description", *shares, F.posexplode_outer(F.split(F.col("justice_votes"), ";")).alias("pos", "part"))
     # as ``S.strip`` and a split, without a regex per vote
     vote = F.btrim(F.col("part"), F.lit("\t\n\x0b\f\r "))
     j = parts.withColumn("code", F.when(vote != "", F.substring_index(vote, ":", 1))).join(lk, F.col("code") == F.col("lk_code"), "left")
     named = F.when(F.coalesce(F.col("lk_bio"), F.lit(False)), F.struct("pos", F.col("lk_name").alias("name")))
-    per_case = j.groupBy("case_id").agg(
-        *[F.any_value(c).alias(c) for c in ["usCite", *shares]],
+    base = j.groupBy("case_id", "description").agg(
+        *[F.any_value(c).alias(c) for c in shares],
         F.array_distinct(A.in_order(F.collect_list(named), "name")).alias("__names"))
-    base = join_by_citation(per_case, desc_keys)
 
     def share(c):
         return parse_share_sentinel(F.col(c).cast("string"))

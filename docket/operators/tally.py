@@ -65,8 +65,9 @@ def ordered_join(items: Column, sep: str) -> Column:
 
 
 def vote_tally(votes: DataFrame, ord_cols: Sequence[str], key_cols: Sequence[str] = ("caseIssuesId",),
-               chunk: Column | None = None) -> DataFrame:
-    """Vote fact (one row per case × member) → case table (22 columns).
+               chunk: Column | None = None, attrs: Sequence[str] = CASE_ATTRS) -> DataFrame:
+    """Vote fact (one row per case × member) → case table (22 columns; of the
+    case's own columns only ``attrs``, which the outcome's are always among).
 
     ``key_cols`` may carry extra columns that the case id is a function of
     (e.g. the physical order key) so an upstream hash partitioning on them is
@@ -78,7 +79,8 @@ def vote_tally(votes: DataFrame, ord_cols: Sequence[str], key_cols: Sequence[str
     is sorted by many tasks.
     """
     ordinal = F.struct(*[F.col(c) for c in ord_cols])
-    attrs = F.struct(*[F.col(c) for c in CASE_ATTRS])
+    names = [c for c in CASE_ATTRS if c in {*attrs, "caseDisposition", "majVotes", "minVotes"}]
+    attrs = F.struct(*[F.col(c) for c in names])
     member = F.concat(F.coalesce(F.col("justiceName"), F.lit("None")), F.lit(":"),
                       F.coalesce(F.col("vote").cast("string"), F.lit("nan")))
     part = F.lit(0) if chunk is None else chunk
@@ -95,7 +97,7 @@ def vote_tally(votes: DataFrame, ord_cols: Sequence[str], key_cols: Sequence[str
     counts = vote_counts(F.col("a.caseDisposition"), F.col("a.majVotes"), F.col("a.minVotes"))
     return agg.select(
         "caseIssuesId",
-        *[F.col(f"a.{c}").alias(c) for c in CASE_ATTRS],
+        *[F.col(f"a.{c}").alias(c) for c in names],
         "total_justices_voting",
         counts["votes_in_favor"].alias("votes_in_favor"),
         counts["votes_against"].alias("votes_against"),

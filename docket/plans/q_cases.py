@@ -10,13 +10,13 @@ from docket.plans.registry import query
 from docket.sources import fixtures as fx
 
 
-def case_table(spark, d):
+def case_table(spark, d, attrs=tally.CASE_ATTRS):
     """The tally over the whole vote fact, grouped on (order key, case id)
     so the join's hash partitioning on the order key is reused.  The line
     number leads the vote ordinal, so runs of line numbers are its chunks."""
     v = fx.votes(spark, d, keep_order_key=True)
     return tally.vote_tally(v, fx.VOTE_ORD, key_cols=("l_orderkey", "caseIssuesId"),
-                            chunk=F.floor(F.col("l_linenumber") / 1024)).drop("l_orderkey")
+                            chunk=F.floor(F.col("l_linenumber") / 1024), attrs=attrs).drop("l_orderkey")
 
 
 TALLY_SQL = f"""

@@ -211,7 +211,8 @@ REC_OUT_SQL = """case_id, array_to_string(bios, '|') AS bios, CAST(len(bios) AS
 
 
 def records_frame(spark, d):
-    return records.assemble_training_records(case_table(spark, d), binding(spark, d, "member_book"),
+    # a record holds no other column of its case
+    return records.assemble_training_records(case_table(spark, d, attrs=["usCite"]), binding(spark, d, "member_book"),
                                              binding(spark, d, "bio_files"), binding(spark, d, "desc_keys"))
 
 

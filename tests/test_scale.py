@@ -88,3 +88,28 @@ def test_outcome_words_are_counted_in_one_pass(spark):
     assert "Generate" not in optimized(weights)  # read from the stored counts, not counted again
     kept = leakage.learnt_filter(docs, "id", "text", weights, prior)
     assert {r.filtered for r in kept.collect()} == {"A cat sat.", "A cat sat on the mat."}
+
+
+def test_only_described_records_reach_the_tokens(spark):
+    cases = spark.createDataFrame([("a", "1 U.S. 1", "A:1;B:2"), ("b", None, "A:1"), ("c", "2 U.S. 2", "B:1;A:1"), ("d", "1 U.S. 1", "Z:1"), (None, "1 U.S. 1", "A:1")],
+                                  "caseIssuesId string, usCite string, justice_votes string")
+    cases = cases.select("*", *[F.lit(0.5).alias(c) for c in ("pct_in_favor", "pct_against", "pct_absent")])
+    book = spark.createDataFrame([("A", "Ann"), ("B", "Bo")], "code string, name string")
+    recs = records.assemble_training_records(cases, book, spark.createDataFrame([("Ann",), ("Bo",)], "key string"),
+                                             spark.createDataFrame([("1_U.S._1",)], "file_key string"))
+    bios = spark.createDataFrame([("k/Ann.txt", [1], [1]), ("k\\Bo.txt", [2, 3], [1, 1])], TOKENS)
+    kept, _ = tokens.join_tokens_by_basename(recs, bios, spark.createDataFrame([("k/1_U.S._1.txt", [7], [1])], TOKENS))
+    assert [(r.case_id, [m.input_ids for m in r.members], r.justice_count, r.case_tokens.input_ids, r.description.split("/")[-1]) for r in kept.collect()] == [
+        ("a", [[1], [2, 3]], 2, [7], "1_U.S._1.txt")]
+    # cases and descriptions meet in an inner join below the votes, which are exploded once
+    tree = optimized(kept)
+    assert tree.count("posexplode(split") == 1 and "Join Inner" in tree[tree.index("posexplode(split"):]
+
+
+def test_kept_rows_of_repeated_and_missing_case_ids(spark):
+    recs = spark.createDataFrame([("a", ["d/x.txt"], "t/a.txt", [1.0]), ("a", [], "t/b.txt", [2.0]), (None, ["d/x.txt"], "t/a.txt", [1.0]),
+                                  ("b", None, "t/a.txt", [1.0]), ("c", ["d/y.txt", None, "d/x.txt", "d/x.txt"], "t/a.txt", [1.0])], RECORD)
+    bios = spark.createDataFrame([("k/x.txt", [1], [1]), ("j/x.txt", [9], [1])], TOKENS)
+    kept, _ = tokens.join_tokens_by_basename(recs, bios, spark.createDataFrame([("k/a.txt", [7], [1]), ("k/b.txt", [8], [1])], TOKENS))
+    assert sorted((r.case_id, r.description, r.justice_count, [m.input_ids for m in r.members], r.case_tokens.input_ids, r.target) for r in kept.collect()) == [
+        ("a", "t/a.txt", 1, [[9]], [7], [1.0]), ("a", "t/b.txt", 1, [[9]], [8], [2.0]), ("c", "t/a.txt", 2, [[9], [9]], [7], [1.0])]
